@@ -305,7 +305,8 @@ def active_streaks(
         ),
         *[F.min(F.when(~F.col(f"_hit_{n}"), F.col("rn"))).alias(n) for n in predicates],
     )
-    length = F.coalesce(F.col("_stop") - 1, F.col("_games")).cast("int")
+    length = F.coalesce((F.col("_stop") - 1).cast("long"), F.col("_games"))
+    size = F.col("length").cast("int")
     return (
         wide.unpivot([*keys, "_games", "_tail"], list(predicates), "streak_type", "_stop")
         .withColumn("length", length)
@@ -314,10 +315,10 @@ def active_streaks(
             *keys,
             "streak_type",
             "length",
-            F.element_at("_tail", F.col("length"))["date"].alias("start_date"),
+            F.element_at("_tail", size)["date"].alias("start_date"),
             F.element_at("_tail", 1)["date"].alias("end_date"),
             F.transform(
-                F.reverse(F.slice("_tail", 1, F.col("length"))),
+                F.reverse(F.slice("_tail", 1, size)),
                 lambda g: F.struct(g["id"].alias(tie), g["date"].alias(date)),
             ).alias("recent_games"),
         )
