@@ -188,12 +188,18 @@ def ratio(numerator: ColumnLike, denominator: ColumnLike, default: float | None
 def percent(part: ColumnLike, other: ColumnLike, digits: int = 1) -> Column:
     """Share of ``part`` in ``part + other``, in percent; 0 when both are 0."""
     total = _col(part) + _col(other)
-    return F.when(total > 0, F.round(_col(part) / total * 100, digits)).otherwise(F.lit(0.0))
+    return F.when(total > 0, rounded(_col(part) / total * 100, digits)).otherwise(F.lit(0.0))
 
 
 def per_hour(count: ColumnLike, seconds: ColumnLike, digits: int = 2) -> Column:
     minutes = _col(seconds) / F.lit(60.0)
-    return F.when(_col(seconds) > 0, F.round(_col(count) / minutes * 60, digits)).otherwise(F.lit(0.0))
+    return F.when(_col(seconds) > 0, rounded(_col(count) / minutes * 60, digits)).otherwise(F.lit(0.0))
+
+
+def rounded(value: ColumnLike, digits: int) -> Column:
+    """Rounded to ``digits`` decimals, exact ties to the even neighbour."""
+    scale = F.lit(10.0**digits)
+    return F.rint(_col(value) * scale) / scale
 
 
 def clip(value: ColumnLike, low: float, high: float) -> Column:

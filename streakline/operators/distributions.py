@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streakline.functions import scalars as S
 from streakline.operators.ordered import MAX_GROUP_ROWS, hinted, match_keys, order_groups
 
 
@@ -113,11 +114,11 @@ def error_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicted: st
     sst = F.var_pop(y) * n
     varied = (n > 1) & (F.var_pop(y) > 0) & (F.var_pop(p) > 0)
     return pairs.groupBy(*keys).agg(
-        F.round(F.avg(F.abs(e)), digits).alias("mae"),
-        F.round(F.sqrt(F.avg(e * e)), digits).alias("rmse"),
-        F.round(F.when(sst > 0, 1 - F.sum(e * e) / sst), digits).alias("r2"),
-        F.round(F.when(varied, F.corr(y, p)), digits).alias("corr"),
-        F.round(F.max(F.abs(e)), digits).alias("max_error"),
+        S.rounded(F.avg(F.abs(e)), digits).alias("mae"),
+        S.rounded(F.sqrt(F.avg(e * e)), digits).alias("rmse"),
+        S.rounded(F.when(sst > 0, 1 - F.sum(e * e) / sst), digits).alias("r2"),
+        S.rounded(F.when(varied, F.corr(y, p)), digits).alias("corr"),
+        S.rounded(F.max(F.abs(e)), digits).alias("max_error"),
         n.alias("n"),
     )
 
@@ -127,13 +128,13 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6, **li
     keys = list(keys)
     v = F.col(value)
     stats = df.groupBy(*keys).agg(
-        F.round(F.avg(v), digits).alias("mean"),
-        F.round(F.stddev_samp(v), digits).alias("std"),
+        S.rounded(F.avg(v), digits).alias("mean"),
+        S.rounded(F.stddev_samp(v), digits).alias("std"),
         F.max(v).alias("highest"),
         F.count(v).alias("n"),
     )
     mid = percentiles(df, keys, value, {"median": 0.5}, **limits)
-    return _one_row_per_key(stats, mid, keys).withColumn("median", F.round("median", digits))
+    return _one_row_per_key(stats, mid, keys).withColumn("median", S.rounded("median", digits))
 
 
 def residual_summary(df: DataFrame, actual: str, predicted: str, digits: int = 6, **limits: int) -> DataFrame:
@@ -143,12 +144,12 @@ def residual_summary(df: DataFrame, actual: str, predicted: str, digits: int = 6
     )
     sizes = residuals.select(F.abs("residual").alias("size"))
     stats = residuals.agg(
-        F.round(F.avg("residual"), digits).alias("mean_residual"),
-        F.round(F.stddev_pop("residual"), digits).alias("std_residual"),
-        F.round(F.min("residual"), digits).alias("min_residual"),
-        F.round(F.max("residual"), digits).alias("max_residual"),
+        S.rounded(F.avg("residual"), digits).alias("mean_residual"),
+        S.rounded(F.stddev_pop("residual"), digits).alias("std_residual"),
+        S.rounded(F.min("residual"), digits).alias("min_residual"),
+        S.rounded(F.max("residual"), digits).alias("max_residual"),
     )
     tails = percentiles(
         sizes, [], "size", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}, **limits
     )
-    return _one_row_per_key(stats, tails.select(*[F.round(c, digits).alias(c) for c in tails.columns]), [])
+    return _one_row_per_key(stats, tails.select(*[S.rounded(c, digits).alias(c) for c in tails.columns]), [])

@@ -79,19 +79,19 @@ def source_metrics(
         known.groupBy(*keys)
         .agg(
             n.alias("n_players"),
-            F.round(F.avg(size), 2).alias("mae"),
-            F.round(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-            F.round(F.when(varied, F.corr(x, y)), 4).alias("correlation"),
+            S.rounded(F.avg(size), 2).alias("mae"),
+            S.rounded(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
+            S.rounded(F.when(varied, F.corr(x, y)), 4).alias("correlation"),
             *[
-                F.round(F.count_if(size <= w) / n * 100, 1).alias(f"within_{w}_pct")
+                S.rounded(F.count_if(size <= w) / n * 100, 1).alias(f"within_{w}_pct")
                 for w in within
             ],
-            F.round(F.avg(e), 2).alias("mean_bias"),
+            S.rounded(F.avg(e), 2).alias("mean_bias"),
         )
         .where(F.col("n_players") >= min_rows)
     )
     mid = percentiles(known, keys, "abs_error", {"median_ae": 0.5}, **limits)
-    return stats.join(mid.withColumn("median_ae", F.round("median_ae", 2)), keys)
+    return stats.join(mid.withColumn("median_ae", S.rounded("median_ae", 2)), keys)
 
 
 def source_ranking(metrics: DataFrame, within: float = 10) -> DataFrame:
@@ -100,7 +100,7 @@ def source_ranking(metrics: DataFrame, within: float = 10) -> DataFrame:
     columns = ("mae", "median_ae", "rmse", "correlation", share, "mean_bias", "n_players")
     return (
         metrics.groupBy("source")
-        .agg(*[F.round(F.avg(c), 4).alias(c) for c in columns])
+        .agg(*[S.rounded(F.avg(c), 4).alias(c) for c in columns])
         .orderBy("mae", "source")
     )
 
@@ -121,7 +121,7 @@ def match_rate(projections: DataFrame, matched: DataFrame) -> DataFrame:
         matched.where(F.col("actual_points").isNotNull()).select(F.lit(0).alias("p"), F.lit(1).alias("m"))
     )
     return counts.agg(F.sum("p").alias("projections"), F.sum("m").alias("matched")).withColumn(
-        "match_rate", F.round(S.ratio(F.col("matched") * 100, "projections"), 1)
+        "match_rate", S.rounded(S.ratio(F.col("matched") * 100, "projections"), 1)
     )
 
 
@@ -235,8 +235,8 @@ def errors_long(comparison: DataFrame) -> DataFrame:
 
 def model_error_stats(comparison: DataFrame) -> DataFrame:
     return errors_long(comparison).groupBy("model").agg(
-        F.round(F.avg("error"), 6).alias("mean_error"),
-        F.round(F.stddev_samp("error"), 6).alias("std_error"),
+        S.rounded(F.avg("error"), 6).alias("mean_error"),
+        S.rounded(F.stddev_samp("error"), 6).alias("std_error"),
     )
 
 
@@ -248,8 +248,8 @@ def win_counts(comparison: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
     ).withColumns(
         {
-            "our_share": F.round(S.ratio(F.col("our_wins") * 100, "total"), 1),
-            "external_share": F.round(S.ratio(F.col("external_wins") * 100, "total"), 1),
+            "our_share": S.rounded(S.ratio(F.col("our_wins") * 100, "total"), 1),
+            "external_share": S.rounded(S.ratio(F.col("external_wins") * 100, "total"), 1),
         }
     )
 

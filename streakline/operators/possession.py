@@ -42,7 +42,7 @@ def timed_shifts(shifts: DataFrame) -> DataFrame:
 
 def timed_events(events: DataFrame) -> DataFrame:
     """Events with their second and the acting player (scorer when there is no shooter)."""
-    shooter = F.coalesce(F.nullif("shooting_player_id", F.lit(0)), F.nullif("scoring_player_id", F.lit(0)))
+    shooter = F.coalesce(F.nullif("shooting_player_id", F.lit(0)), "scoring_player_id")
     return events.select(
         "game_id",
         "event_id",
@@ -307,7 +307,7 @@ def player_possession(
 def team_possession(season: DataFrame) -> DataFrame:
     totals = season.groupBy("team").agg(
         *[F.sum(c).alias(c) for c in ("cf", "ca", "ff", "fa", "toi_seconds")],
-        F.round(F.avg("gp"), 0).cast("int").alias("gp"),
+        S.rounded(F.avg("gp"), 0).cast("int").alias("gp"),
         F.count("player_id").alias("players_count"),
     )
     return totals.withColumns({"cf_pct": S.percent("cf", "ca"), "ff_pct": S.percent("ff", "fa")})
@@ -318,7 +318,7 @@ def leaderboard(season: DataFrame, players: DataFrame, positions: Sequence[str]
     named = season.join(players.select("player_id", "position"), "player_id", "left").where(
         S.optional_filters(isin={"position": positions})
     )
-    return named.withColumn("toi_min", F.round(F.col("toi_seconds") / 60, 1)).orderBy(
+    return named.withColumn("toi_min", S.rounded(F.col("toi_seconds") / 60, 1)).orderBy(
         F.desc("cf_pct"), "player_id"
     )
 

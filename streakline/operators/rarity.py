@@ -76,7 +76,7 @@ def score_streaks(streaks: DataFrame, baselines: Baselines) -> DataFrame:
     ).withColumn("novelty", novelty(F.col("league_p"), F.col("team_p"), F.col("player_p")))
     return describe(
         scored.withColumn("severity", severity(F.col("novelty")))
-        .withColumn("novelty_index", F.round("novelty", 4))
+        .withColumn("novelty_index", S.rounded("novelty", 4))
         .drop("career_max")
     )
 
@@ -173,7 +173,7 @@ def anomaly_kpis(anomalies: DataFrame) -> DataFrame:
     per_level = [
         F.count_if(F.col("severity") == name).alias(name.lower().replace(" ", "_")) for name in K.SEVERITIES
     ]
-    mean = F.round(F.coalesce(F.avg("novelty_index"), F.lit(0.0)), 6)
+    mean = S.rounded(F.coalesce(F.avg("novelty_index"), F.lit(0.0)), 6)
     return anomalies.agg(F.count("*").alias("total"), *per_level, mean.alias("avg_novelty"))
 
 
@@ -200,7 +200,7 @@ def type_summary(anomalies: DataFrame) -> DataFrame:
         per_team.groupBy("streak_type")
         .agg(
             F.sum("n").alias("n"),
-            F.round(F.sum("novelty_sum") / F.sum("n"), 6).alias("avg_novelty"),
+            S.rounded(F.sum("novelty_sum") / F.sum("n"), 6).alias("avg_novelty"),
             F.max("longest").alias("max_length"),
             F.min_by("team", F.struct(-F.col("n"), F.col("team"))).alias("top_team"),
         )

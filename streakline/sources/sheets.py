@@ -59,7 +59,7 @@ def season_results(raw: DataFrame, season_id: int) -> DataFrame:
             S.count_or_zero("PTS").alias("points"),
         )
         .withColumn(
-            "points_per_game", F.round(F.col("points") / F.greatest("games_played", F.lit(1)), 3)
+            "points_per_game", S.rounded(F.col("points") / F.greatest("games_played", F.lit(1)), 3)
         )
         .withColumn("season_id", F.lit(season_id))
         .where(F.col("team") != "TOT")
