@@ -102,6 +102,14 @@ def histogram(df: DataFrame, value: str, width: float, origin: float = 0.0, keys
     )
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation, NULL when either side does not vary.
+
+    The built-in one raises a division error on a constant side in ANSI mode.
+    """
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
 def error_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicted: str, digits: int = 6) -> DataFrame:
     """MAE, RMSE, R2, Pearson r, largest error and n; rows with a NULL side are left out.
 
@@ -112,12 +120,11 @@ def error_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicted: st
     pairs = df.where(y.isNotNull() & p.isNotNull())
     n = F.count("*")
     sst = F.var_pop(y) * n
-    varied = (n > 1) & (F.var_pop(y) > 0) & (F.var_pop(p) > 0)
     return pairs.groupBy(*keys).agg(
         S.rounded(F.avg(F.abs(e)), digits).alias("mae"),
         S.rounded(F.sqrt(F.avg(e * e)), digits).alias("rmse"),
-        S.rounded(F.when(sst > 0, 1 - F.sum(e * e) / sst), digits).alias("r2"),
-        S.rounded(F.when(varied, F.corr(y, p)), digits).alias("corr"),
+        S.rounded(1 - F.try_divide(F.sum(e * e), sst), digits).alias("r2"),
+        S.rounded(correlation(y, p), digits).alias("corr"),
         S.rounded(F.max(F.abs(e)), digits).alias("max_error"),
         n.alias("n"),
     )

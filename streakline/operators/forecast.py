@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.distributions import error_metrics, histogram, percentiles, spread
+from streakline.operators.distributions import correlation, error_metrics, histogram, percentiles, spread
 from streakline.operators.ordered import last_rows
 
 WITHIN = (5, 10, 15)
@@ -74,14 +74,13 @@ def source_metrics(
     e, size = F.col("error"), F.col("abs_error")
     x, y = F.col("projected_points"), F.col("actual_points")
     n = F.count("*")
-    varied = (n > 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
     stats = (
         known.groupBy(*keys)
         .agg(
             n.alias("n_players"),
             S.rounded(F.avg(size), 2).alias("mae"),
             S.rounded(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-            S.rounded(F.when(varied, F.corr(x, y)), 4).alias("correlation"),
+            S.rounded(F.when(n > 2, correlation(x, y)), 4).alias("correlation"),
             *[
                 S.rounded(F.count_if(size <= w) / n * 100, 1).alias(f"within_{w}_pct")
                 for w in within
