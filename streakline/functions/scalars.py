@@ -52,10 +52,11 @@ def is_season(value: ColumnLike) -> Column:
 def clock_seconds(value: ColumnLike) -> Column:
     """``MM:SS`` as seconds; 0 for anything else."""
     text = _col(value)
-    minutes = F.split_part(text, F.lit(":"), F.lit(1)).try_cast("int")
-    seconds = F.split_part(text, F.lit(":"), F.lit(2)).try_cast("int")
-    total = F.when(text.rlike("^[0-9]+:[0-9]+$"), minutes * 60 + seconds)
-    return F.coalesce(total, F.lit(0))
+    one_colon = F.length(text) - F.length(F.replace(text, F.lit(":"))) == 1
+    minutes = F.substring_index(text, ":", 1).try_cast("int")
+    seconds = F.substring_index(text, ":", -1).try_cast("int")
+    total = F.try_add(F.try_multiply(minutes, F.lit(60)), seconds)
+    return F.coalesce(F.when(one_colon, total), F.lit(0))
 
 
 def age_at(birth_date: ColumnLike, reference: ColumnLike) -> Column:

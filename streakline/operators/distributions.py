@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.ordered import MAX_GROUP_ROWS, hinted, match_keys, order_groups
+from streakline.operators.ordered import MAX_GROUP_ROWS, groups_fit, hinted, match_keys, order_groups
 
 
 def percentiles(
@@ -17,16 +17,19 @@ def percentiles(
     value: str,
     probs: dict[str, float],
     max_group_rows: int = MAX_GROUP_ROWS,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Exact percentiles per key with linear interpolation, one column per entry.
 
     Groups of bounded size use the built-in aggregate. Larger ones are reduced
     to (value, count) pairs and located by rank with chunked running sums, so
-    no task holds a whole group.
+    no task holds a whole group. ``bound`` is a cheaper frame with at least as
+    many rows per key, tried before ``df`` itself is counted.
     """
     keys = list(keys)
+    fits = bound is not None and groups_fit([bound], keys, max_group_rows)
     present = df.where(F.col(value).isNotNull()).select(*keys, value)
-    groups = order_groups(present, keys, [value], max_group_rows)
+    groups = order_groups(present, keys, [value], max_group_rows, fits)
 
     exact = groups.small.groupBy(*keys).agg(
         *[F.percentile(value, p).alias(name) for name, p in probs.items()]
@@ -84,7 +87,7 @@ def _one_row_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, **limits: int) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, **limits) -> DataFrame:
     """Minimum, quartiles and maximum per key."""
     probs = {"lowest": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "highest": 1.0}
     return percentiles(df, keys, value, probs, **limits)
@@ -130,7 +133,7 @@ def error_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicted: st
     )
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6, **limits: int) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6, **limits) -> DataFrame:
     """Mean, median, sample standard deviation, maximum and count per key."""
     keys = list(keys)
     v = F.col(value)
@@ -144,7 +147,7 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6, **li
     return _one_row_per_key(stats, mid, keys).withColumn("median", S.rounded("median", digits))
 
 
-def residual_summary(df: DataFrame, actual: str, predicted: str, digits: int = 6, **limits: int) -> DataFrame:
+def residual_summary(df: DataFrame, actual: str, predicted: str, digits: int = 6, **limits) -> DataFrame:
     """Mean, population deviation, range and upper percentiles of |residual|."""
     residuals = df.select((F.col(actual) - F.col(predicted)).alias("residual")).where(
         F.col("residual").isNotNull()

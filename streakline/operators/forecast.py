@@ -66,7 +66,7 @@ def match_actuals(projections: DataFrame, actuals: DataFrame, tie_break: Sequenc
 
 
 def source_metrics(
-    matched: DataFrame, min_rows: int = 5, within: Sequence[float] = WITHIN, **limits: int
+    matched: DataFrame, min_rows: int = 5, within: Sequence[float] = WITHIN, **limits
 ) -> DataFrame:
     """Accuracy per source and season, for groups of at least ``min_rows``."""
     keys = ["source", "season_id"]
@@ -104,7 +104,7 @@ def source_ranking(metrics: DataFrame, within: float = 10) -> DataFrame:
     )
 
 
-def error_stats(matched: DataFrame, sources: Sequence[str] = (), **limits: int) -> DataFrame:
+def error_stats(matched: DataFrame, sources: Sequence[str] = (), **limits) -> DataFrame:
     """Mean, median, deviation and count of the error per source."""
     kept = matched.where(F.col("error").isNotNull()).where(S.optional_filters(isin={"source": sources}))
     return spread(kept, ["source"], "error", digits=4, **limits).drop("highest").orderBy("mean", "source")

@@ -131,16 +131,38 @@ class OrderedGroups:
         return small.unionByName(self.large.drop(CHUNK, _WHOLE))
 
 
+def groups_fit(frames: Sequence[DataFrame], keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
+    """Whether no key has more than ``max_group_rows`` rows over all frames.
+
+    The frames are cheap upper bounds, usually base tables: a group of a
+    derived frame, or of finer keys, is at most as large. Keys that the frames
+    lack are left out, which only makes the bound coarser. A False answer
+    means unknown, and the exact count decides.
+    """
+    shared = [k for k in keys if all(k in f.columns for f in frames)]
+    rows = reduce(DataFrame.unionByName, [f.select(*shared, F.lit(1).alias("_one")) for f in frames])
+    sizes = rows.groupBy(*shared).agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0]
+    return (largest or 0) <= max_group_rows
+
+
 def order_groups(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     max_group_rows: int = MAX_GROUP_ROWS,
+    known_small: bool = False,
 ) -> OrderedGroups:
-    """Split ``df`` into small and large groups; ``order`` should be unique per group."""
+    """Split ``df`` into small and large groups; ``order`` should be unique per group.
+
+    The count reads ``df`` once more. Where ``df`` is costly, check a cheaper
+    frame with :func:`groups_fit` and pass the answer as ``known_small``.
+    """
     if not keys:
         df, keys = df.withColumn(_WHOLE, F.lit(0)), [_WHOLE]
     keys, order = tuple(keys), tuple(order)
+    if known_small:
+        return OrderedGroups(keys, order, df)
     heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group_rows)
     n_keys, n_rows = heavy.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
     if n_keys == 0:

@@ -11,6 +11,7 @@ product, and the running counts cope with a period of any size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,13 @@ from pyspark.sql import functions as F
 from streakline.functions import lookups as K
 from streakline.functions import scalars as S
 from streakline.operators.distributions import histogram, spread
-from streakline.operators.ordered import MAX_GROUP_ROWS, last_rows, order_groups
+from streakline.operators.ordered import (
+    MAX_GROUP_ROWS,
+    OrderedGroups,
+    groups_fit,
+    last_rows,
+    order_groups,
+)
 
 SIDE = ("game_id", "period", "team_abbr")
 TIME_ORDER = ("t", "mark", "ref_id")
@@ -54,12 +61,26 @@ def timed_events(events: DataFrame) -> DataFrame:
     )
 
 
-def qualifying_games(events: DataFrame, shifts: DataFrame, strength: str = K.EVEN_STRENGTH) -> DataFrame:
+def per_player_shifts(shifts: DataFrame) -> DataFrame:
+    """Shifts reduced per (game, player, team): first shift, name and ice time.
+
+    Team order, line-ups and ice time all derive from this one aggregate.
+    """
+    named = F.when(F.col("player_name").isNotNull(), F.col("shift_id"))
+    return shifts.groupBy("game_id", "player_id", "team_abbr").agg(
+        F.min("shift_id").alias("first_shift"),
+        F.min(named).alias("named_shift"),
+        F.min_by("player_name", named).alias("player_name"),
+        F.sum("duration_sec").alias("toi_seconds"),
+    )
+
+
+def qualifying_games(events: DataFrame, line_ups: DataFrame, strength: str = K.EVEN_STRENGTH) -> DataFrame:
     """Games with an event at this strength and shifts of two teams, and those teams.
 
     The two teams are the first ones to appear by shift id.
     """
-    per_team = shifts.groupBy("game_id", "team_abbr").agg(F.min("shift_id").alias("first_shift"))
+    per_team = line_ups.groupBy("game_id", "team_abbr").agg(F.min("first_shift").alias("first_shift"))
     first_two = last_rows(per_team, ["game_id"], [F.asc("first_shift")], 2, "_rank")
     pairs = (
         first_two.groupBy("game_id")
@@ -73,41 +94,44 @@ def qualifying_games(events: DataFrame, shifts: DataFrame, strength: str = K.EVE
     return pairs.join(at_strength, "game_id", "left_semi")
 
 
-def disjoint_shifts(shifts: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Shifts cut so that no second of a player's period is covered twice."""
-    keys = ("game_id", "period", "team_abbr", "player_id")
-    valid = shifts.where(F.col("start_sec") <= F.col("end_sec")).select(
-        *keys, "shift_id", "start_sec", "end_sec"
-    )
-    groups = order_groups(valid, keys, ("start_sec", "end_sec", "shift_id"), max_group_rows)
-    covered = groups.running(maxes={"_upto": F.col("end_sec")}, exclusive=True).rows()
-    start = F.greatest("start_sec", F.col("_upto") + 1)
-    return covered.withColumn("start_sec", start).where(F.col("start_sec") <= F.col("end_sec")).drop("_upto")
+@dataclass(frozen=True)
+class Ice:
+    """Shot attempts with both teams, and shifts without overlaps, of the qualifying games."""
 
+    games: DataFrame
+    line_ups: DataFrame
+    shots: DataFrame
+    pieces: DataFrame
+    small: bool
+    max_group_rows: int
 
-def shot_sides(
+
+def prepare_ice(
     events: DataFrame,
     shifts: DataFrame,
-    games: DataFrame,
     strength: str = K.EVEN_STRENGTH,
     max_group_rows: int = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Shot attempts with the shooter's and the opposing team.
-
-    The shooter must be on the ice: among the shifts that started by then, the
-    latest end has to reach the shot. Found with one running maximum per
-    (game, period, team, player) over shift starts and shots.
+) -> Ice:
+    """Read shifts and shots in time order per (game, period, team, player), once.
+
+    The latest shift end before a row tells two things. A shift start is moved
+    behind it, so that no second of a player counts twice. A shot finds its
+    shooter on the ice when that end reaches the shot. One count of the base
+    rows per (game, period) bounds every group built here, each row giving at
+    most two.
     """
+    small = groups_fit([events, shifts], ("game_id", "period"), max_group_rows // 2)
+    line_ups = per_player_shifts(shifts)
+    games = qualifying_games(events, line_ups, strength)
     attempts = events.where(
         (F.col("situation_code") == strength)
         & F.col("type_desc_key").isin(*K.SHOT_ATTEMPTS)
         & F.col("shooter_id").isNotNull()
     ).select("game_id", "event_id", "period", "t", "type_desc_key", F.col("shooter_id").alias("player_id"))
-    played_for = shifts.select("game_id", "player_id", "team_abbr").distinct()
-    candidates = attempts.join(played_for, ["game_id", "player_id"])
+    candidates = attempts.join(line_ups.select("game_id", "player_id", "team_abbr"), ["game_id", "player_id"])
 
     keys = ("game_id", "period", "team_abbr", "player_id")
-    starts = shifts.select(
+    starts = shifts.where(F.col("start_sec") <= F.col("end_sec")).select(
         *keys,
         F.col("start_sec").alias("t"),
         F.lit(BEFORE).alias("mark"),
@@ -123,31 +147,36 @@ def shot_sides(
         F.lit(None).cast("int").alias("end_sec"),
         "type_desc_key",
     )
-    timeline = order_groups(starts.unionByName(shots), keys, TIME_ORDER, max_group_rows)
-    on_ice = (
-        timeline.running(maxes={"_upto": F.col("end_sec")})
-        .rows()
-        .where((F.col("mark") == AT) & (F.col("_upto") >= F.col("t")))
-    )
-    per_shot = on_ice.groupBy("game_id", "period", F.col("ref_id").alias("event_id")).agg(
-        F.min("team_abbr").alias("shooter_team"),
-        F.first("t").alias("t"),
-        F.first("type_desc_key").alias("type_desc_key"),
+    timeline = order_groups(starts.unionByName(shots), keys, TIME_ORDER, max_group_rows, small)
+    seen = timeline.running(maxes={"_upto": F.col("end_sec")}, exclusive=True).rows()
+
+    pieces = (
+        seen.where(F.col("mark") == BEFORE)
+        .withColumn("start_sec", F.greatest("t", F.col("_upto") + 1))
+        .where(F.col("start_sec") <= F.col("end_sec"))
+        .select(*keys, F.col("ref_id").alias("shift_id"), "start_sec", "end_sec")
     )
     opponent = F.when(F.col("shooter_team") == F.col("team_1"), F.col("team_2")).otherwise(F.col("team_1"))
-    return per_shot.join(games, "game_id").select(
-        "game_id",
-        "event_id",
-        "period",
-        "t",
-        "type_desc_key",
-        "shooter_team",
-        opponent.alias("opposing_team"),
-        F.col("type_desc_key").isin(*K.UNBLOCKED_ATTEMPTS).cast("int").alias("unblocked"),
+    sides = (
+        seen.where((F.col("mark") == AT) & (F.col("_upto") >= F.col("t")))
+        .groupBy("game_id", "period", "t", "type_desc_key", F.col("ref_id").alias("event_id"))
+        .agg(F.min("team_abbr").alias("shooter_team"))
+        .join(games, "game_id")
+        .select(
+            "game_id",
+            "event_id",
+            "period",
+            "t",
+            "type_desc_key",
+            "shooter_team",
+            opponent.alias("opposing_team"),
+            F.col("type_desc_key").isin(*K.UNBLOCKED_ATTEMPTS).cast("int").alias("unblocked"),
+        )
     )
+    return Ice(games, line_ups, sides, pieces, small, max_group_rows)
 
 
-def _timeline(sides: DataFrame, pieces: DataFrame, max_group_rows: int):
+def _timeline(ice: Ice) -> OrderedGroups:
     """Shots (seen from both teams) and shift ends per side, in time order."""
     acting = F.explode(
         F.array(
@@ -155,7 +184,7 @@ def _timeline(sides: DataFrame, pieces: DataFrame, max_group_rows: int):
             F.struct(F.col("opposing_team").alias("team_abbr"), F.lit(0).alias("is_for")),
         )
     )
-    shots = sides.withColumn("_side", acting).select(
+    shots = ice.shots.withColumn("_side", acting).select(
         "game_id",
         "period",
         F.col("_side.team_abbr").alias("team_abbr"),
@@ -173,7 +202,7 @@ def _timeline(sides: DataFrame, pieces: DataFrame, max_group_rows: int):
             F.struct(F.col("end_sec").alias("t"), F.lit(AFTER).alias("mark"), F.lit(1).alias("sign")),
         )
     )
-    edges = pieces.withColumn("_edge", edge).select(
+    edges = ice.pieces.withColumn("_edge", edge).select(
         "game_id",
         "period",
         "team_abbr",
@@ -185,7 +214,7 @@ def _timeline(sides: DataFrame, pieces: DataFrame, max_group_rows: int):
         "player_id",
         F.col("_edge.sign").alias("sign"),
     )
-    return order_groups(shots.unionByName(edges), SIDE, TIME_ORDER, max_group_rows)
+    return order_groups(shots.unionByName(edges), SIDE, TIME_ORDER, ice.max_group_rows, ice.small)
 
 
 def on_ice_counts(
@@ -195,9 +224,8 @@ def on_ice_counts(
 
     ``events`` and ``shifts`` come from :func:`timed_events` and :func:`timed_shifts`.
     """
-    games = qualifying_games(events, shifts, strength)
-    sides = shot_sides(events, shifts, games, strength, max_group_rows)
-    timeline = _timeline(sides, disjoint_shifts(shifts, max_group_rows), max_group_rows)
+    ice = prepare_ice(events, shifts, strength, max_group_rows)
+    timeline = _timeline(ice)
     skaters = timeline.running(sums={"on_ice": -F.col("sign")}).rows()
     counts = (
         skaters.where(F.col("mark") == AT)
@@ -207,7 +235,7 @@ def on_ice_counts(
             F.max(F.when(F.col("is_for") == 0, F.col("on_ice"))).alias("n_against"),
         )
     )
-    return sides.join(counts, ["game_id", "period", "event_id"]).drop("unblocked")
+    return ice.shots.join(counts, ["game_id", "period", "event_id"]).drop("unblocked")
 
 
 def on_ice_at(shifts: DataFrame, period: int, second: int) -> DataFrame:
@@ -228,9 +256,8 @@ def game_possession(
     Ice time sums every shift of the game at any strength; games without two
     teams or without an event at ``strength`` give no rows.
     """
-    games = qualifying_games(events, shifts, strength)
-    sides = shot_sides(events, shifts, games, strength, max_group_rows)
-    timeline = _timeline(sides, disjoint_shifts(shifts, max_group_rows), max_group_rows)
+    ice = prepare_ice(events, shifts, strength, max_group_rows)
+    timeline = _timeline(ice)
 
     def counted(is_for: int, only_unblocked: bool) -> Column:
         hit = F.col("is_for") == is_for
@@ -245,15 +272,14 @@ def game_possession(
         .groupBy("game_id", "player_id")
         .agg(*[F.sum(F.col("sign") * F.col(f"_{c}")).alias(c) for c in counters])
     )
+    teamed = F.when(F.col("team_abbr").isNotNull(), F.col("first_shift"))
     ice_time = (
-        shifts.join(games.select("game_id"), "game_id", "left_semi")
+        ice.line_ups.join(ice.games.select("game_id"), "game_id", "left_semi")
         .groupBy("game_id", "player_id")
         .agg(
-            F.min_by("team_abbr", F.when(F.col("team_abbr").isNotNull(), F.col("shift_id"))).alias("team"),
-            F.min_by("player_name", F.when(F.col("player_name").isNotNull(), F.col("shift_id"))).alias(
-                "player_name"
-            ),
-            F.sum("duration_sec").alias("toi_seconds"),
+            F.min_by("team_abbr", teamed).alias("team"),
+            F.min_by("player_name", "named_shift").alias("player_name"),
+            F.sum("toi_seconds").alias("toi_seconds"),
         )
     )
     joined = ice_time.join(credits, ["game_id", "player_id"], "left")
@@ -341,7 +367,7 @@ def share_histograms(season: DataFrame, width: float = 2.0) -> DataFrame:
     return histogram(long, "share", width, keys=["measure"])
 
 
-def share_summary(season: DataFrame, **limits: int) -> DataFrame:
+def share_summary(season: DataFrame, **limits) -> DataFrame:
     """Mean, median and deviation of both shares."""
     long = season.unpivot(["player_id"], ["cf_pct", "ff_pct"], "measure", "share")
     return spread(long, ["measure"], "share", **limits)

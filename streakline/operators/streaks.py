@@ -16,7 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.ordered import MAX_GROUP_ROWS, OrderedGroups, last_rows, order_groups
+from streakline.operators.ordered import (
+    MAX_GROUP_ROWS,
+    OrderedGroups,
+    groups_fit,
+    last_rows,
+    order_groups,
+)
 
 
 @dataclass(frozen=True)
@@ -95,8 +101,9 @@ def _run_positions(
     order: Sequence[str],
     predicates: Mapping[str, Column],
     max_group_rows: int,
+    known_small: bool = False,
 ) -> OrderedGroups:
-    groups = order_groups(logs, keys, order, max_group_rows)
+    groups = order_groups(logs, keys, order, max_group_rows, known_small)
     groups = groups.running(sums={"_idx": F.lit(1)})
     return groups.running(
         maxes={_break(n): F.when(~p, F.col("_idx")) for n, p in predicates.items()}
@@ -159,12 +166,13 @@ def longest_runs_wide(
     order: Sequence[str] = GAME_ORDER,
     predicates: Mapping[str, Column] | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
+    known_small: bool = False,
 ) -> DataFrame:
     """One row per key with the longest run of each type, 0 where there is none."""
     predicates = default_predicates() if predicates is None else predicates
     hits = logs.select(*keys, *order, *[p.alias(f"_hit_{n}") for n, p in predicates.items()])
     placed = _run_positions(
-        hits, keys, order, {n: F.col(f"_hit_{n}") for n in predicates}, max_group_rows
+        hits, keys, order, {n: F.col(f"_hit_{n}") for n in predicates}, max_group_rows, known_small
     ).rows()
     return placed.groupBy(*keys).agg(
         *[F.max(F.col("_idx") - F.coalesce(_break(n), F.lit(0))).alias(n) for n in predicates]
@@ -256,12 +264,20 @@ def player_season_counts(wide: DataFrame) -> DataFrame:
 def compute_baselines(
     logs: DataFrame, players: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
 ) -> Baselines:
-    """All baselines; league, player and counts come from the same per-season runs."""
-    wide = of_skaters(longest_runs_wide(logs, PLAYER_SEASON, max_group_rows=max_group_rows), players)
+    """All baselines; league, player and counts come from the same per-season runs.
+
+    One count per player-season covers the team level too, whose groups are
+    parts of these.
+    """
+    limits = {
+        "max_group_rows": max_group_rows,
+        "known_small": groups_fit([logs], PLAYER_SEASON, max_group_rows),
+    }
+    wide = of_skaters(longest_runs_wide(logs, PLAYER_SEASON, **limits), players)
     ids = ["player_id", "season", "pg"]
     runs = wide.unpivot(ids, list(STREAK_TYPES), "streak_type", "max_len")
     team_runs = of_skaters(
-        longest_runs(logs, TEAM_PLAYER_SEASON, max_group_rows=max_group_rows), players
+        longest_runs(logs, TEAM_PLAYER_SEASON, **limits), players
     ).withColumnRenamed("team_abbr", "team")
     return Baselines(
         league=tail_distribution(runs),

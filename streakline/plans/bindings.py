@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events``, with a scan of few tasks spread over the cores before its JSON is parsed.
+
+    A table of many files is read in enough tasks already and is left alone.
+    """
+    e = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    return e if len(e.inputFiles()) >= cores else e.repartition(cores)
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -35,7 +45,7 @@ def _int(c: Column) -> Column:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as game logs: one row per player and game."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = events(spark, sf_dir).withColumn("k", _k())
     k = F.col("k")
     goals = _int(F.floor(F.col("value") / 60))
     assists = k % 2
@@ -101,7 +111,7 @@ def team_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = events(spark, sf_dir)
     hour = F.hour("ts")
     second = (hour % 8) * 3600 + F.minute("ts") * 60 + _int(F.floor(F.second("ts")))
     return e.withColumns(
