@@ -131,7 +131,8 @@ def prepare_ice(
     candidates = attempts.join(line_ups.select("game_id", "player_id", "team_abbr"), ["game_id", "player_id"])
 
     keys = ("game_id", "period", "team_abbr", "player_id")
-    starts = shifts.where(F.col("start_sec") <= F.col("end_sec")).select(
+    # a shift that ends before it starts covers no second and drops out below
+    starts = shifts.select(
         *keys,
         F.col("start_sec").alias("t"),
         F.lit(BEFORE).alias("mark"),

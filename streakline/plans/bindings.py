@@ -16,14 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events``, with a scan of few tasks spread over the cores before its JSON is parsed.
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few files spread over the cores, for work that is heavy per row.
 
     A table of many files is read in enough tasks already and is left alone.
     """
-    e = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    return e if len(e.inputFiles()) >= cores else e.repartition(cores)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def _k() -> Column:
@@ -45,7 +44,7 @@ def _int(c: Column) -> Column:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as game logs: one row per player and game."""
-    e = events(spark, sf_dir).withColumn("k", _k())
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
     k = F.col("k")
     goals = _int(F.floor(F.col("value") / 60))
     assists = k % 2
@@ -111,12 +110,11 @@ def team_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = table(spark, sf_dir, "events")
     hour = F.hour("ts")
     second = (hour % 8) * 3600 + F.minute("ts") * 60 + _int(F.floor(F.second("ts")))
     return e.withColumns(
         {
-            "k": _k(),
             "game_id": F.dayofmonth("ts") * F.lit(1_000_000).cast("long")
             + F.floor(F.col("user_id") / 30),
             "period": 1 + _int(F.floor(hour / 8)),
@@ -152,14 +150,14 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", "goal")
         .otherwise("faceoff")
     )
-    shooter = F.when(F.col("k") % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    shooter = F.when(F.col("event_id") % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
     return _ice(spark, sf_dir).withColumns({"desc": desc, "shooter": shooter}).select(
         "game_id",
         "event_id",
         "period",
         _clock(F.col("sec")).alias("time_in_period"),
         F.col("desc").alias("type_desc_key"),
-        F.when(F.col("k") % 5 < 4, "1551").otherwise("1541").alias("situation_code"),
+        F.when(F.col("event_id") % 5 < 4, "1551").otherwise("1541").alias("situation_code"),
         F.when(F.col("desc") != "goal", F.col("shooter")).alias("shooting_player_id"),
         F.when(F.col("desc") == "goal", F.col("shooter")).alias("scoring_player_id"),
     )

@@ -236,10 +236,10 @@ def _clock(s: str) -> str:
     return f"CAST(({s}) // 60 AS VARCHAR) || ':' || lpad(CAST(({s}) % 60 AS VARCHAR), 2, '0')"
 
 
-ICE = f"""{EV}, ice AS (
-  SELECT event_id, ts, user_id, event_type, k, value, day(ts) * 1000000::BIGINT + user_id // 30 AS game_id,
+ICE = """ice AS (
+  SELECT event_id, ts, user_id, event_type, value, day(ts) * 1000000::BIGINT + user_id // 30 AS game_id,
     CAST(1 + hour(ts) // 8 AS INTEGER) AS period,
-    CAST((hour(ts) % 8) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) AS sec FROM ev),
+    CAST((hour(ts) % 8) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) AS sec FROM events),
 shifts AS (
   SELECT game_id, event_id AS shift_id, user_id AS player_id, 'Player ' || CAST(user_id AS VARCHAR) AS player_name,
     CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team_abbr, period, sec AS start_sec,
@@ -248,8 +248,8 @@ shots AS (
   SELECT game_id, event_id, period, sec AS t,
     CASE event_type WHEN 'click' THEN 'shot-on-goal' WHEN 'view' THEN 'missed-shot' WHEN 'error' THEN 'blocked-shot'
       WHEN 'purchase' THEN 'goal' ELSE 'faceoff' END AS type_desc_key,
-    CASE WHEN k % 5 < 4 THEN '1551' ELSE '1541' END AS situation_code,
-    CASE WHEN k % 7 = 0 THEN user_id + 1 ELSE user_id END AS shooter_raw,
+    CASE WHEN event_id % 5 < 4 THEN '1551' ELSE '1541' END AS situation_code,
+    CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS shooter_raw,
     CASE WHEN event_type = 'purchase' THEN shooter_raw ELSE nullif(shooter_raw, 0) END AS shooter  -- a shooting id of 0 is missing
   FROM ice),
 game_dim AS (SELECT game_id, CAST(2021 + (day(min(ts)) - 1) // 10 AS VARCHAR) || CAST(2022 + (day(min(ts)) - 1) // 10 AS VARCHAR) AS season

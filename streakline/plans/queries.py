@@ -48,7 +48,8 @@ def _baselines(spark, d):
 
 def _anomalies(spark, d, **options):
     logs, players = B.logs(spark, d), B.players(spark, d)
-    return rarity.evaluate_players(logs, players, SEASON, _baselines(spark, d), **options)
+    baselines = streaks.compute_baselines(logs, players)
+    return rarity.evaluate_players(logs, players, SEASON, baselines, **options)
 
 
 # --- streaks and baselines ---------------------------------------------------------
@@ -837,7 +838,7 @@ def boxscore_flatten(spark, d):
     The row's player sits on its own side, next to a goalie of the other side
     who did not play.
     """
-    logs = B.logs(spark, d)
+    logs = B.spread(B.logs(spark, d))
     player = F.struct(
         F.col("player_id").alias("playerId"),
         "goals",

@@ -21,6 +21,7 @@ def build_session(app_name: str = "streakline", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # call sites cost half of plan building
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
