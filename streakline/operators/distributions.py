@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.ordered import MAX_GROUP_ROWS, groups_fit, hinted, match_keys, order_groups
+from streakline.operators.ordered import Split, groups_fit, hinted, match_keys, order_groups, split_heavy
+
+# the built-in percentile keeps every distinct value of a group in memory
+MAX_PERCENTILE_ROWS = 1_000_000
 
 
 def percentiles(
@@ -16,7 +19,7 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_PERCENTILE_ROWS,
     bound: DataFrame | None = None,
 ) -> DataFrame:
     """Exact percentiles per key with linear interpolation, one column per entry.
@@ -29,25 +32,22 @@ def percentiles(
     keys = list(keys)
     fits = bound is not None and groups_fit([bound], keys, max_group_rows)
     present = df.where(F.col(value).isNotNull()).select(*keys, value)
-    groups = order_groups(present, keys, [value], max_group_rows, fits)
+    inner = keys or ["_whole"]
+    if not keys:
+        present = present.withColumn("_whole", F.lit(0))
+    split = Split(present) if fits else split_heavy(present, inner, max_group_rows)
 
-    exact = groups.small.groupBy(*keys).agg(
+    exact = split.small.groupBy(*keys).agg(
         *[F.percentile(value, p).alias(name) for name, p in probs.items()]
     )
-    if groups.large is None:
+    if split.large is None:
         return exact
 
-    inner = list(groups.keys)
-    pairs = groups.large.groupBy(*inner, value).agg(F.count("*").alias("_cnt"))
+    # repeated values fold on the map side, so not even one value can be hot
+    pairs = split.large.groupBy(*inner, value).agg(F.count("*").alias("_cnt"))
     totals = pairs.groupBy(*inner).agg(F.sum("_cnt").alias("_n"))
-    ranked = (
-        order_groups(pairs, inner, [value], max_group_rows)
-        .running(sums={"_upto": F.col("_cnt")})
-        .rows()
-    )
-    if not keys:
-        ranked = ranked.withColumn(inner[0], F.lit(0))
-    located = match_keys(ranked, hinted(totals, groups.large_keys), inner, "inner")
+    ranked = order_groups(pairs, inner, [value], max_group_rows).running(sums={"_upto": F.col("_cnt")})
+    located = match_keys(ranked.rows(), hinted(totals, split.large_keys), inner, "inner")
 
     def at_rank(rank: Column) -> Column:
         return F.max(

@@ -29,7 +29,6 @@ from streakline.session import checkpointed
 MAX_GROUP_ROWS = 5_000_000
 BROADCAST_ROWS = 100_000
 CHUNK = "_chunk"
-_WHOLE = "_whole"
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -124,11 +123,10 @@ class OrderedGroups:
         return replace(self, small=step(self.small), large=large)
 
     def rows(self) -> DataFrame:
-        """All rows, without the helper columns."""
-        small = self.small.drop(_WHOLE)
+        """All rows, without the chunk number."""
         if self.large is None:
-            return small
-        return small.unionByName(self.large.drop(CHUNK, _WHOLE))
+            return self.small
+        return self.small.unionByName(self.large.drop(CHUNK))
 
 
 def groups_fit(frames: Sequence[DataFrame], keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
@@ -146,6 +144,32 @@ def groups_fit(frames: Sequence[DataFrame], keys: Sequence[str], max_group_rows:
     return (largest or 0) <= max_group_rows
 
 
+@dataclass(frozen=True)
+class Split:
+    """Rows of small and of large groups, with the size of the large part."""
+
+    small: DataFrame
+    large: DataFrame | None = None
+    large_keys: int = 0
+    large_rows: int = 0
+
+
+def split_heavy(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> Split:
+    """Part ``df`` by whether a key has more than ``max_group_rows`` rows.
+
+    At most rows / max_group_rows keys can be heavy, so the list of them stays
+    small; it is checkpointed, since both parts must agree on it.
+    """
+    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group_rows)
+    n_keys, n_rows = heavy.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if n_keys == 0:
+        return Split(df)
+    side = hinted(checkpointed(heavy.select(*keys)), n_keys)
+    return Split(
+        match_keys(df, side, keys, "left_anti"), match_keys(df, side, keys, "left_semi"), n_keys, n_rows
+    )
+
+
 def order_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -158,26 +182,17 @@ def order_groups(
     The count reads ``df`` once more. Where ``df`` is costly, check a cheaper
     frame with :func:`groups_fit` and pass the answer as ``known_small``.
     """
-    if not keys:
-        df, keys = df.withColumn(_WHOLE, F.lit(0)), [_WHOLE]
     keys, order = tuple(keys), tuple(order)
     if known_small:
         return OrderedGroups(keys, order, df)
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group_rows)
-    n_keys, n_rows = heavy.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    if n_keys == 0:
+    split = split_heavy(df, keys, max_group_rows)
+    if split.large is None:
         return OrderedGroups(keys, order, df)
-
-    heavy = checkpointed(heavy.select(*keys))
-    side = hinted(heavy, n_keys)
-    pieces = max(2, -(-n_rows // max_group_rows))
+    pieces = max(2, -(-split.large_rows // max_group_rows))
     large = checkpointed(
-        match_keys(df, side, keys, "left_semi")
-        .repartitionByRange(pieces, *keys, *order)
-        .withColumn(CHUNK, F.spark_partition_id())
+        split.large.repartitionByRange(pieces, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
     )
-    small = match_keys(df, side, keys, "left_anti")
-    return OrderedGroups(keys, order, small, large, n_keys, pieces)
+    return OrderedGroups(keys, order, split.small, large, split.large_keys, pieces)
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
