@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline import schemas
 from streakline.functions import lookups as K
+from streakline.functions import scalars as S
 from streakline.operators import rarity
+from streakline.operators.reports import ranked
 from streakline.operators.streaks import Baselines
 from streakline.operators.tables import upsert
 from streakline.sources.sheets import path_exists
@@ -30,6 +33,17 @@ def write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> N
     )
 
 
+def touched_partitions(incoming: DataFrame, partition_by: Sequence[str]) -> Column:
+    """Filter on the partitions present in ``incoming``.
+
+    Literal values, so that the scan lists only those folders. There are at
+    most as many as the table has partitions.
+    """
+    values = incoming.select(*partition_by).distinct().collect()
+    matches = [S.all_of([F.col(c).eqNullSafe(F.lit(row[c])) for c in partition_by]) for row in values]
+    return reduce(lambda a, b: a | b, matches, F.lit(False))
+
+
 def upsert_table(
     spark: SparkSession,
     path: str,
@@ -51,8 +65,7 @@ def upsert_table(
         return
     reader = spark.read.schema(ddl) if ddl else spark.read
     table = reader.parquet(path)
-    touched = incoming.select(*partition_by).distinct()
-    existing = table.join(touched, list(partition_by), "left_semi").select(table.columns)
+    existing = table.where(touched_partitions(incoming, partition_by))
     write_partitions(upsert(existing, incoming, keys, order, defaults), path, partition_by)
 
 
@@ -62,6 +75,7 @@ def write_jsonl(anomalies: DataFrame, path: str) -> None:
 
 
 RULE = "=" * 72
+_LINE_KEY = "struct<novelty:double,player_id:bigint,streak_type:string>"
 
 
 def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame:
@@ -77,7 +91,7 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
     total = anomalies.agg(F.count("*").alias("n"))
     header = total.select(
         F.lit(0).alias("section"),
-        F.lit(None).cast("struct<c1:double,player_id:bigint,streak_type:string>").alias("key"),
+        F.lit(None).cast(_LINE_KEY).alias("key"),
         F.array(
             F.lit(RULE),
             F.lit(f"  {title}"),
@@ -89,7 +103,7 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
     )
     headings = anomalies.groupBy(level.alias("section"), "severity").agg(F.count("*").alias("n")).select(
         "section",
-        F.lit(None).cast("struct<c1:double,player_id:bigint,streak_type:string>").alias("key"),
+        F.lit(None).cast(_LINE_KEY).alias("key"),
         F.array(F.format_string("--- %s (%d streaks) ---", "severity", "n"), F.lit("")).alias("lines"),
     )
 
@@ -119,11 +133,9 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
     footer_section = len(K.SEVERITIES) + 1
     footer = total.select(
         F.lit(footer_section).alias("section"),
-        F.lit(None).cast("struct<c1:double,player_id:bigint,streak_type:string>").alias("key"),
+        F.lit(None).cast(_LINE_KEY).alias("key"),
         F.array(F.lit(RULE), F.lit("  TOP 10 NOTABLE STREAKS"), F.lit(RULE)).alias("lines"),
     )
-    from streakline.operators.reports import ranked
-
     top = ranked(anomalies, [F.desc("novelty"), F.asc("player_id"), F.asc("streak_type")], 10).select(
         F.lit(footer_section).alias("section"),
         order.alias("key"),
@@ -142,7 +154,7 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
     )
     blocks = None
     for part in (header, headings, body, footer, top):
-        part = part.select("section", F.col("key").cast("struct<c1:double,player_id:bigint,streak_type:string>"), "lines")
+        part = part.select("section", F.col("key").cast(_LINE_KEY), "lines")
         blocks = part if blocks is None else blocks.unionByName(part)
     return blocks.orderBy("section", F.asc_nulls_first("key")).select(F.explode("lines").alias("line"))
 

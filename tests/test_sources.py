@@ -185,6 +185,17 @@ def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t" / "season=B").iterdir()) == before
 
 
+def test_touched_partitions_prune_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    ddl = "id int, v int, season string"
+    rows = spark.createDataFrame([(1, 1, "A"), (2, 1, "B"), (3, 1, None)], ddl)
+    sinks.upsert_table(spark, path, rows, ["id"], ["season"], ddl=ddl)
+    more = spark.createDataFrame([(4, 1, "A"), (5, 1, None)], ddl)
+    pruned = spark.read.schema(ddl).parquet(path).where(sinks.touched_partitions(more, ["season"]))
+    assert len(pruned._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [(")) == 2
+    assert {r.id for r in pruned.collect()} == {1, 3}
+
+
 def test_schema_evolution(spark):
     old = spark.createDataFrame([(1, 2, "2025-10-08", 3, "x")], "game_id int, player_id int, game_date string, goals int, current_team string")
     new = tables.evolve(old, schemas.schema(schemas.GAME_LOGS), schemas.LOG_DEFAULTS)
