@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from streakline.llm import sharding
+from streakline.llm import mixing, sharding
 from streakline.llm.common import table
 
 
+def op1_mix_weights(spark, sf_dir):
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
 def op8_shard_propagation(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_mix_weights": op1_mix_weights,
     "op8_shard_propagation": op8_shard_propagation,
 }
 ORACLE: dict[str, str] = {}
