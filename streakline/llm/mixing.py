@@ -21,7 +21,7 @@ from streakline.llm.common import fraction, small, stored, word_count
 BRANCH = 128
 MOST = 3
 SEED = 17
-#: Large documents are paired first: what stays open at last is a small one.
+#: Large documents are paired first, so that what stays open at last is a small one.
 _OPEN = "struct<words:double,r:double,id:{id},size:bigint,q:double>"
 
 
@@ -91,25 +91,32 @@ def _fold(items: Column, id_type: str) -> Column:
 
 
 def _round(units: DataFrame, most_buckets: int) -> DataFrame:
-    """(source, id, size, extra) for every unit (source, bucket, buckets, id, size, words, q)."""
+    """(source, id, size, extra) for every unit (source, bucket, id, size, words, q).
+
+    Bucket 0 of each source is kept as change: it joins the open documents of
+    the other buckets at the root, where its small documents end the large ones.
+    """
     id_type = units.schema["id"].dataType.simpleString()
-    decided, level, buckets = None, 0, most_buckets
+    decided, level, others = None, 0, most_buckets - 1
     while True:
         draw = fraction(F.col("id"), F.col("source"), F.col("size"), F.lit(SEED), F.lit(level))
         item = F.struct("words", draw.alias("r"), "id", "size", "q").cast(_OPEN.format(id=id_type))
+        folding = units.where("bucket > 0") if others else units
         folded = stored(
-            units.groupBy("source", "bucket")
+            folding.groupBy("source", "bucket")
             .agg(F.reverse(F.array_sort(F.collect_list(item))).alias("items"))
             .select("source", "bucket", _fold(F.col("items"), id_type).alias("state"))
             .select("source", "bucket", "state.open", "state.done")
         )
         here = folded.select("source", F.inline("done"))
         decided = here if decided is None else decided.unionByName(here)
-        units = folded.select("source", F.floor(F.col("bucket") / BRANCH).alias("bucket"), "open.id", "open.size", "open.words", "open.q")
-        if buckets <= 1:
+        above = F.ceil(F.col("bucket") / BRANCH) if others > BRANCH else F.lit(0).cast("long")
+        opened = folded.select("source", above.alias("bucket"), "open.id", "open.size", "open.words", "open.q")
+        if not others:
             last = fraction(F.col("id"), F.col("source"), F.col("size"), F.lit(SEED), F.lit(-1)) < F.col("q")
-            return decided.unionByName(units.select("source", "id", "size", last.cast("int").alias("extra")))
-        level, buckets = level + 1, -(-buckets // BRANCH)
+            return decided.unionByName(opened.select("source", "id", "size", last.cast("int").alias("extra")))
+        units = opened.unionByName(units.where("bucket = 0"))
+        level, others = level + 1, -(-others // BRANCH) if others > BRANCH else 0
 
 
 def document_copies(lean: DataFrame) -> DataFrame:
@@ -140,13 +147,15 @@ def document_copies(lean: DataFrame) -> DataFrame:
     full = units.join(params, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     rounding = (F.col("q") > 0) & (F.col("size") > 0)
     extras = _round(
-        full.where(rounding).select(
-            "source",
-            F.pmod(F.xxhash64("id", "size", F.lit(SEED)), F.col("buckets")).alias("bucket"),
-            "id",
-            "size",
-            (F.col("size") * F.col("rows")).cast("double").alias("words"),
-            "q",
+        stored(
+            full.where(rounding).select(
+                "source",
+                F.pmod(F.xxhash64("id", "size", F.lit(SEED)), F.col("buckets")).alias("bucket"),
+                "id",
+                "size",
+                (F.col("size") * F.col("rows")).cast("double").alias("words"),
+                "q",
+            )
         ),
         int(most),
     )
