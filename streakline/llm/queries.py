@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streakline.llm import mixing, sharding
+from streakline.llm import langid, mixing, sharding
 from streakline.llm.common import table
 
 
@@ -10,12 +10,17 @@ def op1_mix_weights(spark, sf_dir):
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
+def op2_zstd_language(spark, sf_dir):
+    return langid.predicted_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_shard_propagation(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_mix_weights": op1_mix_weights,
+    "op2_zstd_language": op2_zstd_language,
     "op8_shard_propagation": op8_shard_propagation,
 }
 ORACLE: dict[str, str] = {}
