@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streakline.llm import decontamination, jaccard, langid, mixing, sharding
+from streakline.llm import decontamination, edits, jaccard, langid, mixing, sharding
 from streakline.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_zstd_language(spark, sf_dir):
     return langid.predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_edit_fingerprint(spark, sf_dir):
+    return edits.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_components(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op8_shard_propagation(spark, sf_dir):
 QUERIES = {
     "op1_mix_weights": op1_mix_weights,
     "op2_zstd_language": op2_zstd_language,
+    "op3_edit_fingerprint": op3_edit_fingerprint,
     "op5_jaccard_components": op5_jaccard_components,
     "op7_pigeonhole_leaks": op7_pigeonhole_leaks,
     "op8_shard_propagation": op8_shard_propagation,
