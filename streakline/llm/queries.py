@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streakline.llm import decontamination, edits, jaccard, langid, mixing, sharding
+from streakline.llm import decontamination, edits, jaccard, langid, mixing, personal, sharding, urls, warc
 from streakline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_edit_fingerprint(spark, sf_dir):
     return edits.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark, sf_dir):
+    return personal.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_components(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,24 @@ def op8_shard_propagation(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_url_list(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urls.blocked_captures(urls.sample_captures(pages), urls.sample_list(pages))
+
+
+def op10_warc_zstd(spark, sf_dir):
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mix_weights": op1_mix_weights,
     "op2_zstd_language": op2_zstd_language,
     "op3_edit_fingerprint": op3_edit_fingerprint,
+    "op4_personal_data": op4_personal_data,
     "op5_jaccard_components": op5_jaccard_components,
     "op7_pigeonhole_leaks": op7_pigeonhole_leaks,
     "op8_shard_propagation": op8_shard_propagation,
+    "op9_url_list": op9_url_list,
+    "op10_warc_zstd": op10_warc_zstd,
 }
 ORACLE: dict[str, str] = {}
