@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streakline.llm import decontamination, edits, jaccard, langid, mixing, personal, sharding, urls, warc
+from streakline.llm import decontamination, edits, html, jaccard, langid, mixing, personal, sharding, urls, warc
 from streakline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_jaccard_components(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_html_wrapper(spark, sf_dir):
+    return html.extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op7_pigeonhole_leaks(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_edit_fingerprint": op3_edit_fingerprint,
     "op4_personal_data": op4_personal_data,
     "op5_jaccard_components": op5_jaccard_components,
+    "op6_html_wrapper": op6_html_wrapper,
     "op7_pigeonhole_leaks": op7_pigeonhole_leaks,
     "op8_shard_propagation": op8_shard_propagation,
     "op9_url_list": op9_url_list,
