@@ -59,4 +59,47 @@ QUERIES = {
     "op9_url_list": op9_url_list,
     "op10_warc_zstd": op10_warc_zstd,
 }
-ORACLE: dict[str, str] = {}
+_HOST = (
+    r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1),"
+    r" '^.*@', ''), ':[0-9]*$', '')), '\.+$', '')"
+)
+
+#: Every capture against every interval whose pattern covers its URL, without keys, stretches or as-of tricks.
+_OP9 = rf"""
+WITH p AS (
+  SELECT page_id, url, {_HOST} AS host,
+         regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+         regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^/?#]+)/', 1) AS first_segment,
+         DATE '2023-01-01' + (page_id * 37 % 730)::INTEGER AS fetched_on
+  FROM pages
+), patterns AS (
+  SELECT pattern, min(reason) AS reason FROM (
+    SELECT host AS pattern, 'host' AS reason FROM p
+    UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1), 'domain' FROM p
+    UNION ALL SELECT host || first_segment, 'path' FROM p
+  ) WHERE pattern <> '' GROUP BY pattern
+), drawn AS (
+  SELECT pattern, reason, ('0x' || substr(md5(pattern), 1, 7))::BIGINT AS draw FROM patterns
+), entries AS (
+  SELECT pattern, reason, 'add' AS action, DATE '2023-01-01' + (draw % 500)::INTEGER AS listed_on FROM drawn
+  UNION ALL SELECT pattern, reason, 'remove', DATE '2023-01-01' + (draw % 500)::INTEGER + (draw % 97)::INTEGER + 20 FROM drawn
+  UNION ALL SELECT pattern, reason, 'add', DATE '2023-01-01' + (draw % 500)::INTEGER + (draw % 211)::INTEGER + 90 FROM drawn
+), days AS (
+  SELECT pattern, listed_on, max(action) AS action, min(reason) FILTER (action = 'add') AS reason
+  FROM entries GROUP BY pattern, listed_on
+), intervals AS (
+  SELECT *, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS until FROM days
+), hits AS (
+  SELECT p.page_id, i.pattern, i.reason,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.pattern) DESC, i.pattern) AS place,
+         count(*) OVER (PARTITION BY p.page_id) AS n
+  FROM p JOIN intervals i
+    ON i.action = 'add' AND p.fetched_on >= i.listed_on AND (i.until IS NULL OR p.fetched_on < i.until)
+   AND (p.host = i.pattern OR ends_with(p.host, '.' || i.pattern)
+        OR (contains(i.pattern, '/') AND starts_with(p.host || p.path || '/', i.pattern || '/')))
+)
+SELECT p.page_id, p.url, p.fetched_on, h.pattern AS blocked_by, h.reason AS blocked_reason, coalesce(h.n, 0) AS n_active
+FROM p LEFT JOIN hits h ON h.page_id = p.page_id AND h.place = 1
+"""
+
+ORACLE: dict[str, str] = {"op9_url_list": _OP9}

@@ -31,7 +31,7 @@ def url_keys(url: Column) -> Column:
     """Patterns that cover a URL: its host, parent domains of two labels or more, and the host with each path prefix."""
     host = url_host(url)
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
-    labels, segments = F.split(host, r"\."), F.split(F.ltrim(F.lit("/"), path), "/")
+    labels, segments = F.split(host, r"\."), F.split(F.ltrim(path, F.lit("/")), "/")
     domains = [
         F.when(F.size(labels) >= n, F.concat_ws(".", F.slice(labels, -n, n))) for n in range(2, MAX_LABELS + 1)
     ]
