@@ -127,26 +127,30 @@ def label(name: str, tag: str) -> str:
 
 
 def events(html: str) -> Iterator[tuple[str, object]]:
-    """('text', (path, text)), ('block', None) and ('gap', None) of a page; a path is the tuple of labels of open elements.
+    """('text', (path, text, elements)), ('block', None) and ('gap', None) of a page.
 
-    Elements that HTML closes by itself (paragraphs, list items, cells) are closed.
+    A path is the tuple of labels of open elements, ``elements`` that of their
+    numbers. Elements that HTML closes by itself (paragraphs, list items, cells)
+    are closed.
     """
     names: list[str] = []
     path: tuple[str, ...] = ()
+    elements: tuple[int, ...] = ()
+    opened = 0
 
     def shut(name: str, stops: tuple[str, ...]) -> None:
-        nonlocal path
+        nonlocal path, elements
         for i in range(len(names) - 1, -1, -1):
             if names[i] == name:
                 del names[i:]
-                path = path[:i]
+                path, elements = path[:i], elements[:i]
                 return
             if names[i] in stops:
                 return
 
     for kind, name, text in tokens(html):
         if kind == "text":
-            yield "text", (path, text)
+            yield "text", (path, text, elements)
             continue
         if name == "br":
             yield "gap", None
@@ -161,7 +165,8 @@ def events(html: str) -> Iterator[tuple[str, object]]:
                     shut(other, ENDS[name][1])
             if name not in VOID:
                 names.append(name)
-                path = (*path, label(name, text))
+                opened += 1
+                path, elements = (*path, label(name, text)), (*elements, opened)
         elif name not in VOID:
             shut(name, ("table",) if name not in ("table", "body", "html") and name in ENDS else ())
 
@@ -176,27 +181,26 @@ def _same(a: list, b: list) -> bool:
 def page_tree(html: str) -> list:
     """The page's tree of labels with repeated siblings folded."""
     root: list = ["", False, False, []]
-    open_: list[tuple[str, list]] = []
-    before: tuple[str, ...] = ()
+    open_: list[list] = []
+    before: tuple[int, ...] = ()
     for kind, value in events(html):
         if kind != "text":
             continue
-        path, text = value
+        path, text, elements = value
         if not text.strip():
             continue
         common = 0
-        while common < min(len(path), len(before), len(open_)) and path[common] == before[common]:
+        while common < min(len(elements), len(before)) and elements[common] == before[common]:
             common += 1
         del open_[common:]
-        at = open_[-1][1] if open_ else root
         for name in path[common:]:
             child = [name, False, False, []]
-            at[3].append(child)
-            open_.append((name, child))
-            at = child
+            (open_[-1] if open_ else root)[3].append(child)
+            open_.append(child)
+        at = open_[-1] if open_ else root
         if not at[3] or at[3][-1][0] != SLOT:
             at[3].append([SLOT, False, False, []])
-        before = path
+        before = elements
     return fold(root)
 
 
