@@ -61,17 +61,18 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     return best.withColumn("to_day", until).where("action = 'add'").select("pattern", "reason", "from_day", "to_day")
 
 
-def blocked_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
+def blocked_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` with blocked_by, blocked_reason and n_active: what the list says at fetch time.
 
-    ``captures`` has the key, url and fetched_on. ``blocked_by`` is the longest
+    ``captures`` has url and fetched_on. ``blocked_by`` is the longest
     active pattern, of equally long ones the smallest; null if none is active.
     Captures with null or relative URLs or without a date are never blocked.
     Rows that repeat each other are answered each. Columns of the three names
     are replaced; others stay.
     """
     made = ("blocked_by", "blocked_reason", "n_active")
-    rows = captures.select(*[F.col(f"`{c}`") for c in captures.columns if c not in made])
+    kept = [c for c in captures.columns if c not in made]
+    rows = captures.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "url", "fetched_on")
     day = F.unix_date("fetched_on")
     intervals = list_intervals(entries)
     last = F.coalesce(F.unix_date("to_day") - 1, F.lit(rows.agg(F.max(day)).first()[0] or 0))
@@ -89,7 +90,7 @@ def blocked_captures(captures: DataFrame, entries: DataFrame, key: str = "page_i
     first_hit = F.min(F.struct((-F.length("pattern")).alias("length"), "pattern", "reason"))
     answers = stored(hits.groupBy("url", "fetched_on").agg(first_hit.alias("hit"), F.count(F.lit(1)).alias("n_active")))
     return rows.join(answers, ["url", "fetched_on"], "left").select(
-        *rows.columns,
+        *[F.col("row")[c].alias(c) for c in kept],
         F.col("hit.pattern").alias("blocked_by"),
         F.col("hit.reason").alias("blocked_reason"),
         F.coalesce("n_active", F.lit(0)).alias("n_active"),
