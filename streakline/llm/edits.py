@@ -35,6 +35,7 @@ CLASSES = 256
 #: Bits sampled between the highest power of two in a text's output and its end; half as many in each power below.
 SAMPLES = 256
 LEVELS = 9
+EMPTY = "0" * 16
 BAND_BITS = 16
 BANDS = 4
 
@@ -89,10 +90,10 @@ class Walk:
         return Walk(self.codes[:keep] + tail, np.concatenate([self.places[:keep], more]))
 
     def fingerprint(self) -> str:
-        """Output length and sampled bits, in hexadecimal; of an empty text ``0:``."""
+        """Output length (16 digits) and sampled bits, in hexadecimal; of an empty text 16 zeros."""
         length = int(self.places[-1])
         if not length:
-            return "0:"
+            return EMPTY
         top = length.bit_length() - 1
         at = np.concatenate([_places(m)[: SAMPLES >> (top - m)] for m in range(top, max(-1, top - LEVELS), -1)])
         inside = at < length
@@ -101,7 +102,7 @@ class Walk:
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         bits = np.zeros(len(at), np.uint8)
         bits[inside] = (mixed >> np.uint64(47)) & np.uint64(1)
-        return f"{length:x}:{np.packbits(bits).tobytes().hex()}"
+        return f"{length:016x}{np.packbits(bits).tobytes().hex()}"
 
 
 def _walked(codes: bytes, start: int) -> np.ndarray:
@@ -116,8 +117,7 @@ def _walked(codes: bytes, start: int) -> np.ndarray:
 
 def _levels(print_: str) -> tuple[int, int, dict[int, np.ndarray]]:
     """(length, top level, bits by level)."""
-    head, _, body = print_.partition(":")
-    length = int(head, 16)
+    length, body = int(print_[:16], 16), print_[16:]
     if not length:
         return 0, -1, {}
     top, at, found = length.bit_length() - 1, 0, {}
@@ -154,12 +154,13 @@ def _described(text: str, walk: Walk, next_text: str, next_walk: Walk) -> tuple:
     keep = len(text) - replaced
     edited = text[:keep] + next_text[:replaced]
     own, theirs = walk.fingerprint(), walk.edited(keep, next_walk.codes[:replaced]).fingerprint()
-    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), sha, own, theirs, likeness(own, theirs), likeness(own, next_walk.fingerprint())
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
+    near = likeness(own, theirs), likeness(own, next_walk.fingerprint())
+    return len(text), sha, bytes.fromhex(own), bytes.fromhex(theirs), *near
 
 
 _MADE = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_MADE_TYPES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_MADE_TYPES = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,12 +215,9 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     heads = borders.select(F.col("part").alias("next_part"), F.col("head").alias("next_head"))
     last = borders.join(before, "part").join(heads, "next_part")
     finished = last.select("id", F.pandas_udf(_finish, f"struct<{_MADE_TYPES.replace(' ', ':').replace(',:', ',')}>")("tail", "next_head").alias("x"))
-    return (
-        made.where("tail is null")
-        .select("id", *_MADE)
-        .unionByName(finished.select("id", "x.*"))
-        .withColumnRenamed("id", key)
-    )
+    whole = made.where("tail is null").select("id", *_MADE).unionByName(finished.select("id", "x.*"))
+    texts = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}  # stored as bytes, half as long
+    return whole.withColumns(texts).withColumnRenamed("id", key)
 
 
 def edit_distance(a: str, b: str) -> int:
