@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.ordered import Split, groups_fit, hinted, match_keys, order_groups, split_heavy
+from streakline.operators.ordered import order_groups
 
-# the built-in percentile keeps every distinct value of a group in memory
-MAX_PERCENTILE_ROWS = 1_000_000
+#: Value ranges of a percentile's chunks: so many for each doubling.
+RANGES = 16
+
+
+def value_range(value: str) -> Column:
+    """A coarse logarithmic scale that never falls while the value rises."""
+    number = F.col(value).cast("double")
+    return F.floor(F.signum(number) * F.log2(F.abs(number) + 1) * RANGES)
 
 
 def percentiles(
@@ -19,35 +25,20 @@ def percentiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    max_group_rows: int = MAX_PERCENTILE_ROWS,
-    bound: DataFrame | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Exact percentiles per key with linear interpolation, one column per entry.
 
-    Groups of bounded size use the built-in aggregate. Larger ones are reduced
-    to (value, count) pairs and located by rank with chunked running sums, so
-    no task holds a whole group. ``bound`` is a cheaper frame with at least as
-    many rows per key, tried before ``df`` itself is counted.
+    Values are folded to (value, count) on the map side and located by rank with
+    running counts over value ranges, so no task holds a whole group and the
+    result does not depend on how the values are cut.
     """
     keys = list(keys)
-    fits = bound is not None and groups_fit([bound], keys, max_group_rows)
-    present = df.where(F.col(value).isNotNull()).select(*keys, value)
     inner = keys or ["_whole"]
-    if not keys:
-        present = present.withColumn("_whole", F.lit(0))
-    split = Split(present) if fits else split_heavy(present, inner, max_group_rows)
-
-    exact = split.small.groupBy(*keys).agg(
-        *[F.percentile(value, p).alias(name) for name, p in probs.items()]
-    )
-    if split.large is None:
-        return exact
-
-    # repeated values fold on the map side, so not even one value can be hot
-    pairs = split.large.groupBy(*inner, value).agg(F.count("*").alias("_cnt"))
-    totals = pairs.groupBy(*inner).agg(F.sum("_cnt").alias("_n"))
-    ranked = order_groups(pairs, inner, [value], max_group_rows).running(sums={"_upto": F.col("_cnt")})
-    located = match_keys(ranked.rows(), hinted(totals, split.large_keys), inner, "inner")
+    present = df.where(F.col(value).isNotNull()).withColumn("_whole", F.lit(0)).select(*inner, value)
+    pairs = present.groupBy(*inner, value).agg(F.count("*").alias("_cnt"))
+    ranked = order_groups(pairs, inner, [value], value_range(value) if chunk is None else chunk)
+    located = ranked.running(sums={"_upto": F.col("_cnt")}, totals={"_n": F.col("_cnt")}).rows()
 
     def at_rank(rank: Column) -> Column:
         return F.max(
@@ -63,21 +54,18 @@ def percentiles(
             at_rank(F.floor(position(p))).alias(f"_lo_{name}"),
             at_rank(F.ceil(position(p))).alias(f"_hi_{name}"),
         ]
+
+    def between(name: str, p: float) -> Column:
+        low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
+        part = position(p) - F.floor(position(p))
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
     picked = located.groupBy(*inner, "_n").agg(*bounds)
-    large = picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"_lo_{name}")
-                + (position(p) - F.floor(position(p)))
-                * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-            ).alias(name)
-            for name, p in probs.items()
-        ],
-    )
-    if not keys:
-        return large
-    return exact.unionByName(large)
+    found = picked.select(*keys, *[between(name, p).alias(name) for name, p in probs.items()])
+    if keys:
+        return found
+    # without keys there is one row, also over no values
+    return found.agg(*[F.max(name).alias(name) for name in probs])
 
 
 def _one_row_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

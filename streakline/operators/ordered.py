@@ -1,18 +1,12 @@
 """Running sums and maxima over ordered groups of any size.
 
-A window sorts each group in one task. That is the right plan while groups are
-small, and the wrong one when a single key holds a large share of the table.
-``order_groups`` therefore counts rows per key first (a map-side combined
-aggregate over the key columns only):
-
-* groups up to ``max_group_rows`` stay on a plain window;
-* larger groups are range-partitioned by (key, order) into chunks of about that
-  size. Running values are computed per chunk, and the totals of the earlier
-  chunks, a handful of rows per key, are added as a carry.
-
-Both ways give the same rows. The chunked rows are checkpointed, because a chunk
-number must not change between the two reads (rows and totals), even when an
-executor is lost in between.
+A window sorts each group in one task, which fails when a single key holds a
+large share of the table. Groups are therefore cut into chunks by a function of
+the first order column that never falls while the order rises (the month of a
+date, a block of seconds). Running values are computed within each (key, chunk),
+and what the earlier chunks of the key add up to, one row per chunk, is added as
+a carry. There is one way for every size: no row is counted beforehand, nothing
+is stored on the way, and building a query starts no job.
 """
 
 from __future__ import annotations
@@ -24,11 +18,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streakline.session import checkpointed
+CELL = "_cell"
 
-MAX_GROUP_ROWS = 5_000_000
-BROADCAST_ROWS = 100_000
-CHUNK = "_chunk"
+
+def month_of(date: str) -> Column:
+    """Chunk of logs that are ordered by a date."""
+    return F.trunc(date, "month")
+
+
+def block_of(number: str, width: int) -> Column:
+    """Chunk of rows that are ordered by a number."""
+    return F.floor(F.col(number) / F.lit(width))
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -43,156 +43,63 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hinted(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` when it is known to hold no more than a bounded number of rows."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
-
-
 @dataclass(frozen=True)
 class OrderedGroups:
-    """Rows to be read in ``order`` within ``keys``, split by group size."""
+    """Rows to be read in ``order`` within a key; ``CELL`` is the struct of key and chunk."""
 
-    keys: tuple[str, ...]
     order: tuple[str, ...]
-    small: DataFrame
-    large: DataFrame | None = None
-    large_keys: int = 0
-    chunks: int = 0
+    cells: DataFrame
 
     def running(
         self,
         sums: Mapping[str, Column] | None = None,
         maxes: Mapping[str, Column] | None = None,
+        totals: Mapping[str, Column] | None = None,
         exclusive: bool = False,
     ) -> OrderedGroups:
-        """Add running sums and maxima, up to the current row or the one before.
+        """Add running sums and maxima, up to the current row or the one before, and sums over the whole key.
 
-        A sum over no rows is 0 and a maximum over no rows is NULL.
+        A sum over no rows is 0 and a maximum over no rows is NULL. The cell is
+        one struct column, so NULL keys match and window, totals and join share
+        one shuffle of the rows.
         """
-        sums, maxes = dict(sums or {}), dict(maxes or {})
+        sums, maxes, totals = dict(sums or {}), dict(maxes or {}), dict(totals or {})
         last = -1 if exclusive else Window.currentRow
-        frame = (Window.unboundedPreceding, last)
-
-        plain = Window.partitionBy(*self.keys).orderBy(*self.order).rowsBetween(*frame)
-        small = self.small.withColumns(
-            {n: F.coalesce(F.sum(c).over(plain), F.lit(0)) for n, c in sums.items()}
-            | {n: F.max(c).over(plain) for n, c in maxes.items()}
+        within = Window.partitionBy(CELL).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, last)
+        local = self.cells.withColumns(
+            {n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}
+            | {n: F.max(c).over(within) for n, c in maxes.items()}
+        )
+        per_cell = self.cells.groupBy(CELL).agg(
+            *[F.sum(c).alias(f"_t_{n}") for n, c in (*sums.items(), *totals.items())],
+            *[F.max(c).alias(f"_t_{n}") for n, c in maxes.items()],
         )
-        if self.large is None:
-            return replace(self, small=small)
-
-        chunk_keys = [*self.keys, CHUNK]
-        within = Window.partitionBy(*chunk_keys).orderBy(*self.order).rowsBetween(*frame)
         earlier = (
-            Window.partitionBy(*self.keys)
-            .orderBy(CHUNK)
+            Window.partitionBy(f"{CELL}.key")
+            .orderBy(f"{CELL}.chunk")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        carry = (
-            self.large.groupBy(*chunk_keys)
-            .agg(
-                *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
-                *[F.max(c).alias(f"_t_{n}") for n, c in maxes.items()],
-            )
-            .select(
-                *chunk_keys,
-                *[
-                    F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}")
-                    for n in sums
-                ],
-                *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in maxes],
-            )
-        )
-        local = self.large.withColumns(
-            {n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}
-            | {n: F.max(c).over(within) for n, c in maxes.items()}
-        )
-        # a chunk boundary splits at most one key: at most chunks + keys carry rows
-        carry = hinted(carry, self.chunks + self.large_keys)
-        large = match_keys(local, carry, chunk_keys, "left").withColumns(
-            {n: F.col(n) + F.col(f"_c_{n}") for n in sums}
-            | {n: F.greatest(n, f"_c_{n}") for n in maxes}
+        whole = Window.partitionBy(f"{CELL}.key")
+        carry = per_cell.select(
+            CELL,
+            *[F.sum(f"_t_{n}").over(whole).alias(n) for n in totals],
+            *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
+            *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in maxes],
         )
-        return replace(
-            self, small=small, large=large.drop(*[f"_c_{n}" for n in (*sums, *maxes)])
+        joined = local.join(carry, CELL).withColumns(
+            {n: F.col(n) + F.col(f"_c_{n}") for n in sums} | {n: F.greatest(n, f"_c_{n}") for n in maxes}
         )
-
-    def transform(self, step) -> OrderedGroups:
-        """Apply a row-wise step (select, filter, new columns) to both parts."""
-        large = None if self.large is None else step(self.large)
-        return replace(self, small=step(self.small), large=large)
+        return replace(self, cells=joined.drop(*[f"_c_{n}" for n in (*sums, *maxes)]))
 
     def rows(self) -> DataFrame:
-        """All rows, without the chunk number."""
-        if self.large is None:
-            return self.small
-        return self.small.unionByName(self.large.drop(CHUNK))
-
+        """All rows, without the cell."""
+        return self.cells.drop(CELL)
 
-def groups_fit(frames: Sequence[DataFrame], keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
-    """Whether no key has more than ``max_group_rows`` rows over all frames.
 
-    The frames are cheap upper bounds, usually base tables: a group of a
-    derived frame, or of finer keys, is at most as large. Keys that the frames
-    lack are left out, which only makes the bound coarser. A False answer
-    means unknown, and the exact count decides.
-    """
-    shared = [k for k in keys if all(k in f.columns for f in frames)]
-    rows = reduce(DataFrame.unionByName, [f.select(*shared, F.lit(1).alias("_one")) for f in frames])
-    sizes = rows.groupBy(*shared).agg(F.count("*").alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0]
-    return (largest or 0) <= max_group_rows
-
-
-@dataclass(frozen=True)
-class Split:
-    """Rows of small and of large groups, with the size of the large part."""
-
-    small: DataFrame
-    large: DataFrame | None = None
-    large_keys: int = 0
-    large_rows: int = 0
-
-
-def split_heavy(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> Split:
-    """Part ``df`` by whether a key has more than ``max_group_rows`` rows.
-
-    At most rows / max_group_rows keys can be heavy, so the list of them stays
-    small; it is checkpointed, since both parts must agree on it.
-    """
-    heavy = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group_rows)
-    n_keys, n_rows = heavy.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    if n_keys == 0:
-        return Split(df)
-    side = hinted(checkpointed(heavy.select(*keys)), n_keys)
-    return Split(
-        match_keys(df, side, keys, "left_anti"), match_keys(df, side, keys, "left_semi"), n_keys, n_rows
-    )
-
-
-def order_groups(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    known_small: bool = False,
-) -> OrderedGroups:
-    """Split ``df`` into small and large groups; ``order`` should be unique per group.
-
-    The count reads ``df`` once more. Where ``df`` is costly, check a cheaper
-    frame with :func:`groups_fit` and pass the answer as ``known_small``.
-    """
-    keys, order = tuple(keys), tuple(order)
-    if known_small:
-        return OrderedGroups(keys, order, df)
-    split = split_heavy(df, keys, max_group_rows)
-    if split.large is None:
-        return OrderedGroups(keys, order, df)
-    pieces = max(2, -(-split.large_rows // max_group_rows))
-    large = checkpointed(
-        split.large.repartitionByRange(pieces, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
-    )
-    return OrderedGroups(keys, order, split.small, large, split.large_keys, pieces)
+def order_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column) -> OrderedGroups:
+    """``df`` cut into cells; ``order`` should be unique per key and ``chunk`` must not fall along it."""
+    cell = F.struct(F.struct(*keys).alias("key"), chunk.alias("chunk"))
+    return OrderedGroups(tuple(order), df.withColumn(CELL, cell))
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:

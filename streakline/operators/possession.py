@@ -19,17 +19,12 @@ from pyspark.sql import functions as F
 from streakline.functions import lookups as K
 from streakline.functions import scalars as S
 from streakline.operators.distributions import histogram, spread
-from streakline.operators.ordered import (
-    MAX_GROUP_ROWS,
-    OrderedGroups,
-    groups_fit,
-    last_rows,
-    order_groups,
-)
+from streakline.operators.ordered import OrderedGroups, block_of, last_rows, order_groups
 
 SIDE = ("game_id", "period", "team_abbr")
 TIME_ORDER = ("t", "mark", "ref_id")
 BEFORE, AT, AFTER = 0, 1, 2
+CHUNK_SEC = 600
 
 
 def timed_shifts(shifts: DataFrame) -> DataFrame:
@@ -102,25 +97,22 @@ class Ice:
     line_ups: DataFrame
     shots: DataFrame
     pieces: DataFrame
-    small: bool
-    max_group_rows: int
+    chunk_sec: int
 
 
 def prepare_ice(
     events: DataFrame,
     shifts: DataFrame,
     strength: str = K.EVEN_STRENGTH,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    chunk_sec: int = CHUNK_SEC,
 ) -> Ice:
     """Read shifts and shots in time order per (game, period, team, player), once.
 
     The latest shift end before a row tells two things. A shift start is moved
     behind it, so that no second of a player counts twice. A shot finds its
-    shooter on the ice when that end reaches the shot. One count of the base
-    rows per (game, period) bounds every group built here, each row giving at
-    most two.
+    shooter on the ice when that end reaches the shot.
+    ``chunk_sec`` is the length of the blocks that are read on their own.
     """
-    small = groups_fit([events, shifts], ("game_id", "period"), max_group_rows // 2)
     line_ups = per_player_shifts(shifts)
     games = qualifying_games(events, line_ups, strength)
     attempts = events.where(
@@ -148,7 +140,7 @@ def prepare_ice(
         F.lit(None).cast("int").alias("end_sec"),
         "type_desc_key",
     )
-    timeline = order_groups(starts.unionByName(shots), keys, TIME_ORDER, max_group_rows, small)
+    timeline = order_groups(starts.unionByName(shots), keys, TIME_ORDER, block_of("t", chunk_sec))
     seen = timeline.running(maxes={"_upto": F.col("end_sec")}, exclusive=True).rows()
 
     pieces = (
@@ -174,7 +166,7 @@ def prepare_ice(
             F.col("type_desc_key").isin(*K.UNBLOCKED_ATTEMPTS).cast("int").alias("unblocked"),
         )
     )
-    return Ice(games, line_ups, sides, pieces, small, max_group_rows)
+    return Ice(games, line_ups, sides, pieces, chunk_sec)
 
 
 def _timeline(ice: Ice) -> OrderedGroups:
@@ -215,17 +207,17 @@ def _timeline(ice: Ice) -> OrderedGroups:
         "player_id",
         F.col("_edge.sign").alias("sign"),
     )
-    return order_groups(shots.unionByName(edges), SIDE, TIME_ORDER, ice.max_group_rows, ice.small)
+    return order_groups(shots.unionByName(edges), SIDE, TIME_ORDER, block_of("t", ice.chunk_sec))
 
 
 def on_ice_counts(
-    events: DataFrame, shifts: DataFrame, strength: str = K.EVEN_STRENGTH, max_group_rows: int = MAX_GROUP_ROWS
+    events: DataFrame, shifts: DataFrame, strength: str = K.EVEN_STRENGTH, chunk_sec: int = CHUNK_SEC
 ) -> DataFrame:
     """Per shot attempt: the two teams and how many players each had on the ice.
 
     ``events`` and ``shifts`` come from :func:`timed_events` and :func:`timed_shifts`.
     """
-    ice = prepare_ice(events, shifts, strength, max_group_rows)
+    ice = prepare_ice(events, shifts, strength, chunk_sec)
     timeline = _timeline(ice)
     skaters = timeline.running(sums={"on_ice": -F.col("sign")}).rows()
     counts = (
@@ -250,14 +242,14 @@ def on_ice_at(shifts: DataFrame, period: int, second: int) -> DataFrame:
 
 
 def game_possession(
-    events: DataFrame, shifts: DataFrame, strength: str = K.EVEN_STRENGTH, max_group_rows: int = MAX_GROUP_ROWS
+    events: DataFrame, shifts: DataFrame, strength: str = K.EVEN_STRENGTH, chunk_sec: int = CHUNK_SEC
 ) -> DataFrame:
     """Shot attempts for and against, all and unblocked, per player and game.
 
     Ice time sums every shift of the game at any strength; games without two
     teams or without an event at ``strength`` give no rows.
     """
-    ice = prepare_ice(events, shifts, strength, max_group_rows)
+    ice = prepare_ice(events, shifts, strength, chunk_sec)
     timeline = _timeline(ice)
 
     def counted(is_for: int, only_unblocked: bool) -> Column:

@@ -89,14 +89,14 @@ def evaluate_players(
     min_streak_length: int = 2,
     min_games: int = 10,
     min_novelty: float = 0.0,
-    last_n: int = 40,
+    recent: int = 40,
     player_id: int | None = None,
 ) -> DataFrame:
     """Active streaks of one season, scored; all players or one."""
     current = logs.where(F.col("season") == season)
     if player_id is not None:
         current = current.where(F.col("player_id") == player_id)
-    streaks = active_streaks(current, ("player_id",), min_streak_length, last_n)
+    streaks = active_streaks(current, ("player_id",), min_streak_length, recent)
     who = active_players(current, players, min_games).withColumn(
         "player_name", S.full_name("first_name", "last_name")
     )

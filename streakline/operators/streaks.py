@@ -16,13 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.ordered import (
-    MAX_GROUP_ROWS,
-    OrderedGroups,
-    groups_fit,
-    last_rows,
-    order_groups,
-)
+from streakline.operators.ordered import OrderedGroups, last_rows, match_keys, month_of, order_groups
 
 
 @dataclass(frozen=True)
@@ -100,10 +94,10 @@ def _run_positions(
     keys: Sequence[str],
     order: Sequence[str],
     predicates: Mapping[str, Column],
-    max_group_rows: int,
-    known_small: bool = False,
+    chunk: Column | None,
 ) -> OrderedGroups:
-    groups = order_groups(logs, keys, order, max_group_rows, known_small)
+    """``_idx`` and the break positions; without a chunk the first order column is a date and its month is taken."""
+    groups = order_groups(logs, keys, order, month_of(order[0]) if chunk is None else chunk)
     groups = groups.running(sums={"_idx": F.lit(1)})
     return groups.running(
         maxes={_break(n): F.when(~p, F.col("_idx")) for n, p in predicates.items()}
@@ -115,14 +109,14 @@ def run_lengths(
     keys: Sequence[str] = PLAYER_SEASON,
     order: Sequence[str] = GAME_ORDER,
     predicates: Mapping[str, Column] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Every row with ``run_<type>``: how many games the run ending here has (0: none).
 
     Together with the order columns this tells which games belong to a run.
     """
     predicates = default_predicates() if predicates is None else predicates
-    found = _run_positions(logs, keys, order, predicates, max_group_rows).rows()
+    found = _run_positions(logs, keys, order, predicates, chunk).rows()
     return found.withColumns(
         {f"run_{n}": F.col("_idx") - F.coalesce(_break(n), F.lit(0)) for n in predicates}
     ).drop("_idx", *[_break(n) for n in predicates])
@@ -133,7 +127,7 @@ def streak_islands(
     keys: Sequence[str] = PLAYER_SEASON,
     order: Sequence[str] = GAME_ORDER,
     predicates: Mapping[str, Column] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """One row per maximal run: keys, streak_type, island, length, start and end date.
 
@@ -147,7 +141,7 @@ def streak_islands(
         keys,
         order,
         {n: F.col(f"_hit_{n}") for n in predicates},
-        max_group_rows,
+        chunk,
     ).rows()
     pairs = ", ".join(f"'{n}', coalesce({_break(n)}, 0)" for n in predicates)
     long = placed.selectExpr(
@@ -165,14 +159,13 @@ def longest_runs_wide(
     keys: Sequence[str] = PLAYER_SEASON,
     order: Sequence[str] = GAME_ORDER,
     predicates: Mapping[str, Column] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    known_small: bool = False,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """One row per key with the longest run of each type, 0 where there is none."""
     predicates = default_predicates() if predicates is None else predicates
     hits = logs.select(*keys, *order, *[p.alias(f"_hit_{n}") for n, p in predicates.items()])
     placed = _run_positions(
-        hits, keys, order, {n: F.col(f"_hit_{n}") for n in predicates}, max_group_rows, known_small
+        hits, keys, order, {n: F.col(f"_hit_{n}") for n in predicates}, chunk
     ).rows()
     return placed.groupBy(*keys).agg(
         *[F.max(F.col("_idx") - F.coalesce(_break(n), F.lit(0))).alias(n) for n in predicates]
@@ -261,23 +254,13 @@ def player_season_counts(wide: DataFrame) -> DataFrame:
     return with_all_group(counted, [], "player_seasons")
 
 
-def compute_baselines(
-    logs: DataFrame, players: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
-) -> Baselines:
-    """All baselines; league, player and counts come from the same per-season runs.
-
-    One count per player-season covers the team level too, whose groups are
-    parts of these.
-    """
-    limits = {
-        "max_group_rows": max_group_rows,
-        "known_small": groups_fit([logs], PLAYER_SEASON, max_group_rows),
-    }
-    wide = of_skaters(longest_runs_wide(logs, PLAYER_SEASON, **limits), players)
+def compute_baselines(logs: DataFrame, players: DataFrame, chunk: Column | None = None) -> Baselines:
+    """All baselines; league, player and counts come from the same per-season runs."""
+    wide = of_skaters(longest_runs_wide(logs, PLAYER_SEASON, chunk=chunk), players)
     ids = ["player_id", "season", "pg"]
     runs = wide.unpivot(ids, list(STREAK_TYPES), "streak_type", "max_len")
     team_runs = of_skaters(
-        longest_runs(logs, TEAM_PLAYER_SEASON, **limits), players
+        longest_runs(logs, TEAM_PLAYER_SEASON, chunk=chunk), players
     ).withColumnRenamed("team_abbr", "team")
     return Baselines(
         league=tail_distribution(runs),
@@ -301,41 +284,45 @@ def active_streaks(
     logs: DataFrame,
     keys: Sequence[str] = ("player_id",),
     min_length: int = 2,
-    last_n: int = 40,
+    recent: int = 40,
     order: Sequence[str] = GAME_ORDER,
     predicates: Mapping[str, Column] | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
-    """Runs that reach the latest game, at least ``min_length`` long.
+    """Runs that reach the latest game, at least ``min_length`` long, however long they are.
 
-    Only the last ``last_n`` games per key are read, which bounds both the run
-    and the ``recent_games`` array (member games, oldest first).
+    ``recent`` bounds only the ``recent_games`` array: the latest member games,
+    oldest first.
     """
     predicates = default_predicates() if predicates is None else predicates
     date, tie = order[0], order[-1]
     hits = logs.select(*keys, *order, *[p.alias(f"_hit_{n}") for n, p in predicates.items()])
-    tail = last_games(hits, last_n, keys, order)
-    wide = tail.groupBy(*keys).agg(
-        F.count("*").alias("_games"),
-        F.array_sort(F.collect_list(F.struct("rn", F.col(date).alias("date"), F.col(tie).alias("id")))).alias(
-            "_tail"
-        ),
-        *[F.min(F.when(~F.col(f"_hit_{n}"), F.col("rn"))).alias(n) for n in predicates],
+    flags = {n: F.col(f"_hit_{n}") for n in predicates}
+    placed = order_groups(hits, keys, order, month_of(date) if chunk is None else chunk).running(sums={"_idx": F.lit(1)}).rows()
+    # one aggregate per key: the latest failing game of each type tells the length, the game behind it the start
+    latest = placed.groupBy(*keys).agg(
+        F.max("_idx").alias("_games"),
+        F.max(date).alias("end_date"),
+        *[F.max(F.when(~hit, F.col("_idx"))).alias(n) for n, hit in flags.items()],
     )
-    length = F.coalesce((F.col("_stop") - 1).cast("long"), F.col("_games"))
-    size = F.col("length").cast("int")
-    return (
-        wide.unpivot([*keys, "_games", "_tail"], list(predicates), "streak_type", "_stop")
-        .withColumn("length", length)
-        .where(F.col("length") >= min_length)
-        .select(
-            *keys,
-            "streak_type",
-            "length",
-            F.element_at("_tail", size)["date"].alias("start_date"),
-            F.element_at("_tail", 1)["date"].alias("end_date"),
-            F.transform(
-                F.reverse(F.slice("_tail", 1, size)),
-                lambda g: F.struct(g["id"].alias(tie), g["date"].alias(date)),
-            ).alias("recent_games"),
-        )
+    ends = latest.unpivot([*keys, "_games", "end_date"], list(predicates), "streak_type", "_stop").withColumn(
+        "length", F.col("_games") - F.coalesce("_stop", F.lit(0))
+    )
+    active = ends.where(F.col("length") >= min_length)
+    first = match_keys(
+        active.withColumn("_idx", F.coalesce("_stop", F.lit(0)) + 1),
+        placed.select(*keys, "_idx", F.col(date).alias("start_date")),
+        [*keys, "_idx"],
+        "inner",
+    )
+    game = F.struct("rn", F.col(tie).alias("id"), F.col(date).alias("date"))
+    tail = last_games(hits, recent, keys, order).groupBy(*keys).agg(F.array_sort(F.collect_list(game)).alias("_tail"))
+    shown = F.slice("_tail", F.lit(1), F.least(F.col("length"), F.lit(recent)).cast("int"))
+    return match_keys(first, tail, keys, "inner").select(
+        *keys,
+        "streak_type",
+        "length",
+        "start_date",
+        "end_date",
+        F.transform(F.reverse(shown), lambda g: F.struct(g["id"].alias(tie), g["date"].alias(date))).alias("recent_games"),
     )

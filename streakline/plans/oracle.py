@@ -120,13 +120,13 @@ BASELINES = f"{LEAGUE}, {TEAM}, {BEST}"
 def _active(keys: str, where: str = "") -> str:
     return f"""tail AS (
   SELECT *, row_number() OVER (PARTITION BY {keys}, streak_type ORDER BY game_date DESC, game_id DESC) AS rn
-  FROM hits {where} QUALIFY rn <= 40),
+  FROM hits {where}),
 tail_run AS (
   SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY {keys}, streak_type ORDER BY rn ROWS UNBOUNDED PRECEDING) AS misses
   FROM tail),
 active AS (
   SELECT {keys}, streak_type, count(*) AS length, min(game_date) AS start_date, max(game_date) AS end_date,
-    count(*) AS n_recent, arg_min(game_id, game_date) AS first_game_id
+    least(count(*), 40) AS n_recent, arg_min(game_id, game_date) FILTER (rn <= 40) AS first_game_id
   FROM tail_run WHERE misses = 0 GROUP BY ALL HAVING count(*) >= 2)"""
 
 

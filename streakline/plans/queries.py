@@ -214,7 +214,7 @@ def career_best_hist(spark, d):
 @query
 def career_best_summary(spark, d):
     best = streaks.career_best(_skater_runs(spark, d))
-    return distributions.spread(best, ["streak_type"], "career_max", bound=B.players(spark, d))
+    return distributions.spread(best, ["streak_type"], "career_max")
 
 
 # --- possession ----------------------------------------------------------------------
@@ -279,7 +279,7 @@ def possession_hist(spark, d):
 
 @query
 def possession_summary(spark, d):
-    return possession.share_summary(_season_possession(spark, d), bound=B.shifts(spark, d))
+    return possession.share_summary(_season_possession(spark, d))
 
 
 @query
@@ -368,7 +368,7 @@ def _matched(spark, d):
 
 
 def _source_metrics(spark, d):
-    return forecast.source_metrics(_matched(spark, d), bound=B.projections(spark, d))
+    return forecast.source_metrics(_matched(spark, d))
 
 
 def _sources():
@@ -397,13 +397,13 @@ def forecast_ranking(spark, d):
 
 @query
 def forecast_error_stats(spark, d):
-    return forecast.error_stats(_matched(spark, d), bound=B.projections(spark, d))
+    return forecast.error_stats(_matched(spark, d))
 
 
 @query
 def forecast_box(spark, d):
     known = _matched(spark, d).where(F.col("abs_error").isNotNull())
-    return distributions.box_stats(known, ["source"], "abs_error", bound=B.projections(spark, d)).select(
+    return distributions.box_stats(known, ["source"], "abs_error").select(
         "source", *[S.rounded(c, 4).alias(c) for c in ("lowest", "q1", "mid", "q3", "highest")]
     )
 
@@ -502,7 +502,7 @@ def most_accurate(spark, d):
 @query
 def residual_percentiles(spark, d):
     return distributions.residual_summary(
-        _comparison(spark, d), "actual_pts_per_game", "our_pts_per_game", bound=B.players(spark, d)
+        _comparison(spark, d), "actual_pts_per_game", "our_pts_per_game"
     )
 
 

@@ -14,7 +14,7 @@ from streakline.operators.distributions import (
     residual_summary,
     spread,
 )
-from streakline.operators.ordered import last_rows, order_groups
+from streakline.operators.ordered import block_of, last_rows, order_groups
 
 
 def skewed_rows(n=900, seed=3):
@@ -44,35 +44,39 @@ def brute_running(rows, exclusive):
 
 
 @pytest.mark.parametrize("exclusive", [False, True])
-@pytest.mark.parametrize("limit", [10**6, 40])
-def test_running_matches_brute_force(spark, exclusive, limit):
+@pytest.mark.parametrize("width", [1, 7, 10**6])
+def test_running_matches_brute_force(spark, exclusive, width):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "k string, t int, i int, v int")
-    groups = order_groups(df, ["k"], ["t", "i"], limit)
-    assert (groups.large is None) == (limit > 1000)
-    out = groups.running({"s": F.col("v")}, {"m": F.col("v")}, exclusive).rows()
+    groups = order_groups(df, ["k"], ["t", "i"], block_of("t", width))
+    out = groups.running({"s": F.col("v")}, {"m": F.col("v")}, {"all": F.col("v")}, exclusive).rows()
     got = {r.i: (r.s, r.m) for r in out.collect()}
     assert got == brute_running(rows, exclusive)
-    assert set(out.columns) == {"k", "t", "i", "v", "s", "m"}
+    assert set(out.columns) == {"k", "t", "i", "v", "s", "m", "all"}
+    whole = {}
+    for k, _, _, v in rows:
+        whole[k] = whole.get(k, 0) + v
+    assert {(r.k, r["all"]) for r in out.collect()} == set(whole.items())
 
 
-def test_large_groups_are_spread_over_chunks(spark):
+def test_hot_groups_are_spread_over_cells(spark):
     df = spark.createDataFrame(skewed_rows(), "k string, t int, i int, v int")
-    groups = order_groups(df, ["k"], ["t", "i"], 40)
-    sizes = [r["count"] for r in groups.large.groupBy("_chunk").count().collect()]
-    assert len(sizes) > 5
-    assert max(sizes) < 200
+    sizes = [r["count"] for r in order_groups(df, ["k"], ["t", "i"], block_of("t", 5)).cells.groupBy("_cell").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 100
 
 
-def test_transform_applies_to_both_parts(spark):
+def test_running_starts_no_job(spark):
     df = spark.createDataFrame(skewed_rows(), "k string, t int, i int, v int")
-    groups = order_groups(df, ["k"], ["t", "i"], 40).transform(lambda d: d.withColumn("w", F.col("v") * 2))
-    assert groups.running({"s": F.col("w")}).rows().agg(F.max("s")).first()[0] is not None
+    spark.sparkContext.setJobGroup("building", "building")
+    order_groups(df, ["k"], ["t", "i"], block_of("t", 5)).running({"s": F.col("v")}).rows()
+    percentiles(df.withColumn("x", F.col("v").cast("double")), ["k"], "x", PROBS)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, t int, v int")
-    assert order_groups(df, ["k"], ["t"]).running({"s": F.col("v")}).rows().count() == 0
+    assert order_groups(df, ["k"], ["t"], block_of("t", 5)).running({"s": F.col("v")}).rows().count() == 0
 
 
 def test_last_rows_limits_before_the_shuffle(spark):
@@ -83,29 +87,31 @@ def test_last_rows_limits_before_the_shuffle(spark):
     assert out.groupBy("k").count().agg(F.max("count")).first()[0] == 3
 
 
+F_ONE, F_FINE = "0", "floor(x * 3)"
 PROBS = {"lo": 0.0, "q": 0.25, "m": 0.5, "h": 0.9, "hi": 1.0}
 
 
-@pytest.mark.parametrize("limit", [10**6, 50])
-def test_percentiles_match_numpy(spark, limit):
+@pytest.mark.parametrize("chunk", [None, F_ONE, F_FINE])
+def test_percentiles_match_numpy(spark, chunk):
     rnd = random.Random(5)
     rows = [("hot", rnd.choice([1.0, 2.5, rnd.random() * 9])) for _ in range(400)]
     rows += [("cold", float(i * i)) for i in range(11)] + [("hot", None), (None, 4.0)]
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r.k: r for r in percentiles(df, ["k"], "x", PROBS, limit).collect()}
-    assert set(got) == {"hot", "cold", None}
+    found = percentiles(df, ["k"], "x", PROBS, chunk and F.expr(chunk)).collect()
+    got = {r.k: r for r in found}
+    assert set(got) == {"hot", "cold", None} and sorted(found, key=str) == sorted(percentiles(df, ["k"], "x", PROBS).collect(), key=str)
     for key in ("hot", "cold"):
         values = [x for k, x in rows if k == key and x is not None]
         for name, p in PROBS.items():
             assert got[key][name] == pytest.approx(np.percentile(values, p * 100))
 
 
-@pytest.mark.parametrize("limit", [10**6, 20])
-def test_percentiles_without_keys(spark, limit):
+@pytest.mark.parametrize("chunk", [None, F_ONE, F_FINE])
+def test_percentiles_without_keys(spark, chunk):
     values = [float((i * 37) % 101) for i in range(101)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    rows = percentiles(df, [], "x", PROBS, limit).collect()
-    assert len(rows) == 1
+    rows = percentiles(df, [], "x", PROBS, chunk and F.expr(chunk)).collect()
+    assert len(rows) == 1 and percentiles(df.limit(0), [], "x", PROBS).collect() == [(None,) * 5]
     for name, p in PROBS.items():
         assert rows[0][name] == pytest.approx(np.percentile(values, p * 100))
 

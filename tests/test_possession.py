@@ -50,16 +50,16 @@ def frames(spark, shifts, events):
     )
 
 
-@pytest.mark.parametrize("limit", [10**6, 3])
+@pytest.mark.parametrize("limit", [10**6, 7])
 def test_simple_game(spark, limit):
     e, s = frames(spark, *simple_game())
-    rows = P.game_possession(e, s, max_group_rows=limit).collect()
+    rows = P.game_possession(e, s, chunk_sec=limit).collect()
     assert len(rows) == 10
     for r in rows:
         expected = (2, 2, 50.0, 1, 2, 33.3) if r.team == "FLA" else (2, 2, 50.0, 2, 1, 66.7)
         assert (r.cf, r.ca, r.cf_pct, r.ff, r.fa, r.ff_pct) == expected
         assert r.toi_seconds == 1200
-    counts = P.on_ice_counts(e, s, max_group_rows=limit).collect()
+    counts = P.on_ice_counts(e, s, chunk_sec=limit).collect()
     assert {(r.event_id, r.n_for, r.n_against) for r in counts} == {(i, 5, 5) for i in (1, 2, 3, 4)}
 
 
@@ -168,7 +168,7 @@ def random_game(seed=7):
 def test_matches_pairwise_definition(spark, limit):
     shifts, events = random_game()
     e, s = frames(spark, shifts, events)
-    got = P.game_possession(e, s, max_group_rows=limit).collect()
+    got = P.game_possession(e, s, chunk_sec=limit).collect()
     assert {(r.game_id, r.player_id): [r.cf, r.ca, r.ff, r.fa] for r in got if r.cf + r.ca} == brute(shifts, events)
     assert all(r.ff <= r.cf and r.fa <= r.ca for r in got)
     assert sum(r.toi_seconds for r in got) == s.agg(F.sum("duration_sec")).first()[0]

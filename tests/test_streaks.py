@@ -27,6 +27,7 @@ def logs_of(spark, points, **kw):
     return spark.createDataFrame(game_rows(points, **kw), LOG)
 
 
+CHUNKS = [None, "weekofyear(game_date) * 0", "game_date"]
 JAN = [datetime.date(2026, 1, d) for d in (1, 3, 10)]
 CASES = {
     "empty": ([], []),
@@ -39,12 +40,12 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("limit", [10**6, 2])
+@pytest.mark.parametrize("chunk", CHUNKS)
 @pytest.mark.parametrize("name", CASES)
-def test_point_streaks(spark, name, limit):
+def test_point_streaks(spark, name, chunk):
     points, lengths = CASES[name]
     found = (
-        streaks.streak_islands(logs_of(spark, points), max_group_rows=limit)
+        streaks.streak_islands(logs_of(spark, points), chunk=chunk and F.expr(chunk))
         .where("streak_type = 'point_streak'")
         .orderBy("start_date")
     )
@@ -107,25 +108,25 @@ def brute_longest(rows, keys):
     return longest, total
 
 
-@pytest.mark.parametrize("limit", [10**6, 25])
-def test_longest_runs_and_islands_match_brute_force(spark, limit):
+@pytest.mark.parametrize("chunk", CHUNKS)
+def test_longest_runs_and_islands_match_brute_force(spark, chunk):
     logs, rows = random_logs(spark)
     longest, total = brute_longest(rows, (1, 2))
-    got = streaks.longest_runs(logs, max_group_rows=limit).collect()
+    got = streaks.longest_runs(logs, chunk=chunk and F.expr(chunk)).collect()
     assert {(r.player_id, r.season, r.streak_type): r.max_len for r in got} == longest
-    islands = streaks.streak_islands(logs, max_group_rows=limit)
+    islands = streaks.streak_islands(logs, chunk=chunk and F.expr(chunk))
     sums = islands.groupBy("player_id", "season", "streak_type").agg(F.sum("length").alias("n")).collect()
     assert {(r.player_id, r.season, r.streak_type): r.n for r in sums} == {k: v for k, v in total.items() if v}
-    at_game = streaks.run_lengths(logs, max_group_rows=limit)
+    at_game = streaks.run_lengths(logs, chunk=chunk and F.expr(chunk))
     assert at_game.count() == len(rows)
     best = at_game.groupBy("player_id", "season").agg(F.max("run_point_streak").alias("n")).collect()
     assert all(longest[(r.player_id, r.season, "point_streak")] == r.n for r in best)
 
 
-@pytest.mark.parametrize("limit", [10**6, 25])
-def test_tail_distributions(spark, limit):
+@pytest.mark.parametrize("chunk", CHUNKS)
+def test_tail_distributions(spark, chunk):
     logs, rows = random_logs(spark)
-    b = streaks.compute_baselines(logs, players_of(spark), limit)
+    b = streaks.compute_baselines(logs, players_of(spark), chunk and F.expr(chunk))
     longest, _ = brute_longest(rows, (1, 2))
     groups = {0: "F", 1: "D", 3: "F", 5: "ALL"}  # 2 is a goalie, 4 has no position
     league = {(r.pg, r.streak_type, r.n): r.p for r in b.league.collect()}
@@ -169,9 +170,15 @@ def test_active_streaks(spark, points, min_length, expected):
         assert r.recent_games[0].game_date == r.start_date and r.recent_games[-1].game_date == r.end_date
 
 
-def test_active_streak_is_bounded_by_last_n(spark):
-    found = streaks.active_streaks(logs_of(spark, [1] * 30), last_n=20).where("streak_type = 'point_streak'")
-    assert found.first().length == 20
+def test_a_long_active_streak_is_not_cut(spark):
+    logs = logs_of(spark, [0] + [1] * 60)
+    row = streaks.active_streaks(logs, recent=20).where("streak_type = 'point_streak'").first()
+    assert row.length == 60 and len(row.recent_games) == 20
+    assert row.start_date == datetime.date(2026, 1, 2) and row.recent_games[-1].game_date == row.end_date
+    players = players_of(spark)
+    scored = rarity.evaluate_players(logs, players, "20252026", streaks.compute_baselines(logs, players)).where("streak_type = 'point_streak'").first()
+    # the only run there is: everyone has it, and it equals the personal best
+    assert (scored.length, scored.league_p, scored.team_p, scored.player_p) == (60, 1.0, 1.0, 0.10)
 
 
 def test_custom_predicate(spark):
