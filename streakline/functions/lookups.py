@@ -17,7 +17,6 @@ SEVERITY_FLOORS = (0.90, 0.75, 0.50, 0.25)
 NOVELTY_WEIGHTS = {"league": 0.40, "team": 0.35, "player": 0.25}
 
 GAME_TYPE_LABELS = {2: "Regular Season", 3: "Playoffs"}
-GAME_TYPE_SHORT = {2: "Reg", 3: "PO"}
 
 TEAM_ALIASES = {
     "CLB": "CBJ",

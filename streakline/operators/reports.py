@@ -104,16 +104,15 @@ def players_per_game(df: DataFrame) -> DataFrame:
     return df.groupBy("game_id").agg(F.count_distinct("player_id").alias("players"))
 
 
-def game_log_report(
+def filtered_log(
     logs: DataFrame,
     players: DataFrame,
     teams: Sequence[str] | None = None,
     seasons: Sequence | None = None,
     game_types: Sequence[int] | None = None,
     dates: tuple | None = None,
-    n: int = 500,
 ) -> DataFrame:
-    """Filtered game log, latest and highest-scoring first, first ``n`` rows."""
+    """All games of known players that pass the filters, with the player's name."""
     chosen = logs.where(
         S.optional_filters(
             isin={"team_abbr": teams, "season": seasons, "game_type": game_types},
@@ -121,10 +120,14 @@ def game_log_report(
         )
     )
     names = players.select("player_id", S.full_name("first_name", "last_name").alias("player"))
+    return chosen.join(names, "player_id")
+
+
+def game_log_report(log: DataFrame, n: int = 500) -> DataFrame:
+    """The first ``n`` rows of a filtered log, latest and highest-scoring first."""
     order = (F.desc("game_date"), F.desc("points"), "game_id", "player_id")
     return (
-        chosen.join(names, "player_id")
-        .orderBy(*order)
+        log.orderBy(*order)
         .limit(n)
         .select(
             "season",
@@ -153,11 +156,11 @@ def game_log_report(
     )
 
 
-def daily_totals(report: DataFrame) -> DataFrame:
-    """Goals and points per date of a game log report."""
+def daily_totals(log: DataFrame) -> DataFrame:
+    """Goals and points per date over all rows of a filtered log, not only the listed ones."""
     return (
-        report.groupBy("date")
-        .agg(F.sum("g").alias("goals"), F.sum("pts").alias("points"))
+        log.groupBy(F.col("game_date").alias("date"))
+        .agg(F.sum("goals").alias("goals"), F.sum("points").alias("points"))
         .orderBy("date")
     )
 

@@ -16,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of few files spread over the cores, for work that is heavy per row.
-
-    A table of many files is read in enough tasks already and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 

@@ -541,8 +541,8 @@ _REPORT = """report AS (SELECT season, CASE game_type WHEN 2 THEN 'Reg' WHEN 3 T
   shorthanded_goals AS shg, game_winning_goals AS gwg, blocked_shots AS bs, giveaways AS ga, takeaways AS tk, faceoff_pct AS fo_pct
   FROM logs JOIN players USING (player_id) WHERE team_abbr IN ('click', 'purchase', 'view')
     AND season IN ('20222023', '20232024') AND game_type IN (2, 3)
-  ORDER BY game_date DESC, points DESC, game_id, player_id LIMIT 500)"""
-ORACLE["game_log_filtered"] = f"WITH {LOGS}, {PLAYERS}, {_REPORT} SELECT * FROM report"
+  ORDER BY game_date DESC, points DESC, game_id, player_id)"""
+ORACLE["game_log_filtered"] = f"WITH {LOGS}, {PLAYERS}, {_REPORT[:-1]} LIMIT 500) SELECT * FROM report"
 ORACLE["daily_totals"] = f"""WITH {LOGS}, {PLAYERS}, {_REPORT}
 SELECT CAST(date AS DATE) AS date, CAST(sum(g) AS BIGINT) AS goals, CAST(sum(pts) AS BIGINT) AS points FROM report GROUP BY 1"""
 ORACLE["player_search"] = f"""WITH {WAREHOUSE} SELECT player_id, first_name || ' ' || last_name AS name, position AS pos, current_team AS team,

@@ -440,7 +440,7 @@ def unpivot_sources(spark, d):
             for s, h in headers.items()
         ])
     )
-    chosen = {h: sheets.canonical_source(h) for h in headers.values() if sheets.is_source_header(h)}
+    chosen = sheets.source_headers(spark, list(headers.values()))
     return forecast.unpivot_sources(wide, ["player_name", "season_id"], chosen)
 
 
@@ -540,8 +540,9 @@ def top_scorers(spark, d):
     return reports.top_scorers(B.logs(spark, d), B.players(spark, d), B.team_seasons(spark, d))
 
 
-def _game_log_report(spark, d):
-    return reports.game_log_report(
+def _game_log(spark, d):
+    """The filtered log of which the report lists the first rows."""
+    return reports.filtered_log(
         B.logs(spark, d),
         B.players(spark, d),
         teams=["click", "purchase", "view"],
@@ -552,13 +553,12 @@ def _game_log_report(spark, d):
 
 @query
 def game_log_filtered(spark, d):
-    return _game_log_report(spark, d)
+    return reports.game_log_report(_game_log(spark, d))
 
 
 @query
 def daily_totals(spark, d):
-    by_day = _game_log_report(spark, d).withColumn("date", F.to_date("date"))
-    return reports.daily_totals(by_day)
+    return reports.daily_totals(_game_log(spark, d).withColumn("game_date", F.to_date("game_date")))
 
 
 @query
@@ -838,7 +838,7 @@ def boxscore_flatten(spark, d):
     The row's player sits on its own side, next to a goalie of the other side
     who did not play.
     """
-    logs = B.spread(B.logs(spark, d))
+    logs = B.logs(spark, d)
     player = F.struct(
         F.col("player_id").alias("playerId"),
         "goals",

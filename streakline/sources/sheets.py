@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -66,19 +65,12 @@ def season_results(raw: DataFrame, season_id: int) -> DataFrame:
     )
 
 
-def is_source_header(name: str) -> bool:
-    """Driver-side twin of the column rule, for choosing the columns to unpivot."""
-    key = name.strip().lower()
-    if key in K.NON_SOURCE_HEADERS or re.match(r"unnamed|colonne|hm\.\d+$", key):
-        return False
-    if len(key) <= 5 and "ge" in key:
-        return False
-    stem = re.sub(r"\.*2$", "", key)
-    return not (re.search(r"..2$", key) and (stem in K.NON_SOURCE_HEADERS or stem in K.SOURCE_ALIASES))
-
-
-def canonical_source(name: str) -> str:
-    return K.SOURCE_ALIASES.get(name.strip().lower(), name.strip())
+def source_headers(spark: SparkSession, headers: Sequence[str]) -> dict[str, str]:
+    """Header -> source for those of a sheet's few headers that name one, by the column rules."""
+    listed = spark.createDataFrame([(h,) for h in headers], "header string")
+    named = listed.where(S.is_source_header("header")).select("header", S.source_name("header").alias("source"))
+    found = {r["header"]: r["source"] for r in named.collect()}
+    return {h: found[h] for h in headers if h in found}
 
 
 @dataclass(frozen=True)
@@ -122,7 +114,6 @@ SHEET_LAYOUTS = {
     2025: SheetLayout(first=("Prénom",), last=("Nom",), team=_TEAM, late=True),
 }
 TEXT_LAYOUT_YEAR = 2019
-FIRST_YEAR, LAST_YEAR = 2016, 2025
 
 
 def _unique_headers(names: Sequence[str]) -> list[str]:
@@ -138,18 +129,27 @@ def _unique_headers(names: Sequence[str]) -> list[str]:
 
 
 def read_sheet(spark: SparkSession, path: str, header_row: int = 0) -> DataFrame:
-    """CSV sheet as text columns; the header may sit below a banner line."""
-    head = [r.value for r in spark.read.text(path).limit(header_row + 1).collect()]
-    names = _unique_headers(next(csv.reader([head[header_row]])))
+    """CSV sheet as text columns; the header may sit below banner lines.
+
+    Rows that equal the header or a banner line in all cells are left out, in
+    every file of a folder. The lines are those of its first file.
+    """
+    lines = spark.read.text(path)
+    first = lines.agg(F.min("_metadata.file_path")).first()[0]
+    head = [next(csv.reader([r.value]), []) for r in spark.read.text(first).limit(header_row + 1).collect()]
+    names = _unique_headers(head[header_row])
     ddl = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
     rows = spark.read.schema(ddl).csv(path, header=False, quote='"')
-    first_name_column = F.col(f"`{names[0]}`")
-    header_cell = next(csv.reader([head[header_row]]))[0].strip()
-    return rows.where(~first_name_column.eqNullSafe(F.lit(header_cell or None))) if header_cell else rows
+    for cells in head:
+        padded = [*cells, *[""] * len(names)][: len(names)]
+        same = [F.col(f"`{c}`").eqNullSafe(F.lit(cell or None)) for c, cell in zip(rows.columns, padded)]
+        rows = rows.where(~S.all_of(same))
+    return rows
 
 
-def sheet_sources(columns: Sequence[str], layout: SheetLayout) -> dict[str, str]:
+def sheet_sources(spark: SparkSession, columns: Sequence[str], layout: SheetLayout) -> dict[str, str]:
     """Header -> source of the columns that hold forecasts."""
+    known = {} if layout.late else source_headers(spark, columns)
     fixed = dict(layout.fixed)
     names = {*layout.full, *layout.first, *layout.last, *layout.team, *layout.skip}
     found = {}
@@ -162,8 +162,8 @@ def sheet_sources(columns: Sequence[str], layout: SheetLayout) -> dict[str, str]
         elif layout.late:
             if key in K.LATE_SHEET_SOURCES:
                 found[column] = K.LATE_SHEET_SOURCES[key]
-        elif is_source_header(column):
-            found[column] = canonical_source(column)
+        elif column in known:
+            found[column] = known[column]
     return found
 
 
@@ -182,7 +182,7 @@ def sheet_projections(sheet: DataFrame, year: int) -> DataFrame:
         first, last = S.first_name(whole), S.last_name(whole)
     else:
         first, last = _pick(sheet, layout.first), _pick(sheet, layout.last)
-    sources = sheet_sources(sheet.columns, layout)
+    sources = sheet_sources(sheet.sparkSession, sheet.columns, layout)
     named = sheet.select(
         first.alias("first_name"),
         last.alias("last_name"),
@@ -208,7 +208,8 @@ def _dated(rows: DataFrame, year: int) -> DataFrame:
     )
 
 
-# rank, name, team code, four values and their mean
+# --- fixed value: rank, name, team code, four values and their mean ----------------
+
 RECORD_PATTERN = (
     r"(?U)(\d+)\s+([\w\s.\-]+?)\s+([A-Z]{2,4})\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d,]+)"
 )
@@ -234,9 +235,13 @@ def text_records(lines: DataFrame, column: str = "value", ids: Sequence[str] = (
 
 
 def text_projections(lines: DataFrame, year: int = TEXT_LAYOUT_YEAR) -> DataFrame:
-    """Forecast rows of the run-together text layout."""
+    """Forecast rows of the run-together text layout; ``lines`` holds a sheet's whole text in a row.
+
+    Records may go on in the next line.
+    """
+    joined = lines.select(F.regexp_replace("value", r"\s*[\r\n]+\s*", " ").alias("value"))
     names = F.array(*[F.lit(s) for s in K.RECORD_SOURCES])
-    rows = text_records(lines).select(
+    rows = text_records(joined).select(
         "first_name",
         "last_name",
         "team",
@@ -250,14 +255,20 @@ def read_projections(
 ) -> DataFrame:
     """All forecast sheets as one table. ``sheets`` maps a file year to its CSV path.
 
-    Years that are not asked for, or whose file is absent, are left out.
+    Without ``years``, absent files are left out; a year that is asked for and
+    has no file is an error.
     """
+    there = [year for year, path in sorted(sheets.items()) if path_exists(spark, path)]
+    absent = sorted(set(years or ()) - set(there))
+    if absent:
+        raise FileNotFoundError(f"no projection sheet for {', '.join(map(str, absent))}")
     parts = []
-    for year, path in sorted(sheets.items()):
-        if (years and year not in years) or not path_exists(spark, path):
+    for year in there:
+        path = sheets[year]
+        if years and year not in years:
             continue
         if year == TEXT_LAYOUT_YEAR:
-            parts.append(text_projections(spark.read.text(path)))
+            parts.append(text_projections(spark.read.text(path, wholetext=True)))
         else:
             layout = SHEET_LAYOUTS[year]
             parts.append(sheet_projections(read_sheet(spark, path, layout.header_row), year))

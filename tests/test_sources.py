@@ -114,7 +114,7 @@ def test_sheets(spark, tmp_path):
         2016: write(tmp_path / "a.csv", "Prenom,Nom,HM,ESPN,MOY\nAl,Bo,80,70.9,75\nCy,,1,1,1\n,Di,5,0,2\n"),
         2017: write(tmp_path / "b.csv", "banner,,,\nPrenom,Nom,PP,Rang\nAl,Bo,60,1\nEm,nan,3,1\n"),
         2018: write(tmp_path / "c.csv", "RG,HM,NOM,,EQUIPE,HM,MOY,HN\n1,1,Al,Bo,TB,90,80,70\n"),
-        2019: write(tmp_path / "d.txt", "1 Al St-Bo TB 90 91 92 93 91,5 2 Cy Éd WIN 10 11 12 13 11,5\n"),
+        2019: write(tmp_path / "d.txt", "1 Al St-Bo TB 90 91 92 93\n91,5 2 Cy Éd WIN 10 11\r\n12 13 11,5\n"),
         2020: write(tmp_path / "e.csv", "Rang,Nom,Équipe,ath,Moyenne\n1,Al van Bo,sj,88,80\n"),
         2021: write(tmp_path / "f.csv", "Rang,Prénom,Nom,Équipe,HM,ATH,MOY\n1,Al,Bo,LA,77,x,1\n"),
         2022: write(tmp_path / "g.csv", "RG,NOM,Équipe,HM,ESPN,MOY,Autre\n1,Al Bo,FLO,66,65,1,9\n"),
@@ -142,6 +142,19 @@ def test_sheets(spark, tmp_path):
         sheets.read_projections(spark, files, [2025])
 
 
+def test_only_whole_head_lines_are_dropped(spark, tmp_path):
+    text = "Liste,,\nPrenom,Nom,HM\nAl,Bo,80\nPrenom,Nom,70\nPrenom,Nom,HM\n"
+    folder = tmp_path / "sheet"
+    folder.mkdir()
+    write(folder / "a.csv", text)
+    write(folder / "b.csv", text.replace("Al,Bo", "Cy,Di"))
+    rows = sheets.read_sheet(spark, str(folder), header_row=1).collect()
+    assert sorted(tuple(r) for r in rows) == [("Al", "Bo", "80"), ("Cy", "Di", "80"), ("Prenom", "Nom", "70"), ("Prenom", "Nom", "70")]
+    unnamed = write(tmp_path / "u.csv", ",Nom,HM\nAl,Bo,80\n,Di,5\n")
+    rows = sheets.read_sheet(spark, unnamed).collect()
+    assert [tuple(r) for r in rows] == [("Al", "Bo", "80"), (None, "Di", "5")]
+
+
 def test_results_table_and_backtest(spark, tmp_path):
     text = "Rk,Player,Tm,Pos,GP,G,A,PTS\n1,Al Bo,EDM,C,82,30,50,80\nRk,Rk,Tm,Pos,GP,G,A,PTS\n2,Cy de Di,TOT,D,60,1,2,3\n2,Cy de Di,AAA,D,x,1,2,2\n"
     raw = spark.read.csv(write(tmp_path / "r.csv", text), header=True)
