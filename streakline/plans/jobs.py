@@ -5,20 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streakline import schemas
 from streakline.operators import forecast, rarity, streaks, tables
 from streakline.sources import documents, sheets, sinks
 
-PARTITIONS = {
-    "players": ["bucket"],
-    "player_team_seasons": ["season"],
-    "player_game_logs": ["season"],
-    "play_by_play": ["season"],
-    "player_shifts": ["season"],
-}
 PLAYER_BUCKETS = 64
 
 
@@ -28,6 +21,21 @@ def season_of_game(game_id):
     return F.concat(year.cast("string"), (year + 1).cast("string"))
 
 
+def partitions(name: str) -> dict[str, Column]:
+    """Partition columns of a table, each a function of its key.
+
+    The season of a game log is not: boxscores without one leave it empty.
+    """
+    by_game = season_of_game(F.col("game_id"))
+    return {
+        "players": {"bucket": F.pmod(F.hash("player_id"), F.lit(PLAYER_BUCKETS))},
+        "player_team_seasons": {"season": F.col("season")},
+        "player_game_logs": {"game_season": by_game},
+        "play_by_play": {"season": by_game},
+        "player_shifts": {"season": by_game},
+    }[name]
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Five keyed Parquet tables below one root folder."""
@@ -41,6 +49,7 @@ class Warehouse:
     def ddl(self, name: str) -> str:
         extra = {
             "players": ", bucket int",
+            "player_game_logs": ", game_season string",
             "play_by_play": ", season string",
             "player_shifts": ", season string",
         }
@@ -57,7 +66,7 @@ class Warehouse:
             self.path(name),
             incoming,
             schemas.KEYS[name],
-            PARTITIONS[name],
+            partitions(name),
             order,
             schemas.LOG_DEFAULTS,
             self.ddl(name),
@@ -76,9 +85,8 @@ def load_rosters(warehouse: Warehouse, docs: DataFrame) -> None:
     """Players and their team per season; the latest season of a player wins."""
     rows = documents.flatten_rosters(docs)
     order = [F.desc("season"), F.asc("team_abbr")]
-    bucket = F.pmod(F.hash("player_id"), F.lit(PLAYER_BUCKETS)).alias("bucket")
     newest = tables.latest_per_key(rows, ["player_id"], order)
-    warehouse.store("players", newest.drop("team_abbr", "season").select("*", bucket))
+    warehouse.store("players", newest.drop("team_abbr", "season"))
     pairs = rows.select("player_id", "season", "team_abbr")
     warehouse.store("player_team_seasons", pairs, [F.asc("team_abbr")])
 
@@ -108,7 +116,6 @@ def load_events(warehouse: Warehouse, docs: DataFrame, skip_existing: bool = Tru
     rows = documents.flatten_play_by_play(docs)
     if skip_existing:
         rows = tables.skip_existing(rows, warehouse.table("play_by_play"), ["game_id"])
-    rows = rows.withColumn("season", season_of_game(F.col("game_id")))
     warehouse.store("play_by_play", rows, [F.desc("sort_order")])
 
 
@@ -116,7 +123,6 @@ def load_shifts(warehouse: Warehouse, docs: DataFrame, skip_existing: bool = Tru
     rows = documents.flatten_shift_charts(docs)
     if skip_existing:
         rows = tables.skip_existing(rows, warehouse.table("player_shifts"), ["game_id"])
-    rows = rows.withColumn("season", season_of_game(F.col("game_id")))
     warehouse.store("player_shifts", rows, [F.desc("event_number")])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,29 +45,45 @@ def touched_partitions(incoming: DataFrame, partition_by: Sequence[str]) -> Colu
     return reduce(lambda a, b: a | b, matches, F.lit(False))
 
 
+def partitioned(incoming: DataFrame, keys: Sequence[str], partition_by: Mapping[str, Column]) -> DataFrame:
+    """``incoming`` with its partition columns, which must follow from the key alone.
+
+    Otherwise two versions of one row could lie in different partitions, and an
+    upsert of one would not find the other.
+    """
+    try:
+        incoming.select(*keys).withColumns(dict(partition_by)).schema
+    except AnalysisException as error:
+        raise ValueError(f"partition columns {list(partition_by)} do not follow from the key {list(keys)}") from error
+    return incoming.withColumns(dict(partition_by))
+
+
 def upsert_table(
     spark: SparkSession,
     path: str,
     incoming: DataFrame,
     keys: Sequence[str],
-    partition_by: Sequence[str],
+    partition_by: Mapping[str, Column],
     order: Sequence[Column] = (),
     defaults: Mapping[str, object] | None = None,
     ddl: str | None = None,
 ) -> None:
     """Merge rows into a partitioned table; other partitions are neither read nor written.
 
-    Rows of one key must stay in one partition. Files are staged and swapped at
-    commit, so a lost executor leaves the old partition in place.
+    ``partition_by`` has expressions over the key columns, so rows of one key
+    always share a partition. Files are staged and swapped at commit, so a lost
+    executor leaves the old partition in place.
     """
+    names = list(partition_by)
+    incoming = partitioned(incoming, keys, partition_by)
     if not path_exists(spark, path):
         declared = spark.createDataFrame([], schemas.schema(ddl)) if ddl else incoming.limit(0)
-        write_partitions(upsert(declared, incoming, keys, order, defaults), path, partition_by)
+        write_partitions(upsert(declared, incoming, keys, order, defaults), path, names)
         return
     reader = spark.read.schema(ddl) if ddl else spark.read
     table = reader.parquet(path)
-    existing = table.where(touched_partitions(incoming, partition_by))
-    write_partitions(upsert(existing, incoming, keys, order, defaults), path, partition_by)
+    existing = table.where(touched_partitions(incoming, names))
+    write_partitions(upsert(existing, incoming, keys, order, defaults), path, names)
 
 
 def write_jsonl(anomalies: DataFrame, path: str) -> None:

@@ -185,14 +185,21 @@ def test_upsert_replaces_whole_rows(spark):
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in merged.collect()}
 
 
+KEYED = ["id", "season"]
+
+
+def by_season():
+    return {"season": F.col("season")}
+
+
 def test_partitioned_upsert_touches_only_its_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     ddl = "id int, v int, season string"
     first = spark.createDataFrame([(1, 1, "A"), (2, 1, "B")], ddl)
-    sinks.upsert_table(spark, path, first, ["id"], ["season"], ddl=ddl)
+    sinks.upsert_table(spark, path, first, KEYED, by_season(), ddl=ddl)
     before = sorted(p.name for p in (tmp_path / "t" / "season=B").iterdir())
     more = spark.createDataFrame([(1, 2, "A"), (3, 2, "A")], ddl)
-    sinks.upsert_table(spark, path, more, ["id"], ["season"], ddl=ddl)
+    sinks.upsert_table(spark, path, more, KEYED, by_season(), ddl=ddl)
     rows = {(r.id, r.v, r.season) for r in spark.read.schema(ddl).parquet(path).collect()}
     assert rows == {(1, 2, "A"), (3, 2, "A"), (2, 1, "B")}
     assert sorted(p.name for p in (tmp_path / "t" / "season=B").iterdir()) == before
@@ -202,13 +209,28 @@ def test_touched_partitions_prune_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     ddl = "id int, v int, season string"
     rows = spark.createDataFrame([(1, 1, "A"), (2, 1, "B"), (3, 1, None)], ddl)
-    sinks.upsert_table(spark, path, rows, ["id"], ["season"], ddl=ddl)
+    sinks.upsert_table(spark, path, rows, KEYED, by_season(), ddl=ddl)
     more = spark.createDataFrame([(4, 1, "A"), (5, 1, None)], ddl)
     pruned = spark.read.schema(ddl).parquet(path).where(sinks.touched_partitions(more, ["season"]))
     assert len(pruned._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [(")) == 2
     assert {r.id for r in pruned.collect()} == {1, 3}
 
 
+def test_a_changed_season_leaves_one_row(spark, tmp_path):
+    warehouse = jobs.Warehouse(spark, str(tmp_path / "w"))
+    ddl = schemas.GAME_LOGS
+
+    def row(season, goals):
+        base = spark.createDataFrame([(2023020001, 10, season, goals)], "game_id long, player_id long, season string, goals int")
+        return tables.evolve(base, schemas.schema(ddl), schemas.LOG_DEFAULTS)
+
+    warehouse.store("player_game_logs", row("", 1))
+    warehouse.store("player_game_logs", row("20232024", 2))
+    assert [(r.season, r.goals) for r in warehouse.table("player_game_logs").collect()] == [("20232024", 2)]
+    with pytest.raises(ValueError):
+        sinks.upsert_table(spark, str(tmp_path / "x"), row("", 1), ["game_id", "player_id"], by_season())
+
+
 def test_schema_evolution(spark):
     old = spark.createDataFrame([(1, 2, "2025-10-08", 3, "x")], "game_id int, player_id int, game_date string, goals int, current_team string")
     new = tables.evolve(old, schemas.schema(schemas.GAME_LOGS), schemas.LOG_DEFAULTS)
