@@ -4,9 +4,9 @@ A document is its set of distinct shingles of ``WORDS`` words. Two sets link
 when ``SHARE`` percent of their union is common. Steps:
 
 1. Equal sets become one node.
-2. Nodes that agree in a band of minima are compared with the smallest node of
-   the band. The verified links join nearly all copies of a text, however many,
-   by stars instead of pairs.
+2. Nodes that agree in a band of minima are compared with one node of the band,
+   drawn anew in each of ``STARS`` rounds. The verified links join nearly all
+   copies of a text, however many, by stars instead of pairs.
 3. The exact search. Linked sets share a shingle among the first
    ``size - ceil(SHARE% of size) + 1`` of both, in any common order; those are
    posted to lists by shingle. Frequent shingles come last in that order, which
@@ -38,16 +38,19 @@ from streakline.llm.common import components, small, stored
 
 WORDS = 5
 SHARE = 75
-#: Group counts of the R-tree's points; finer counts have about a quarter as many groups as shingles.
-GROUPS = 32
+#: Group counts of the R-tree's points; finer counts have a quarter to a half as many groups as shingles.
+GROUPS = 256
 FINEST = 8_192
+#: Minima of a set, and rounds of stars, each with other pairs of minima.
 BINS = 16
-#: Postings of one task of step 3, members of one tile of step 4, points of an R-tree leaf.
+STARS = 4
+#: Postings of one task of step 3, members of one tile of step 4, tasks that lists with one smallest node share, points of a leaf.
 POSTINGS = 500_000
 TILE = 4_096
+SPREAD = 4
 LEAF = 16
 #: Frequent shingles: at most so many, seen so often in a sample of about so many documents. They order, no more.
-FREQUENT, SEEN, SAMPLE = 100_000, 10, 20_000
+FREQUENT, SEEN, SAMPLE = 400_000, 4, 50_000
 #: Nodes whose ids are broadcast to find their texts; beyond, a shuffle join.
 NEEDED = 1_000_000
 
@@ -129,20 +132,24 @@ def _least(n: int) -> int:
     return -(-n * SHARE // 100)
 
 
-def _bands(h: np.ndarray) -> list[int]:
-    """Hashes of pairs of bin minima; an empty bin takes the next one's."""
+def _minima(h: np.ndarray) -> list[int]:
+    """32 bits of the smallest hash of each bin; an empty bin takes the next one's."""
     edges = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << np.uint64(60))
-    mins = h[edges % len(h)]
-    return _mixed(mins[::2] * _MIX[0] + mins[1::2] + np.arange(BINS // 2, dtype=np.uint64)).view(np.int64).tolist()
+    return (_mixed(h[edges % len(h)]) >> np.uint64(33)).tolist()
 
 
 def _fine_groups(n: int) -> int:
     groups = GROUPS
-    while groups * 8 <= n and groups < FINEST:
+    while groups * 4 <= n and groups < FINEST:
         groups *= 2
     return groups
 
 
+def _bytes(counts: np.ndarray) -> bytes:
+    """Counts as bytes; a set with a larger count than that is all 255, which bounds nothing."""
+    return (counts if counts.max() < 255 else np.full(len(counts), 255)).astype(np.uint8).tobytes()
+
+
 def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(-1, groups).sum(axis=0)
 
@@ -159,39 +166,52 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fine = np.bincount((h & np.uint64(_fine_groups(n) - 1)).astype(np.int64), minlength=_fine_groups(n))
             coarse = _fold(fine, GROUPS)
             node = _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
-            rows.append((doc, text_hash, node, n, _bands(h), coarse.astype("<u4").tobytes(), fine.astype(_narrow(n)).tobytes()))
-        frame = pd.DataFrame(rows, columns=["id", "text_hash", "node", "n", "bands", "coarse", "fine"])
+            rows.append((doc, text_hash, node, n, _minima(h), _bytes(coarse), _bytes(fine)))
+        frame = pd.DataFrame(rows, columns=["id", "text_hash", "node", "n", "minima", "coarse", "fine"])
         yield frame.astype({"id": batch["id"].dtype, "node": "Int64"})
 
 
-def _narrow(n: int) -> str:
-    """The type that holds every count of a set of ``n``."""
-    return "<u2" if n < 65_536 else "<u4"
+def _coarse(blobs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), GROUPS)
 
 
-def _coarse(blobs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<u4").reshape(len(blobs), GROUPS)
+def _dealt(h: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places of its members) for hashes dealt over ranges."""
+    where = (_mixed(h) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        yield int(where[order[a]]), order[a:b]
 
 
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shingles that several documents of a partition have."""
-    kept, waiting = [], 0
+def _gathered(ranges: int):
+    """The shingles of all sets in blocks by range."""
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        values, counts = np.unique(np.concatenate(kept), return_counts=True)
-        return values[counts > 1], counts[counts > 1]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, waiting = [], 0
 
-    for batch in batches:
-        for text in batch["text"]:
-            kept.append(shingles(text))
-            waiting += len(kept[-1])
-            if waiting > 2_000_000:
-                values, counts = summed()
-                yield pd.DataFrame({"shingle": values.view(np.int64), "seen": counts})
-                kept, waiting = [], 0
-    if kept:
-        values, counts = summed()
-        yield pd.DataFrame({"shingle": values.view(np.int64), "seen": counts})
+        def blocks() -> pd.DataFrame:
+            h = np.concatenate(kept)
+            return pd.DataFrame([(part, h[at].tobytes()) for part, at in _dealt(h, ranges)], columns=["part", "shingles"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                kept.append(shingles(text))
+                waiting += len(kept[-1])
+                if waiting > 1_000_000:
+                    yield blocks()
+                    kept, waiting = [], 0
+        if waiting:
+            yield blocks()
+
+    return run
+
+
+def _frequent(group: pd.DataFrame) -> pd.DataFrame:
+    """Shingles that ``SEEN`` sets of the sample have."""
+    values, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in group["shingles"]]), return_counts=True)
+    often = counts >= SEEN
+    return pd.DataFrame({"shingle": values[often].view(np.int64), "seen": counts[often]})
 
 
 def _posted(frequent: np.ndarray, ranges: int):
@@ -204,13 +224,7 @@ def _posted(frequent: np.ndarray, ranges: int):
 
         def blocks() -> pd.DataFrame:
             h, node = (np.concatenate(x) for x in zip(*kept))
-            where = (_mixed(h) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cuts = np.flatnonzero(np.diff(where[order], prepend=-1))
-            rows = [
-                (int(where[order[a]]), h[order[a:b]].tobytes(), node[order[a:b]].tobytes())
-                for a, b in zip(cuts, [*cuts[1:], len(order)])
-            ]
+            rows = [(part, h[at].tobytes(), node[at].tobytes()) for part, at in _dealt(h, ranges)]
             return pd.DataFrame(rows, columns=["part", "shingles", "nodes"])
 
         for batch in batches:
@@ -351,6 +365,15 @@ def _tree_pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
 def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Candidate pairs of each (shingle, left, right); rows of a tile come one after the other."""
     rest: pd.DataFrame | None = None
+    given: set[tuple[int, int]] = set()
+
+    def new(pairs: pd.DataFrame) -> pd.DataFrame:
+        """Those of ``pairs`` that this task has not given lately; a pair may come again, never be lost."""
+        if len(given) > 500_000:
+            given.clear()
+        fresh = [p not in given for p in zip(pairs["a"], pairs["b"])]
+        given.update(zip(pairs["a"], pairs["b"]))
+        return pairs[fresh]
 
     def found(rows: pd.DataFrame, whole: bool) -> Iterator[pd.DataFrame]:
         """Pairs of all lists of ``rows`` but the last, which may go on in the next batch unless ``whole``."""
@@ -363,9 +386,9 @@ def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts, sizes = starts[:-1], sizes[:-1]
         leaf = (sizes <= LEAF) & (ids[starts, 1] == ids[starts, 2])
         if leaf.any():
-            yield _single_leaves(rows, starts[leaf], sizes[leaf])
+            yield new(_single_leaves(rows, starts[leaf], sizes[leaf]))
         for a, size in zip(starts[~leaf], sizes[~leaf]):
-            yield from _tree_pairs(rows.iloc[a : a + size])
+            yield from map(new, _tree_pairs(rows.iloc[a : a + size]))
 
     for batch in batches:
         if len(batch):
@@ -377,8 +400,10 @@ def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _may_link(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Series) -> pd.Series:
     """The bound with the finer counts, folded to what both sides have."""
 
-    def may(n, x, m, y) -> bool:
-        a, b = np.frombuffer(x, _narrow(n)), np.frombuffer(y, _narrow(m))
+    def may(n: int, x: bytes, m: int, y: bytes) -> bool:
+        if min(n, m) * 100 < SHARE * max(n, m):
+            return False
+        a, b = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (x, y))
         groups = min(len(a), len(b))
         return int(np.minimum(_fold(a, groups), _fold(b, groups)).sum()) * (100 + SHARE) >= SHARE * (n + m)
 
@@ -402,7 +427,7 @@ def _set_of(texts: pd.Series) -> pd.Series:
 
 def _verified(pairs: DataFrame, texts: DataFrame, described: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link. ``pairs`` is stored."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # one document of each node stands for it
     where = stored(
         described.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("doc"))
@@ -425,29 +450,25 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     described = stored(
         texts.mapInPandas(
             _described,
-            f"id {id_type}, text_hash long, node long, n long, bands array<long>, coarse binary, fine binary",
+            f"id {id_type}, text_hash long, node long, n long, minima array<int>, coarse binary, fine binary",
         )
     )
-    nodes = stored(described.where("n > 0").select("node", "n", "bands", "coarse", "fine").dropDuplicates(["node"]))
-
-    # step 2: stars
-    banded = stored(nodes.select(F.explode("bands").alias("band"), "node"))
-    leads = stored(banded.groupBy("band").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    near = banded.join(leads, "band").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stored(_verified(_bounded(stored(near), nodes), texts, described))
-    homes = stored(components(stars)) if stars.limit(1).count() else None
+    nodes = stored(described.where("n > 0").select("node", "n", "minima", "coarse", "fine").dropDuplicates(["node"]))
+    described = described.select("id", "text_hash", "node", "n")
+    homes, stars = _stars(nodes, texts, described)
 
     # step 3: lists of shingles
-    total = described.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1).alias("p"), F.count(F.lit(1)).alias("d")).first()
+    total = described.agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1).alias("p"), F.count(F.lit(1)).alias("d")
+    ).first()
     ranges = max(1, -(-int(total["p"] or 0) // POSTINGS))
-    every = max(1, (total["d"] or 0) // SAMPLE)
+    every = max(1, total["d"] // SAMPLE)
     often = (
         texts.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(every)) == 0)
         .select("text")
-        .mapInPandas(_frequent, "shingle long, seen long")
-        .groupBy("shingle")
-        .agg(F.sum("seen").alias("seen"))
-        .where(F.col("seen") >= SEEN)
+        .mapInPandas(_gathered(max(1, int(total["n"] or 0) // every // POSTINGS)), "part int, shingles binary")
+        .groupBy("part")
+        .applyInPandas(_frequent, "shingle long, seen long")
         .orderBy(F.desc("seen"), "shingle")
         .limit(FREQUENT)
         .collect()
@@ -459,15 +480,16 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
         .groupBy("part")
         .applyInPandas(_shared, "shingle long, node long")
     )
-    points = nodes.select("node", "n", "coarse")
-    if homes is None:
-        placed = points.withColumn("home", F.col("node"))
-    else:
-        placed = points.join(homes, "node", "left").select("node", "n", "coarse", F.coalesce("component", "node").alias("home"))
-    placed = stored(placed)
+    placed = stored(nodes.select("node", "n", "coarse").join(homes, "node"))
     entries = stored(shared.join(placed.select("node", "home"), "node"))
-    lists = entries.groupBy("shingle").agg(F.min("home").alias("low"), F.max("home").alias("high"), F.count(F.lit(1)).alias("members"))
-    lists = stored(lists.where("low <> high").select("shingle", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")))
+    lists = entries.groupBy("shingle").agg(
+        F.min("home").alias("low"), F.max("home").alias("high"), F.min("node").alias("first"), F.count(F.lit(1)).alias("members")
+    )
+    # copies share many lists: lists with one smallest node go to few tasks, which give a pair once
+    task = F.xxhash64("first", F.pmod("shingle", F.lit(SPREAD)))
+    lists = stored(
+        lists.where("low <> high").select("shingle", task.alias("task"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+    )
 
     # step 4: R-trees over tiles
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -476,11 +498,11 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
         entries.join(lists, "shingle")
         .withColumn("tile", tile)
         .withColumn("against", against)
-        .select("shingle", "node", "home", "tile", F.least("tile", "against").alias("left"), F.greatest("tile", "against").alias("right"))
+        .select("task", "shingle", "node", "home", "tile", F.least("tile", "against").alias("left"), F.greatest("tile", "against").alias("right"))
         .join(placed.select("node", "n", "coarse"), "node")
     )
     candidates = stored(
-        tiled.repartition("shingle", "left", "right")
+        tiled.repartition("task", "left", "right")
         .sortWithinPartitions("shingle", "left", "right")
         .mapInPandas(_tile_pairs, "a long, b long")
         .distinct()
@@ -488,7 +510,31 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
 
     # step 5
     links = stored(_verified(_bounded(candidates, nodes), texts, described))
-    return described.select("id", "text_hash", "node", "n"), stars.unionByName(links)
+    return described, stars.unionByName(links)
+
+
+def _stars(nodes: DataFrame, texts: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, home) of every node after all rounds, and the links (a, b) that were found.
+
+    Bands are pairs of minima: a passage that many texts share gives one of the
+    two more often than both. Only bands that still span two homes take part.
+    """
+    homes = nodes.select("node", F.col("node").alias("home"))
+    stars = None
+    for turn in range(STARS):
+        bins = [(i, (i + 2 * turn + 1) % BINS) for i in range(0, BINS, 1 if turn else 2)]
+        keys = F.array(*[F.xxhash64(F.lit(i), F.col("minima")[i], F.col("minima")[j]) for i, j in bins])
+        banded = stored(nodes.select("node", F.explode(F.array_distinct(keys)).alias("band")).join(homes, "node"))
+        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "home"))
+        leads = banded.groupBy("band").agg(drawn.alias("lead"), F.min("home").alias("low"), F.max("home").alias("high"))
+        leads = stored(leads.where("low <> high").select("band", F.col("lead.node").alias("lead"), F.col("lead.home").alias("lead_home")))
+        near = banded.join(leads, "band").where("home <> lead_home")
+        near = stored(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
+        found = _verified(_bounded(near, nodes), texts, described)
+        stars = stored(found if stars is None else stars.unionByName(found))
+        joined = components(stars)
+        homes = stored(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("home")))
+    return homes, stars
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
