@@ -44,6 +44,8 @@ FINEST = 8_192
 #: Minima of a set, and rounds of stars, each with other pairs of minima.
 BINS = 16
 STARS = 4
+#: Pairs of two components that a task gives in the first run of step 4.
+FEW = 4
 #: Postings of one task of step 3, members of one tile of step 4, tasks that lists with one smallest node share, points of a leaf.
 POSTINGS = 500_000
 TILE = 4_096
@@ -321,12 +323,12 @@ class CountTree:
         yield from descend(depth, i, j)
 
 
-def _single_leaves(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
-    """Candidate pairs of lists that fill one leaf each: all of them are bounded at once.
+def _single_leaves(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (places in ``rows``) of lists that fill one leaf each: all of them are bounded at once.
 
     ``starts`` and ``sizes`` say where the lists lie in ``rows``.
     """
-    node, home, n = (rows[c].to_numpy() for c in ("node", "home", "n"))
+    home, n = rows["home"].to_numpy(), rows["n"].to_numpy()
     firsts, seconds = [], []
     for size in np.unique(sizes):
         i, j = np.triu_indices(size, 1)
@@ -338,12 +340,11 @@ def _single_leaves(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) ->
     a, b = a[apart], b[apart]
     points = (_coarse(rows["coarse"]), n, n)
     keep = CountTree._may(points, a, points, b)
-    a, b = node[a[keep]], node[b[keep]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    return a[keep], b[keep]
 
 
-def _tree_pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of one (shingle, left, right)."""
+def _tree_pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs (places in ``rows``) of one (shingle, left, right)."""
     node, home, n, tile = (rows[c].to_numpy() for c in ("node", "home", "n", "tile"))
     counts = _coarse(rows["coarse"])
     left, right = int(rows["left"].iloc[0]), int(rows["right"].iloc[0])
@@ -357,44 +358,61 @@ def _tree_pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         apart = home[a] != home[b]
         if left == right:
             apart &= node[a] < node[b]
-        a, b = node[a[apart]], node[b[apart]]
-        if len(a):
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        yield a[apart], b[apart]
 
 
-def _tile_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _named(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, few: int | None) -> pd.DataFrame:
+    """Pairs of places as pairs of nodes; with ``few`` only so many, drawn by a hash, of each two homes."""
+    node, home = rows["node"].to_numpy(), rows["home"].to_numpy()
+    found = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+    if few is None:
+        return found.drop_duplicates()
+    found["low"], found["high"] = np.minimum(home[a], home[b]), np.maximum(home[a], home[b])
+    draw = _mixed(found["a"].to_numpy().view(np.uint64) * _MIX[0] + found["b"].to_numpy().view(np.uint64))
+    return found.iloc[np.argsort(draw)].drop_duplicates(["a", "b"]).groupby(["low", "high"]).head(few)[["a", "b"]]
+
+
+def _tile_pairs(few: int | None):
     """Candidate pairs of each (shingle, left, right); rows of a tile come one after the other."""
-    rest: pd.DataFrame | None = None
-    given: set[tuple[int, int]] = set()
-
-    def new(pairs: pd.DataFrame) -> pd.DataFrame:
-        """Those of ``pairs`` that this task has not given lately; a pair may come again, never be lost."""
-        if len(given) > 500_000:
-            given.clear()
-        fresh = [p not in given for p in zip(pairs["a"], pairs["b"])]
-        given.update(zip(pairs["a"], pairs["b"]))
-        return pairs[fresh]
-
-    def found(rows: pd.DataFrame, whole: bool) -> Iterator[pd.DataFrame]:
-        """Pairs of all lists of ``rows`` but the last, which may go on in the next batch unless ``whole``."""
-        nonlocal rest
-        ids = rows[["shingle", "left", "right"]].to_numpy()
-        starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
-        sizes = np.diff(np.append(starts, len(rows)))
-        if not whole:
-            rest = rows.iloc[starts[-1] :]
-            starts, sizes = starts[:-1], sizes[:-1]
-        leaf = (sizes <= LEAF) & (ids[starts, 1] == ids[starts, 2])
-        if leaf.any():
-            yield new(_single_leaves(rows, starts[leaf], sizes[leaf]))
-        for a, size in zip(starts[~leaf], sizes[~leaf]):
-            yield from map(new, _tree_pairs(rows.iloc[a : a + size]))
 
-    for batch in batches:
-        if len(batch):
-            yield from found(batch if rest is None else pd.concat([rest, batch], ignore_index=True), False)
-    if rest is not None:
-        yield from found(rest, True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        given: set[tuple[int, int]] = set()
+
+        def new(pairs: pd.DataFrame) -> pd.DataFrame:
+            """Those of ``pairs`` that this task has not given lately; a pair may come again, never be lost."""
+            if len(given) > 100_000:
+                given.clear()
+            keys = list(zip(pairs["a"].tolist(), pairs["b"].tolist()))
+            fresh = [k not in given for k in keys]
+            given.update(keys)
+            return pairs[fresh]
+
+        def found(rows: pd.DataFrame, whole: bool) -> Iterator[pd.DataFrame]:
+            """Pairs of all lists of ``rows`` but the last, which may go on in the next batch unless ``whole``."""
+            nonlocal rest
+            ids = rows[["shingle", "left", "right"]].to_numpy()
+            starts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
+            sizes = np.diff(np.append(starts, len(rows)))
+            if not whole:
+                rest = rows.iloc[starts[-1] :]
+                starts, sizes = starts[:-1], sizes[:-1]
+            leaf = (sizes <= LEAF) & (ids[starts, 1] == ids[starts, 2])
+            if leaf.any():
+                yield new(_named(rows, *_single_leaves(rows, starts[leaf], sizes[leaf]), few))
+            for at, size in zip(starts[~leaf], sizes[~leaf]):
+                one = rows.iloc[at : at + size]
+                for a, b in _tree_pairs(one):
+                    if len(a):
+                        yield new(_named(one, a, b, few))
+
+        for batch in batches:
+            if len(batch):
+                yield from found(batch if rest is None else pd.concat([rest, batch], ignore_index=True), False)
+        if rest is not None:
+            yield from found(rest.reset_index(drop=True), True)
+
+    return run
 
 
 def _may_link(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Series) -> pd.Series:
@@ -480,8 +498,19 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
         .groupBy("part")
         .applyInPandas(_shared, "shingle long, node long")
     )
-    placed = stored(nodes.select("node", "n", "coarse").join(homes, "node"))
-    entries = stored(shared.join(placed.select("node", "home"), "node"))
+    links = stars
+    for few in (FEW, None):
+        candidates = _candidates(shared, nodes, homes, few)
+        found = _verified(_bounded(candidates, nodes), texts, described)
+        links = stored(links.unionByName(found))
+        if few:
+            homes = _homes(nodes, links)
+    return described, links
+
+
+def _candidates(shared: DataFrame, nodes: DataFrame, homes: DataFrame, few: int | None) -> DataFrame:
+    """Step 4: stored pairs (a, b) of nodes with different homes that may link, by R-trees over tiles of the lists."""
+    entries = stored(shared.join(homes, "node"))
     lists = entries.groupBy("shingle").agg(
         F.min("home").alias("low"), F.max("home").alias("high"), F.min("node").alias("first"), F.count(F.lit(1)).alias("members")
     )
@@ -490,8 +519,6 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     lists = stored(
         lists.where("low <> high").select("shingle", task.alias("task"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
     )
-
-    # step 4: R-trees over tiles
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     against = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     tiled = (
@@ -499,18 +526,20 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
         .withColumn("tile", tile)
         .withColumn("against", against)
         .select("task", "shingle", "node", "home", "tile", F.least("tile", "against").alias("left"), F.greatest("tile", "against").alias("right"))
-        .join(placed.select("node", "n", "coarse"), "node")
+        .join(nodes.select("node", "n", "coarse"), "node")
     )
-    candidates = stored(
+    return stored(
         tiled.repartition("task", "left", "right")
         .sortWithinPartitions("shingle", "left", "right")
-        .mapInPandas(_tile_pairs, "a long, b long")
+        .mapInPandas(_tile_pairs(few), "a long, b long")
         .distinct()
     )
 
-    # step 5
-    links = stored(_verified(_bounded(candidates, nodes), texts, described))
-    return described, stars.unionByName(links)
+
+def _homes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, home) of every node, by the components of the links."""
+    joined = nodes.select("node").join(components(links), "node", "left")
+    return stored(joined.select("node", F.coalesce("component", "node").alias("home")))
 
 
 def _stars(nodes: DataFrame, texts: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -532,8 +561,7 @@ def _stars(nodes: DataFrame, texts: DataFrame, described: DataFrame) -> tuple[Da
         near = stored(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
         found = _verified(_bounded(near, nodes), texts, described)
         stars = stored(found if stars is None else stars.unionByName(found))
-        joined = components(stars)
-        homes = stored(nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("home")))
+        homes = _homes(nodes, stars)
     return homes, stars
 
 
