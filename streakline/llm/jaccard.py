@@ -148,8 +148,12 @@ def _fine_groups(n: int) -> int:
 
 
 def _bytes(counts: np.ndarray) -> bytes:
-    """Counts as bytes; a set with a larger count than that is all 255, which bounds nothing."""
-    return (counts if counts.max() < 255 else np.full(len(counts), 255)).astype(np.uint8).tobytes()
+    """Counts as integers of 8, 16 or 32 bits, the least that holds them all; the length tells which."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _counts(blob: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(blob, f"u{len(blob) // groups}")
 
 
 def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -174,7 +178,9 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _coarse(blobs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), GROUPS)
+    if (blobs.str.len() == GROUPS).all():
+        return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), GROUPS)
+    return np.stack([_counts(x, GROUPS) for x in blobs])
 
 
 def _dealt(h: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -421,7 +427,7 @@ def _may_link(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Seri
     def may(n: int, x: bytes, m: int, y: bytes) -> bool:
         if min(n, m) * 100 < SHARE * max(n, m):
             return False
-        a, b = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (x, y))
+        a, b = (_counts(c, _fine_groups(k)).astype(np.int64) for k, c in ((n, x), (m, y)))
         groups = min(len(a), len(b))
         return int(np.minimum(_fold(a, groups), _fold(b, groups)).sum()) * (100 + SHARE) >= SHARE * (n + m)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,38 @@ def test_a_very_long_text(spark):
     assert found(table(spark, rows)) == {1: (299_996, 1), 2: (299_996, 1), 3: (1, 3)}
 
 
+def test_large_sets_link_without_the_stars(spark, monkeypatch):
+    described = jaccard._described
+
+    def starless(batches):
+        """Runs on the workers: minima that no two sets share."""
+        own = jaccard._minima
+        jaccard._minima = lambda h: [(int(np.bitwise_xor.reduce(h)) + i) & 0x7FFFFFFF for i in range(jaccard.BINS)]
+        try:
+            yield from described(batches)
+        finally:
+            jaccard._minima = own
+
+    monkeypatch.setattr(jaccard, "_described", starless)
+    words = [f"v{i}" for i in range(100_000)]
+    changed = words[:1_000] + ["y"] + words[1_001:]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[:60_000])), (4, "a b c d e f")]
+    assert found(table(spark, rows)) == {1: (99_996, 1), 2: (99_996, 1), 3: (59_996, 3), 4: (2, 4)}
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000, 3_000_000])
+def test_counts_of_any_size_bound_the_overlap(n):
+    h = jaccard._mixed(np.arange(n, dtype=np.uint64))
+    groups = jaccard._fine_groups(n)
+    fine = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    blob, coarse = jaccard._bytes(fine), jaccard._bytes(jaccard._fold(fine, jaccard.GROUPS))
+    assert jaccard._may_link([n], [blob], [n], [blob]).tolist() == [True]
+    small_ = jaccard._bytes(np.ones(jaccard.GROUPS, np.int64))
+    points = (jaccard._coarse(pd.Series([coarse, small_])), *[np.array([n, jaccard.GROUPS])] * 2)
+    assert points[0].sum(axis=1, dtype=np.int64).tolist() == [n, jaccard.GROUPS]
+    assert jaccard.CountTree._may(points, np.array([0, 0]), points, np.array([0, 1])).tolist() == [True, False]
+
+
 def test_one_of_each_stays(spark):
     rows = copies(5, 70) + [(1_000, None), (1_001, "")]
     docs = table(spark, rows).withColumns({"id": F.lit(1), "node": F.lit("n"), "text_hash": F.lit(0), "n": F.lit(2)})
