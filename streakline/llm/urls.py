@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from streakline.llm.common import small, stored
 
-#: Labels and path segments of a URL that a pattern may have.
-MAX_LABELS = 8
-MAX_SEGMENTS = 4
 #: An interval is posted to every stretch of so many days that it touches; a capture looks in its own stretch.
 STRETCH = 64
 
@@ -28,18 +25,15 @@ def url_host(url: Column) -> Column:
 
 
 def url_keys(url: Column) -> Column:
-    """Patterns that cover a URL: its host, parent domains of two labels or more, and the host with each path prefix."""
+    """Patterns that cover a URL: its host, all parent domains, and the host with each path prefix."""
     host = url_host(url)
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/+$", "")
     labels, segments = F.split(host, r"\."), F.split(F.ltrim(path, F.lit("/")), "/")
-    domains = [
-        F.when(F.size(labels) >= n, F.concat_ws(".", F.slice(labels, -n, n))) for n in range(2, MAX_LABELS + 1)
-    ]
-    prefixes = [
-        F.when((path != "") & (F.size(segments) >= n), F.concat(host, F.lit("/"), F.concat_ws("/", F.slice(segments, 1, n))))
-        for n in range(1, MAX_SEGMENTS + 1)
-    ]
-    every = F.array_distinct(F.array_compact(F.array(host, *domains, *prefixes)))
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat_ws(".", F.slice(labels, -n, n)))
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.size(segments)), lambda n: F.concat(host, F.lit("/"), F.concat_ws("/", F.slice(segments, 1, n)))
+    )
+    every = F.array_distinct(F.concat(domains, F.when(path != "", prefixes).otherwise(F.array().cast("array<string>"))))
     return F.when(host != "", every).otherwise(F.array().cast("array<string>"))
 
 

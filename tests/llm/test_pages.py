@@ -98,6 +98,23 @@ def test_intervals_and_keys(spark):
     assert urls.blocked_captures(captures.limit(0), entries).count() == 0
 
 
+def listed(spark, patterns, captured):
+    """{page_id: (blocked_by, n_active)} of captures under a list of patterns that are always active."""
+    day = F.lit("2024-01-01").cast("date")
+    entries = spark.createDataFrame([(p,) for p in patterns], "pattern string").select(
+        "pattern", F.lit("r").alias("reason"), F.lit("add").alias("action"), day.alias("listed_on")
+    )
+    captures = spark.createDataFrame(list(enumerate(captured)), "page_id long, url string").withColumn("fetched_on", day)
+    return {r.page_id: (r.blocked_by, r.n_active) for r in urls.blocked_captures(captures, entries).collect()}
+
+
+def test_deep_patterns_and_top_domains(spark):
+    deep = "h.org/" + "/".join("abcdefghij")
+    domain = ".".join("abcdefghijkl")
+    got = listed(spark, [deep, "h.org/a/b/c/d/e", domain, "net"], [f"http://{deep}/k?x", "http://h.org/a/b/c/d/ee", f"http://z.y.{domain}/", "http://a.net", "http://net.org/net"])
+    assert got == {0: (deep, 2), 1: (None, 0), 2: (domain, 1), 3: ("net", 1), 4: (None, 0)}
+
+
 def test_archives_round_trip(spark):
     body = "<p>" + "x" * 200 + "</p>"
     rows = [("http://a.org/ b\r\n%41é", body), ("u", body), (None, None), ("v", ""), ("w", "short"), ("w", "short"), ("z", "é" * 300_000)]
