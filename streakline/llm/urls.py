@@ -43,10 +43,12 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     ``entries`` has pattern, reason, action ('add' or 'remove') and listed_on.
     An entry holds until the pattern's next one; of entries of one day a
     removal wins, then the smallest reason. Entries without pattern, date or a
-    known action are ignored. Patterns are compared in lower case.
+    known action are ignored. Hosts are compared in lower case, paths as they are.
     """
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
     usable = entries.where("pattern <> '' AND listed_on IS NOT NULL AND action IN ('add', 'remove')").select(
-        F.lower("pattern").alias("pattern"), "reason", "action", F.col("listed_on").alias("from_day")
+        pattern.alias("pattern"), "reason", "action", F.col("listed_on").alias("from_day")
     )
     best = usable.groupBy("pattern", "from_day").agg(
         F.max("action").alias("action"), F.min(F.when(F.col("action") == "add", F.col("reason"))).alias("reason")

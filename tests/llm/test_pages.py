@@ -115,6 +115,11 @@ def test_deep_patterns_and_top_domains(spark):
     assert got == {0: (deep, 2), 1: (None, 0), 2: (domain, 1), 3: ("net", 1), 4: (None, 0)}
 
 
+def test_upper_case_paths(spark):
+    got = listed(spark, ["H.org/News", "h.org/Old/b", "UP.org"], ["http://h.ORG/News/1", "http://h.org/news/1", "http://h.org/Old/b", "http://up.org/X"])
+    assert got == {0: ("h.org/News", 1), 1: (None, 0), 2: ("h.org/Old/b", 1), 3: ("up.org", 1)}
+
+
 def test_archives_round_trip(spark):
     body = "<p>" + "x" * 200 + "</p>"
     rows = [("http://a.org/ b\r\n%41é", body), ("u", body), (None, None), ("v", ""), ("w", "short"), ("w", "short"), ("z", "é" * 300_000)]
