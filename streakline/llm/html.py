@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -178,6 +178,42 @@ def _same(a: list, b: list) -> bool:
     return a[0] == b[0]
 
 
+def _whole(step: Generator) -> list:
+    """What a generator returns that yields other such generators and is sent what they return: nesting of any depth."""
+    open_, value = [step], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(value))
+            value = None
+        except StopIteration as end:
+            open_.pop()
+            value = end.value
+    return value
+
+
+def packed(tree: list) -> str:
+    """The tree as a flat JSON list, parents before children: [label, optional, repeated, number of children]."""
+    flat, open_ = [], [tree]
+    while open_:
+        node = open_.pop()
+        flat.append([node[0], int(node[1]), int(node[2]), len(node[3])])
+        open_.extend(reversed(node[3]))
+    return json.dumps(flat, separators=(",", ":"))
+
+
+def unpacked(flat: list) -> list:
+    """The tree of a flat list."""
+    top: list = []
+    open_ = [(top, 1)]
+    for name, optional, repeated, size in flat:
+        while len(open_[-1][0]) == open_[-1][1]:
+            open_.pop()
+        node: list = [name, bool(optional), bool(repeated), []]
+        open_[-1][0].append(node)
+        open_.append((node[3], size))
+    return top[0]
+
+
 def page_tree(html: str) -> list:
     """The page's tree of labels with repeated siblings folded."""
     root: list = ["", False, False, []]
@@ -206,10 +242,15 @@ def page_tree(html: str) -> list:
 
 def fold(node: list) -> list:
     """``node`` with runs of siblings of one label aligned into one repeated child."""
+    return _whole(_fold(node))
+
+
+def _fold(node: list) -> Generator:
     children: list = []
-    for child in map(fold, node[3]):
+    for child in node[3]:
+        child = yield _fold(child)
         if children and _same(children[-1], child):
-            children[-1] = align(children[-1], child)
+            children[-1] = yield _align(children[-1], child)
             children[-1][2] = True
         else:
             children.append(child)
@@ -220,7 +261,8 @@ def fold(node: list) -> list:
         while at < len(children):
             group = children[at : at + width]
             if len(made) >= width and len(group) == width and all(map(_same, made[-width:], group)):
-                made[-width:] = [_repeated(align(a, b)) for a, b in zip(made[-width:], group)]
+                for i, b in enumerate(group, len(made) - width):
+                    made[i] = _repeated((yield _align(made[i], b)))
                 at += width
             else:
                 made.append(children[at])
@@ -236,13 +278,20 @@ def _repeated(node: list) -> list:
 
 def align(a: list, b: list) -> list:
     """The least wrapper of this form that covers both, which have one label."""
-    return [a[0], a[1] or b[1], a[2] or b[2], _aligned(a[3], b[3])]
+    return _whole(_align(a, b))
+
 
+def _align(a: list, b: list) -> Generator:
+    return [a[0], a[1] or b[1], a[2] or b[2], (yield _aligned(a[3], b[3]))]
 
-def _aligned(one: list, two: list) -> list:
+
+def _aligned(one: list, two: list) -> Generator:
     """Children of both sides in order: matched ones aligned, others optional."""
     if [x[0] for x in one] == [x[0] for x in two]:
-        return [align(x, y) for x, y in zip(one, two)]
+        paired = []
+        for x, y in zip(one, two):
+            paired.append(x if x[0] == SLOT and x == y else (yield _align(x, y)))
+        return paired
     longest = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
     for i in range(len(one) - 1, -1, -1):
         for j in range(len(two) - 1, -1, -1):
@@ -251,7 +300,7 @@ def _aligned(one: list, two: list) -> list:
     made: list = []
     while i < len(one) or j < len(two):
         if i < len(one) and j < len(two) and _same(one[i], two[j]):
-            made.append(align(one[i], two[j]))
+            made.append((yield _align(one[i], two[j])))
             i, j = i + 1, j + 1
         elif j >= len(two) or (i < len(one) and longest[i + 1][j] >= longest[i][j + 1]):
             made.append([one[i][0], True, *one[i][2:]])
@@ -264,7 +313,7 @@ def _aligned(one: list, two: list) -> list:
     for child in made:
         if merged and _same(merged[-1], child) and (merged[-1][1] or child[1]):
             optional = merged[-1][1] and child[1]
-            merged[-1] = _repeated(align(merged[-1], child))
+            merged[-1] = _repeated((yield _align(merged[-1], child)))
             merged[-1][1] = optional
         else:
             merged.append(child)
@@ -273,17 +322,29 @@ def _aligned(one: list, two: list) -> list:
 
 def as_expression(node: list) -> str:
     """The wrapper as a regular expression over tags, for people to read."""
-    inner = SLOT if node[0] == SLOT else (f"<{node[0]}>" if node[0] else "") + "".join(map(as_expression, node[3])) + ("</>" if node[0] else "")
-    mark = ("*" if node[1] else "+") if node[2] else "?" if node[1] else ""
-    return f"({inner}){mark}" if mark else inner
-
-
-def slot_paths(node: list, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
-    for child in node[3]:
-        if child[0] == SLOT:
-            yield path
+    made: list[str] = []
+    open_: list = [node]
+    while open_:
+        one = open_.pop()
+        if isinstance(one, str):
+            made.append(one)
+            continue
+        mark = ("*" if one[1] else "+") if one[2] else "?" if one[1] else ""
+        made.append(("(" if mark else "") + (SLOT if one[0] == SLOT else f"<{one[0]}>" if one[0] else ""))
+        open_.append(("</>" if one[0] not in ("", SLOT) else "") + (f"){mark}" if mark else ""))
+        open_.extend(reversed(one[3]))
+    return "".join(made)
+
+
+def slot_paths(node: list) -> Iterator[tuple[str, ...]]:
+    """Paths of the slots of a tree or of its flat list."""
+    open_: list = [(node if isinstance(node[0], str) else unpacked(node), ())]
+    while open_:
+        one, path = open_.pop()
+        if one[0] == SLOT:
+            yield path[:-1]
         else:
-            yield from slot_paths(child, (*path, child[0]))
+            open_.extend((child, (*path, child[0])) for child in reversed(one[3]))
 
 
 def _parts(one: str) -> tuple[str, set[str]]:
@@ -336,17 +397,17 @@ def main_text(html: str | None, wanted: frozenset | set) -> str:
 def _merged(trees: pd.Series) -> str:
     """One wrapper for the trees, aligned in order of size and text so that the result is always the same."""
     ordered = sorted(trees, key=lambda t: (len(t), t))
-    wrapper = json.loads(ordered[0])
+    wrapper = unpacked(json.loads(ordered[0]))
     for tree in ordered[1:]:
-        wrapper = align(wrapper, json.loads(tree))
-    return json.dumps(wrapper, separators=(",", ":"))
+        wrapper = align(wrapper, unpacked(json.loads(tree)))
+    return packed(wrapper)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of every host's pages as JSON. ``pages`` has host and html."""
+    """(host, wrapper): the wrapper of every host's pages as a flat JSON list. ``pages`` has host and html."""
 
     def trees(htmls: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(page_tree(h or ""), separators=(",", ":")) for h in htmls], dtype=object)
+        return pd.Series([packed(page_tree(h or "")) for h in htmls], dtype=object)
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [_merged(group["tree"])]})

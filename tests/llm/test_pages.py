@@ -46,6 +46,16 @@ def test_broken_markup_ends(text):
     assert isinstance(html.main_text(text, {()}), str)
 
 
+def test_pages_of_any_depth(spark):
+    deep = ["<div>" * 3_000 + "deep", "<b>" * 4_000 + "<p>x</p><p>y", "<font>z" * 1_500]
+    rows = [(f"http://h.org/{i}", h) for i, h in enumerate([*deep, "<p>flat</p>"])]
+    got = {r.page_id: r.text for r in html.extract_articles(pages(spark, rows)).collect()}
+    assert got == {0: "deep", 1: "x\n\ny", 2: "z" * 1_500, 3: "flat"}
+    tree = html.page_tree("<div>" * 50_000 + "x")
+    assert html.unpacked(html.json.loads(html.packed(tree))) is not None
+    assert html.as_expression(html.align(tree, tree)) == "<div>" * 50_000 + "#" + "</>" * 50_000
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     one = html.page_tree("<ul><li>a</li></ul><p>x</p>")
     two = html.page_tree("<ul><li>a</li><li>b</li><li>c</li></ul><h2>n</h2><p>y</p>")
