@@ -10,7 +10,8 @@ classed by where they lie; extraction takes each page's texts that lie in slots
 of the article.
 
 Trees are made distinct before the shuffle and a host's trees are aligned in
-parts first, so a host of any number of pages is a few small trees per task.
+parts of about ``TREES``, round after round, until one is left: a host of any
+number of layouts spreads over as many tasks as it needs.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from streakline.llm.common import small, stored
 from streakline.llm.urls import url_host
 
-#: Parts in which the trees of one host are aligned first.
-PARTS = 16
+#: Distinct trees of one host that a task aligns in a round.
+TREES = 1_000
 WRAPPERS = 20_000
 
 # Fixed values of HTML: names of elements by how they behave.
@@ -412,10 +413,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [_merged(group["tree"])]})
 
-    distinct = pages.select("host", F.pandas_udf(trees, "string")("html").alias("tree")).distinct()
-    part = F.pmod(F.xxhash64("tree"), F.lit(PARTS))
-    parts = distinct.withColumn("part", part).groupBy("host", "part").applyInPandas(merged, "host string, tree string")
-    return parts.groupBy("host").applyInPandas(merged, "host string, tree string").withColumnRenamed("tree", "wrapper")
+    made = stored(pages.select("host", F.pandas_udf(trees, "string")("html").alias("tree")).distinct())
+    while True:
+        counts = stored(made.groupBy("host").agg(F.count(F.lit(1)).alias("trees")))
+        if (counts.agg(F.max("trees")).first()[0] or 0) <= 1:
+            return made.withColumnRenamed("tree", "wrapper")
+        part = F.pmod(F.xxhash64("tree"), F.ceil(F.col("trees") / TREES))
+        parts = made.join(small(counts, WRAPPERS), "host").select("host", "tree", part.alias("part"))
+        made = stored(parts.groupBy("host", "part").applyInPandas(merged, "host string, tree string"))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:

@@ -74,6 +74,22 @@ def test_a_wrapper_covers_every_slot_of_its_pages(spark):
         assert set(html.slot_paths(html.page_tree(r.html))) <= slots
 
 
+def test_trees_of_a_host_are_merged_in_rounds(spark, monkeypatch):
+    own = html._merged
+
+    def bounded(trees):
+        assert len(trees) <= 12
+        return own(trees)
+
+    monkeypatch.setattr(html, "_merged", bounded)
+    monkeypatch.setattr(html, "TREES", 3)
+    rows = [("a", "".join(f"<{n}>x</{n}>" for k, n in enumerate(("h1", "h2", "h3", "h4", "h5", "h6")) if i >> k & 1)) for i in range(1, 64)]
+    df = spark.createDataFrame([*rows, ("b", "<p>x")], "host string, html string")
+    found = {r.host: html.json.loads(r.wrapper) for r in html.infer_wrappers(df).collect()}
+    assert set(found) == {"a", "b"} and set(html.slot_paths(found["a"])) == {(f"h{k}",) for k in range(1, 7)}
+    assert html.infer_wrappers(df.limit(0)).count() == 0
+
+
 def test_articles_of_the_sample(spark):
     import re
     from html import unescape
