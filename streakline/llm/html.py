@@ -5,9 +5,9 @@ folded into one repeated group, so that all pages of a layout have one short
 tree. The distinct trees of a host are aligned one after the other: children
 are matched by a longest common subsequence of their labels, what only one side
 has becomes optional, what one side has several times becomes repeated, and
-texts that differ become slots. The result is the host's wrapper. Its slots are
-classed by where they lie; extraction takes each page's texts that lie in slots
-of the article.
+texts become slots. The result is the host's wrapper. Its slots are classed by
+where they lie. Extraction takes a page's texts that lie in slots of the best
+kind of region that this page has, since a host may have several layouts.
 
 Trees are made distinct before the shuffle and a host's trees are aligned in
 parts of about ``TREES``, round after round, until one is left: a host of any
@@ -21,6 +21,7 @@ import re
 from collections.abc import Generator, Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -348,51 +349,87 @@ def slot_paths(node: list) -> Iterator[tuple[str, ...]]:
             open_.extend((child, (*path, child[0])) for child in reversed(one[3]))
 
 
-def _parts(one: str) -> tuple[str, set[str]]:
-    name, *words = one.split(".")
-    return name, set(words)
-
+#: Where a slot lies: in something set aside, or in one of the kinds of regions, best first.
+ASIDE_KIND = 1
+REGIONS = (2, 4, 8)
 
-def article_paths(wrapper: list) -> list[tuple[str, ...]]:
-    """The wrapper's slots that hold main text.
 
-    They lie in an article or main element, or in one whose class, id or role
-    says so, and in nothing that is set aside. Of nested regions the elements
-    win over the words. A wrapper without such a region takes every slot of the
-    body that is not set aside.
-    """
-    clear = [p for p in dict.fromkeys(slot_paths(wrapper)) if not any(n in ASIDE or w & ASIDE_WORDS for n, w in map(_parts, p))]
-    for wanted in (
-        lambda n, w: n == "article",
-        lambda n, w: n in MAIN or "main" in w,
-        lambda n, w: bool(w & MAIN_WORDS),
-    ):
-        found = [p for p in clear if any(wanted(*_parts(x)) for x in p)]
-        if found:
-            return found
-    return clear
+@lru_cache(maxsize=100_000)
+def _kinds(one: str) -> int:
+    """What an element of this label makes of the slots in it."""
+    name, *words = one.split(".")
+    aside = name in ASIDE or not ASIDE_WORDS.isdisjoint(words)
+    regions = (name == "article", name in MAIN or "main" in words, not MAIN_WORDS.isdisjoint(words))
+    return ASIDE_KIND * aside + sum(kind for kind, there in zip(REGIONS, regions) if there)
 
 
-def main_text(html: str | None, wanted: frozenset | set) -> str:
-    """Texts of a page that lie in the wanted slots: blocks joined by an empty line, white space as single spaces."""
-    blocks: list[str] = []
+@lru_cache(maxsize=1_000)
+def wrapper_slots(wrapper: str) -> list:
+    """The wrapper as a tree of paths: [kinds, number of the slot or -1, {label: below}]."""
+    root: list = [0, -1, {}]
+    open_, count = [(unpacked(json.loads(wrapper)), root)], 0
+    while open_:
+        node, at = open_.pop()
+        for child in node[3]:
+            if child[0] != SLOT:
+                open_.append((child, at[2].setdefault(child[0], [at[0] | _kinds(child[0]), -1, {}])))
+            elif at[1] < 0:
+                at[1] = count
+                count += 1
+    return root
+
+
+def _blocks(items: Iterator[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(slot of the first text, text) of the blocks of a page, white space as single spaces; an item of slot -2 ends a block, -1 has no slot."""
+    blocks: list[tuple[int, str]] = []
     parts: list[str] = []
+    first = -1
+    for slot, text in chain(items, [(-2, "")]):
+        if slot == -2:
+            block = " ".join(unescape("".join(parts)).split())
+            parts.clear()
+            if block:
+                blocks.append((first, block))
+            first = -1
+        else:
+            parts.append(text)
+            if first < 0 and text.strip():
+                first = slot
+    return blocks
 
-    def end() -> None:
-        block = " ".join(unescape("".join(parts)).split())
-        parts.clear()
-        if block:
-            blocks.append(block)
 
+def page_blocks(html: str | None, slots: list) -> list[tuple[int, str]]:
+    """(slot, text) of the blocks of a page's main text.
+
+    Main text lies in an article or main element, or in one whose class, id or
+    role says so, and in nothing that is set aside. The best of these kinds that
+    has text on this page is taken; of nested regions the elements win over the
+    words. A page without such a region gives every slot that is not set aside.
+    """
+    found: list[tuple[int, int, str]] = []
     for kind, value in events(html or ""):
-        if kind == "block":
-            end()
-        elif kind == "gap":
-            parts.append(" ")
-        elif value[0] in wanted:
-            parts.append(value[1])
-    end()
-    return "\n\n".join(blocks)
+        if kind == "text":
+            at = slots
+            for name in value[0]:
+                at = at[2].get(name)
+                if at is None:
+                    break
+            if at is not None and at[1] >= 0 and not at[0] & ASIDE_KIND:
+                found.append((at[0], at[1], value[1]))
+        else:
+            found.append((sum(REGIONS), -2 if kind == "block" else -1, " "))
+    there = 0
+    for kinds, slot, text in found:
+        if slot >= 0 and text.strip():
+            there |= kinds
+    wanted = next((kind for kind in REGIONS if there & kind), sum(REGIONS))
+    return _blocks((slot, text) for kinds, slot, text in found if kinds & wanted or not there)
+
+
+def main_text(html: str | None, wanted: frozenset | set) -> str:
+    """Texts of a page that lie at the wanted paths: blocks joined by an empty line."""
+    items = ((0, v[1]) if k == "text" else (-2 if k == "block" else -1, " ") for k, v in events(html or "") if k != "text" or v[0] in wanted)
+    return "\n\n".join(text for _, text in _blocks(items))
 
 
 def _merged(trees: pd.Series) -> str:
@@ -430,19 +467,10 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     relative URLs) share a wrapper. Rows that repeat each other are answered each.
     """
     rows = pages.select("page_id", "url", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), "html")
-    wrappers = stored(infer_wrappers(rows.select("host", "html")))
+    wrappers = infer_wrappers(rows.select("host", "html"))
 
-    def paths(found: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(article_paths(json.loads(w))) for w in found], dtype=object)
+    def text(htmls: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series(["\n\n".join(t for _, t in page_blocks(h, wrapper_slots(w))) for h, w in zip(htmls, found)], dtype=object)
 
-    def text(htmls: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, _path_set(w)) for h, w in zip(htmls, wanted)], dtype=object)
-
-    slots = stored(wrappers.select("host", F.pandas_udf(paths, "string")("wrapper").alias("slots")))
-    texts = rows.join(small(slots, WRAPPERS), "host").select("page_id", "url", F.pandas_udf(text, "string")("html", "slots").alias("text"))
+    texts = rows.join(small(wrappers, WRAPPERS), "host").select("page_id", "url", F.pandas_udf(text, "string")("html", "wrapper").alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
-
-
-@lru_cache(maxsize=1_000)
-def _path_set(slots: str) -> frozenset:
-    return frozenset(map(tuple, json.loads(slots)))

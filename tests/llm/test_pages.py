@@ -90,6 +90,20 @@ def test_trees_of_a_host_are_merged_in_rounds(spark, monkeypatch):
     assert html.infer_wrappers(df.limit(0)).count() == 0
 
 
+def test_each_page_has_its_best_region(spark):
+    rows = [
+        ("http://h.org/1", "<nav>n</nav><article><p>One</p></article>"),
+        ("http://h.org/2", "<nav>n</nav><main><p>Two <i>a</i> <i>b</i></p></main><div>x</div>"),
+        ("http://h.org/3", "<div class=content><p>Three</p><aside>no</aside></div><div>x</div>"),
+        ("http://h.org/4", "<div><p>Four</p></div><footer>no</footer>"),
+        (None, "<article>Five</article>"),
+        ("six", "<div>Six</div>"),
+        ("http://h.org/7", "<article> <nav>n</nav></article><main>Seven</main>"),
+    ]
+    got = {r.page_id: r.text for r in html.extract_articles(pages(spark, rows)).collect()}
+    assert got == {0: "One", 1: "Two a b", 2: "Three", 3: "Four", 4: "Five", 5: "Six", 6: "Seven"}
+
+
 def test_articles_of_the_sample(spark):
     import re
     from html import unescape
