@@ -9,6 +9,10 @@ texts become slots. The result is the host's wrapper. Its slots are classed by
 where they lie. Extraction takes a page's texts that lie in slots of the best
 kind of region that this page has, since a host may have several layouts.
 
+The trees hold no texts. Which texts are the wrapper's own and which are data
+is told by counts: a block of text that all different pages of a host with its
+slot have there is the wrapper's, and extraction leaves it out.
+
 Trees are made distinct before the shuffle and a host's trees are aligned in
 parts of about ``TREES``, round after round, until one is left: a host of any
 number of layouts spreads over as many tasks as it needs.
@@ -24,7 +28,7 @@ from html import unescape
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streakline.llm.common import small, stored
@@ -33,6 +37,8 @@ from streakline.llm.urls import url_host
 #: Distinct trees of one host that a task aligns in a round.
 TREES = 1_000
 WRAPPERS = 20_000
+#: Different pages with a slot from which a text that all of them have there is the wrapper's.
+ALIKE = 8
 
 # Fixed values of HTML: names of elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -464,13 +470,31 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     """Digest: page_id, url, text and n_chars of the main text of every page.
 
     A null or empty html has an empty text. Pages without a host (null or
-    relative URLs) share a wrapper. Rows that repeat each other are answered each.
+    relative URLs) share a wrapper. Texts of the wrapper are left out, unless a
+    page has no other. Rows that repeat each other are answered each.
     """
     rows = pages.select("page_id", "url", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), "html")
     wrappers = infer_wrappers(rows.select("host", "html"))
 
-    def text(htmls: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series(["\n\n".join(t for _, t in page_blocks(h, wrapper_slots(w))) for h, w in zip(htmls, found)], dtype=object)
-
-    texts = rows.join(small(wrappers, WRAPPERS), "host").select("page_id", "url", F.pandas_udf(text, "string")("html", "wrapper").alias("text"))
+    def blocks(htmls: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([[{"slot": n, "block": t} for n, t in page_blocks(h, wrapper_slots(w))] for h, w in zip(htmls, found)], dtype=object)
+
+    made = F.pandas_udf(blocks, "array<struct<slot:int,block:string>>")("html", "wrapper").alias("blocks")
+    page = F.struct(F.xxhash64("html").alias("page"), F.length("html").alias("size")).alias("page")
+    found = stored(rows.join(small(wrappers, WRAPPERS), "host").select("page_id", "url", "host", page, made))
+    known = F.struct(F.col("slot"), F.xxhash64("block").alias("block"))
+    kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("own", F.array().cast("array<struct<slot:int,block:bigint>>")), F.struct(b["slot"].alias("slot"), F.xxhash64(b["block"]).alias("block"))))
+    # a page of nothing else keeps them
+    left = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
+    own = stored(_own_texts(found, known))
+    texts = found.join(small(own, WRAPPERS), "host", "left").select("page_id", "url", F.array_join(F.transform(left, lambda b: b["block"]), "\n\n").alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _own_texts(found: DataFrame, known: Column) -> DataFrame:
+    """(host, own): slots and hashes of the texts of each host's wrapper. Pages that repeat each other count once."""
+    seen = stored(found.select("host", "page", F.inline("blocks")).select("host", "page", known.alias("text")).distinct())
+    slots = seen.select("host", F.col("text.slot").alias("slot"), "page").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"))
+    texts = seen.groupBy("host", "text").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= ALIKE)
+    texts = texts.withColumn("slot", F.col("text.slot"))
+    return texts.join(slots, ["host", "slot", "pages"]).groupBy("host").agg(F.collect_list("text").alias("own"))

@@ -104,6 +104,20 @@ def test_each_page_has_its_best_region(spark):
     assert got == {0: "One", 1: "Two a b", 2: "Three", 3: "Four", 4: "Five", 5: "Six", 6: "Seven"}
 
 
+def test_texts_of_the_wrapper_are_left_out(spark):
+    box = "<div class=x1><p>Follow <b>us</b></p></div>"
+    rows = [("http://h.org/" + str(i), f"<nav>n</nav><article><h1>Head {i}</h1>{box}<p>Text {i}.</p><p>Same in half {i % 2}</p></article>") for i in range(12)]
+    rows += [("http://h.org/main", "<main><p>Other layout</p></main>"), ("http://h.org/0", rows[0][1])]
+    rows += [("http://few.org/" + str(i), f"<article><h1>Head {i}</h1>{box}</article>") for i in range(html.ALIKE - 1)]
+    rows += [("http://same.org/" + str(i), f"<nav>{i}</nav><article><p>All of it</p></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in html.extract_articles(pages(spark, rows)).collect()}
+    for i in range(12):
+        assert got[i] == f"Head {i}\n\nText {i}.\n\nSame in half {i % 2}"
+    assert got[12] == "Other layout" and got[13] == got[0]
+    assert all(got[14 + i] == f"Head {i}\n\nFollow us" for i in range(html.ALIKE - 1))
+    assert all(got[i] == "All of it" for i in range(14 + html.ALIKE - 1, len(rows)))
+
+
 def test_articles_of_the_sample(spark):
     import re
     from html import unescape
