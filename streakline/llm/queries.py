@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from streakline.llm import decontamination, edits, html, jaccard, langid, mixing, personal, sharding, urls, warc
+import public_tokenizers
+
+from streakline.llm import decontamination, edits, html, jaccard, langid, mixing, personal, rans, sharding, urls, warc
 from streakline.llm.common import table
 
 
@@ -47,6 +49,10 @@ def op10_warc_zstd(spark, sf_dir):
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_rans_tokens(spark, sf_dir):
+    return rans.token_positions(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_mix_weights": op1_mix_weights,
     "op2_zstd_language": op2_zstd_language,
@@ -58,6 +64,7 @@ QUERIES = {
     "op8_shard_propagation": op8_shard_propagation,
     "op9_url_list": op9_url_list,
     "op10_warc_zstd": op10_warc_zstd,
+    "op11_rans_tokens": op11_rans_tokens,
 }
 _HOST = (
     r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1),"
