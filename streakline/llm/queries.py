@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from streakline.llm import decontamination, edits, html, jaccard, langid, mixing, personal, rans, sharding, urls, warc
+from streakline.llm import alignment, decontamination, edits, html, jaccard, langid, mixing, personal, rans, runs, sharding, urls, warc
 from streakline.llm.common import table
 
 
@@ -53,6 +53,15 @@ def op11_rans_tokens(spark, sf_dir):
     return rans.token_positions(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned_tokens(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_word_runs(spark, sf_dir):
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_weights": op1_mix_weights,
     "op2_zstd_language": op2_zstd_language,
@@ -65,6 +74,8 @@ QUERIES = {
     "op9_url_list": op9_url_list,
     "op10_warc_zstd": op10_warc_zstd,
     "op11_rans_tokens": op11_rans_tokens,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_word_runs": op13_word_runs,
 }
 _HOST = (
     r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1),"

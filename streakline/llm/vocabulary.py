@@ -10,11 +10,13 @@ The result equals encoding every text whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,20 @@ import pyarrow.compute as pc
 #: A piece that is empty or ends in anything a library might take for white space goes on in the next one.
 _OPEN = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u2581\u3000\ufeff]")
 #: Pieces that a worker remembers, and ids for each on average.
-REMEMBERED, LONGEST = 800_000, 16
+REMEMBERED, LONGEST = 600_000, 16
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+
+
+def _byte_signs() -> dict[int, str]:
+    """The character of a byte-level vocabulary for every byte: itself where it can be shown, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+#: Fixed value: the pattern by which byte-level vocabularies cut text before they merge.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_bpe(path: str, plain: bool) -> Callable[[Sequence[str]], list[list[int]]]:
@@ -38,6 +51,33 @@ def byte_bpe(path: str, plain: bool) -> Callable[[Sequence[str]], list[list[int]
     return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def byte_bpe_words(path: str, plain: bool) -> tuple[Callable[[str], list[str]], Callable[[Sequence[str]], list[list[int]]]] | None:
+    """(cut, encode) of a plain byte-level vocabulary: words that merge on their own, and the ids of such words by its model.
+
+    Strings of special tokens are not cut, unless ``plain``. None for any other kind of tokenizer.
+    """
+    import regex
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    told = json.loads(tokenizer.to_str())
+    kind = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if told["normalizer"] is not None or (told["pre_tokenizer"] or {}).items() & kind.items() != kind.items():
+        return None
+    added = [] if plain else [token["content"] for token in told["added_tokens"]]
+    words, signs, model, whole = regex.compile(_WORDS), _byte_signs(), tokenizer.model, byte_bpe(path, plain)
+
+    def cut(piece: str) -> list[str]:
+        return [piece] if any(t in piece for t in added) else words.findall(piece)
+
+    def encode(pieces: Sequence[str]) -> list[list[int]]:
+        if any(any(t in p for t in added) for p in pieces):
+            return whole(pieces)
+        return [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(signs))] for p in pieces]
+
+    return cut, encode
+
+
 def piece_bpe(path: str) -> Callable[[Sequence[str]], list[list[int]]]:
     """Encoder of a sentence-piece model, which puts a space before every text; before an empty piece too."""
     model = _processor(path)
@@ -56,9 +96,7 @@ def byte_bpe_tokens(path: str) -> list[bytes]:
     """Bytes of every id of a byte-level vocabulary; added tokens by their text."""
     from tokenizers import Tokenizer
 
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-    hidden = [b for b in range(256) if b not in set(shown)]
-    back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    back = {sign: byte for byte, sign in _byte_signs().items()}
     found: dict[str, int] = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
     tokens = [b""] * (1 + max(found.values()))
     for entry, number in found.items():
@@ -79,28 +117,44 @@ def piece_bpe_tokens(path: str) -> list[bytes]:
 
 
 class PieceEncoder:
-    """Encodes pieces by ``encode`` and remembers them in one flat buffer, which starts anew when it is full."""
+    """Encodes pieces word by word and remembers words in one flat buffer; when that is full, those of the last call stay.
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]]):
-        self.encode = encode
-        self._forget()
+    ``cut`` divides a piece into words that merge on their own; without it a piece is a word.
+    """
 
-    def _forget(self) -> None:
+    def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]], cut: Callable[[str], list[str]] | None = None):
+        self.encode, self.cut = encode, cut or (lambda piece: [piece])
         self.known: dict[str, int] = {}
-        self.ends, self.flat = array("q", [0]), array("i")
+        self.ends, self.flat, self.last = array("q", [0]), array("i"), np.zeros(0, np.int64)
 
-    def ids(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of each piece, offsets by place, ids); valid until the next call."""
+    def _forget(self) -> None:
+        """Keep the words of the last call only."""
+        kept = np.unique(self.last)
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(kept.tolist())}
+        ends, flat = gathered(np.array(self.ends), np.array(self.flat), kept)
+        self.ends, self.flat = array("q", ends.tobytes()), array("i", flat.astype(np.int32).tobytes())
+
+    def ids(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of all pieces in a row."""
         if len(self.known) > REMEMBERED or len(self.flat) > LONGEST * REMEMBERED:
             self._forget()
-        known = self.known
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for piece, ids in zip(new, self.encode(new) if new else ()):
-            known[piece] = len(known)
+        known, get, missing = self.known, self.known.get, repeat(-1)
+        places = np.fromiter(map(get, pieces, missing), np.int64, len(pieces))
+        rest = np.flatnonzero(places < 0)
+        cut = [self.cut(pieces[i]) for i in rest.tolist()]
+        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
+        for word, ids in zip(new, self.encode(new) if new else ()):
+            known[word] = len(known)
             self.flat.extend(ids)
             self.ends.append(len(self.flat))
-        places = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        return places, np.array(self.ends, np.int64), np.array(self.flat, np.int32)
+        counts = np.ones(len(pieces), np.int64)
+        counts[rest] = np.fromiter(map(len, cut), np.int64, len(cut))
+        words = np.repeat(places, counts)
+        words[np.repeat(places < 0, counts)] = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts[rest].sum()))
+        self.last = words
+        out, ids = gathered(np.array(self.ends), np.array(self.flat), words)
+        return out[np.concatenate([[0], np.cumsum(counts)])], ids
 
 
 class Pieces:
@@ -152,7 +206,8 @@ def gathered(offsets: np.ndarray, items: np.ndarray, index: np.ndarray) -> tuple
 @lru_cache(maxsize=4)
 def byte_bpe_encoder(path: str, plain: bool) -> PieceEncoder:
     """The worker's own encoder: what it remembers serves all its tasks."""
-    return PieceEncoder(byte_bpe(path, plain))
+    words = byte_bpe_words(path, plain)
+    return PieceEncoder(words[1], words[0]) if words else PieceEncoder(byte_bpe(path, plain))
 
 
 @lru_cache(maxsize=4)
@@ -166,19 +221,19 @@ def encoded_texts(texts: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, n
     filled = cut.offsets[1:] > cut.offsets[:-1]
     heads = cut.offsets[:-1][filled]
     first = [cut.values[i] for i in cut.index[heads].tolist()]
-    places, ends, ids = encoder.ids([" " + v for v in cut.values] + first)
-    index = places[: len(cut.values)][cut.index]
-    index[heads] = places[len(cut.values) :]
-    out, ids = gathered(ends, ids, index)
+    offsets, ids = encoder.ids([" " + v for v in cut.values] + first)
+    index = cut.index.copy()
+    index[heads] = len(cut.values) + np.arange(len(first))
+    out, ids = gathered(offsets, ids, index)
     return out[cut.offsets], ids
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of about ``SLICE_BYTES`` of text; no row is split."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``limit`` bytes of text; no row is split."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
     for i, more in enumerate(sizes.tolist()):
-        if i > at and size + more > SLICE_BYTES:
+        if i > at and size + more > limit:
             yield batch.slice(at, i - at)
             at, size = i, 0
         size += more
