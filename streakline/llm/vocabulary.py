@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 #: A piece that is empty or ends in anything a library might take for white space goes on in the next one.
 _OPEN = re.compile("[\\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u2581\u3000\ufeff]")
 #: Pieces that a worker remembers, and ids for each on average.
-REMEMBERED, LONGEST = 600_000, 16
+REMEMBERED, LONGEST = 900_000, 16
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
 
