@@ -38,7 +38,9 @@ from streakline.llm.vocabulary import (
 )
 
 #: Bytes of text in a slice that is aligned at once, and slices in a bundle.
-SLICE_BYTES, SLICES = 4 << 20, 4
+SLICE_BYTES, SLICES = 2 << 20, 8
+#: Words of each tokenizer that a worker remembers.
+REMEMBERED = 200_000
 #: A pair of ids in one number, and a key (document, end) in one.
 LOW = (1 << 32) - 1
 _OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -119,8 +121,8 @@ class Aligned:
         a_words, b_words = _vocabularies(a_path, b_path)
         cut = Pieces(texts)
         spaced = [" " + v for v in cut.values]
-        a = Side(cut, spaced, byte_bpe_encoder(a_path, True), a_words)
-        b = Side(cut, cut.values, piece_bpe_encoder(b_path), b_words)
+        a = Side(cut, spaced, byte_bpe_encoder(a_path, True, REMEMBERED), a_words)
+        b = Side(cut, cut.values, piece_bpe_encoder(b_path, REMEMBERED), b_words)
         wanted = pa.array(spaced, pa.large_string())
         true = a.true_pieces(wanted) & b.true_pieces(wanted)
         false = np.concatenate([[0], np.cumsum(~true[cut.index])])[cut.offsets]

@@ -122,8 +122,13 @@ class PieceEncoder:
     ``cut`` divides a piece into words that merge on their own; without it a piece is a word.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[list[int]]], cut: Callable[[str], list[str]] | None = None):
-        self.encode, self.cut = encode, cut or (lambda piece: [piece])
+    def __init__(
+        self,
+        encode: Callable[[Sequence[str]], list[list[int]]],
+        cut: Callable[[str], list[str]] | None = None,
+        remembered: int | None = None,
+    ):
+        self.encode, self.cut, self.remembered = encode, cut or (lambda piece: [piece]), remembered or REMEMBERED
         self.known: dict[str, int] = {}
         self.ends, self.flat, self.last = array("q", [0]), array("i"), np.zeros(0, np.int64)
 
@@ -137,7 +142,7 @@ class PieceEncoder:
 
     def ids(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all pieces in a row."""
-        if len(self.known) > REMEMBERED or len(self.flat) > LONGEST * REMEMBERED:
+        if len(self.known) > self.remembered or len(self.flat) > LONGEST * self.remembered:
             self._forget()
         known, get, missing = self.known, self.known.get, repeat(-1)
         places = np.fromiter(map(get, pieces, missing), np.int64, len(pieces))
@@ -204,15 +209,15 @@ def gathered(offsets: np.ndarray, items: np.ndarray, index: np.ndarray) -> tuple
 
 
 @lru_cache(maxsize=4)
-def byte_bpe_encoder(path: str, plain: bool) -> PieceEncoder:
+def byte_bpe_encoder(path: str, plain: bool, remembered: int | None = None) -> PieceEncoder:
     """The worker's own encoder: what it remembers serves all its tasks."""
     words = byte_bpe_words(path, plain)
-    return PieceEncoder(words[1], words[0]) if words else PieceEncoder(byte_bpe(path, plain))
+    return PieceEncoder(words[1], words[0], remembered) if words else PieceEncoder(byte_bpe(path, plain), None, remembered)
 
 
 @lru_cache(maxsize=4)
-def piece_bpe_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(piece_bpe(path))
+def piece_bpe_encoder(path: str, remembered: int | None = None) -> PieceEncoder:
+    return PieceEncoder(piece_bpe(path), None, remembered)
 
 
 def encoded_texts(texts: pa.Array, encoder: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
