@@ -38,7 +38,7 @@ def percentiles(
     present = df.where(F.col(value).isNotNull()).withColumn("_whole", F.lit(0)).select(*inner, value)
     pairs = present.groupBy(*inner, value).agg(F.count("*").alias("_cnt"))
     ranked = order_groups(pairs, inner, [value], value_range(value) if chunk is None else chunk)
-    located = ranked.running(sums={"_upto": F.col("_cnt")}, totals={"_n": F.col("_cnt")}).rows()
+    located = ranked.running(sums={"_upto": "_cnt"}, totals={"_n": F.col("_cnt")}).rows()
 
     def at_rank(rank: Column) -> Column:
         return F.max(

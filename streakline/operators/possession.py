@@ -11,7 +11,6 @@ product, and the running counts cope with a period of any size.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,9 @@ from streakline.operators.distributions import histogram, spread
 from streakline.operators.ordered import OrderedGroups, block_of, last_rows, order_groups
 
 SIDE = ("game_id", "period", "team_abbr")
-TIME_ORDER = ("t", "mark", "ref_id")
+SKATER = ("game_id", "period", "player_id")
+#: ``ref`` holds all that a row carries along, so that order and values need the same columns.
+TIME_ORDER = ("t", "mark", "ref")
 BEFORE, AT, AFTER = 0, 1, 2
 CHUNK_SEC = 600
 
@@ -56,26 +57,12 @@ def timed_events(events: DataFrame) -> DataFrame:
     )
 
 
-def per_player_shifts(shifts: DataFrame) -> DataFrame:
-    """Shifts reduced per (game, player, team): first shift, name and ice time.
-
-    Team order, line-ups and ice time all derive from this one aggregate.
-    """
-    named = F.when(F.col("player_name").isNotNull(), F.col("shift_id"))
-    return shifts.groupBy("game_id", "player_id", "team_abbr").agg(
-        F.min("shift_id").alias("first_shift"),
-        F.min(named).alias("named_shift"),
-        F.min_by("player_name", named).alias("player_name"),
-        F.sum("duration_sec").alias("toi_seconds"),
-    )
-
-
-def qualifying_games(events: DataFrame, line_ups: DataFrame, strength: str = K.EVEN_STRENGTH) -> DataFrame:
+def qualifying_games(events: DataFrame, shifts: DataFrame, strength: str = K.EVEN_STRENGTH) -> DataFrame:
     """Games with an event at this strength and shifts of two teams, and those teams.
 
     The two teams are the first ones to appear by shift id.
     """
-    per_team = line_ups.groupBy("game_id", "team_abbr").agg(F.min("first_shift").alias("first_shift"))
+    per_team = shifts.groupBy("game_id", "team_abbr").agg(F.min("shift_id").alias("first_shift"))
     first_two = last_rows(per_team, ["game_id"], [F.asc("first_shift")], 2, "_rank")
     pairs = (
         first_two.groupBy("game_id")
@@ -89,125 +76,68 @@ def qualifying_games(events: DataFrame, line_ups: DataFrame, strength: str = K.E
     return pairs.join(at_strength, "game_id", "left_semi")
 
 
-@dataclass(frozen=True)
-class Ice:
-    """Shot attempts with both teams, and shifts without overlaps, of the qualifying games."""
+def _ref(**values: Column) -> Column:
+    """What a row of a timeline carries: its id, player, end, team, kind of shot and the two teams of the game."""
+    kinds = {"id": "long", "player_id": "long", "end_sec": "int", **dict.fromkeys(("team", "type_desc_key", "team_1", "team_2"), "string")}
+    return F.struct(*[values.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in kinds.items()])
 
-    games: DataFrame
-    line_ups: DataFrame
-    shots: DataFrame
-    pieces: DataFrame
-    chunk_sec: int
 
+def _skater_timeline(events: DataFrame, shifts: DataFrame, games: DataFrame, strength: str, chunk_sec: int) -> DataFrame:
+    """Shift starts and shots of each player in time order, with ``_upto_1`` and ``_upto_2``: the latest shift end before, by team.
 
-def prepare_ice(
-    events: DataFrame,
-    shifts: DataFrame,
-    strength: str = K.EVEN_STRENGTH,
-    chunk_sec: int = CHUNK_SEC,
-) -> Ice:
-    """Read shifts and shots in time order per (game, period, team, player), once.
-
-    The latest shift end before a row tells two things. A shift start is moved
-    behind it, so that no second of a player counts twice. A shot finds its
-    shooter on the ice when that end reaches the shot.
-    ``chunk_sec`` is the length of the blocks that are read on their own.
+    These tell two things. A shift start is moved behind its team's, so that no
+    second of a player counts twice. A shot finds its shooter on the ice, and on
+    which side, when one reaches the shot. Shifts of other teams than the
+    game's two do not count.
     """
-    line_ups = per_player_shifts(shifts)
-    games = qualifying_games(events, line_ups, strength)
     attempts = events.where(
         (F.col("situation_code") == strength)
         & F.col("type_desc_key").isin(*K.SHOT_ATTEMPTS)
         & F.col("shooter_id").isNotNull()
-    ).select("game_id", "event_id", "period", "t", "type_desc_key", F.col("shooter_id").alias("player_id"))
-    candidates = attempts.join(line_ups.select("game_id", "player_id", "team_abbr"), ["game_id", "player_id"])
-
-    keys = ("game_id", "period", "team_abbr", "player_id")
-    # a shift that ends before it starts covers no second and drops out below
-    starts = shifts.select(
-        *keys,
-        F.col("start_sec").alias("t"),
-        F.lit(BEFORE).alias("mark"),
-        F.col("shift_id").alias("ref_id"),
-        "end_sec",
-        F.lit(None).cast("string").alias("type_desc_key"),
-    )
-    shots = candidates.select(
-        *keys,
-        "t",
-        F.lit(AT).alias("mark"),
-        F.col("event_id").alias("ref_id"),
-        F.lit(None).cast("int").alias("end_sec"),
-        "type_desc_key",
-    )
-    timeline = order_groups(starts.unionByName(shots), keys, TIME_ORDER, block_of("t", chunk_sec))
-    seen = timeline.running(maxes={"_upto": F.col("end_sec")}, exclusive=True).rows()
-
-    pieces = (
-        seen.where(F.col("mark") == BEFORE)
-        .withColumn("start_sec", F.greatest("t", F.col("_upto") + 1))
-        .where(F.col("start_sec") <= F.col("end_sec"))
-        .select(*keys, F.col("ref_id").alias("shift_id"), "start_sec", "end_sec")
     )
-    opponent = F.when(F.col("shooter_team") == F.col("team_1"), F.col("team_2")).otherwise(F.col("team_1"))
-    sides = (
-        seen.where((F.col("mark") == AT) & (F.col("_upto") >= F.col("t")))
-        .groupBy("game_id", "period", "t", "type_desc_key", F.col("ref_id").alias("event_id"))
-        .agg(F.min("team_abbr").alias("shooter_team"))
-        .join(games, "game_id")
-        .select(
-            "game_id",
-            "event_id",
-            "period",
-            "t",
-            "type_desc_key",
-            "shooter_team",
-            opponent.alias("opposing_team"),
-            F.col("type_desc_key").isin(*K.UNBLOCKED_ATTEMPTS).cast("int").alias("unblocked"),
-        )
-    )
-    return Ice(games, line_ups, sides, pieces, chunk_sec)
-
-
-def _timeline(ice: Ice) -> OrderedGroups:
-    """Shots (seen from both teams) and shift ends per side, in time order."""
-    acting = F.explode(
-        F.array(
-            F.struct(F.col("shooter_team").alias("team_abbr"), F.lit(1).alias("is_for")),
-            F.struct(F.col("opposing_team").alias("team_abbr"), F.lit(0).alias("is_for")),
-        )
+    # a shift that ends before it starts covers no second and drops out later
+    starts = shifts.select(
+        *SKATER, F.col("start_sec").alias("t"), F.lit(BEFORE).alias("mark"), F.col("shift_id").alias("id"), "end_sec", "team_abbr"
     )
-    shots = ice.shots.withColumn("_side", acting).select(
+    shots = attempts.select(
         "game_id",
         "period",
-        F.col("_side.team_abbr").alias("team_abbr"),
+        F.col("shooter_id").alias("player_id"),
         "t",
         F.lit(AT).alias("mark"),
-        F.col("event_id").alias("ref_id"),
-        F.col("_side.is_for").alias("is_for"),
-        "unblocked",
-        F.lit(None).cast("long").alias("player_id"),
-        F.lit(0).alias("sign"),
-    )
-    edge = F.explode(
-        F.array(
-            F.struct(F.col("start_sec").alias("t"), F.lit(BEFORE).alias("mark"), F.lit(-1).alias("sign")),
-            F.struct(F.col("end_sec").alias("t"), F.lit(AFTER).alias("mark"), F.lit(1).alias("sign")),
-        )
-    )
-    edges = ice.pieces.withColumn("_edge", edge).select(
-        "game_id",
-        "period",
-        "team_abbr",
-        F.col("_edge.t").alias("t"),
-        F.col("_edge.mark").alias("mark"),
-        F.col("shift_id").alias("ref_id"),
-        F.lit(None).cast("int").alias("is_for"),
-        F.lit(None).cast("int").alias("unblocked"),
-        "player_id",
-        F.col("_edge.sign").alias("sign"),
+        F.col("event_id").alias("id"),
+        "type_desc_key",
     )
-    return order_groups(shots.unionByName(edges), SIDE, TIME_ORDER, block_of("t", ice.chunk_sec))
+    rows = starts.unionByName(shots, allowMissingColumns=True).join(games, "game_id")
+    ref = _ref(**{c: F.col(c) for c in ("id", "end_sec", "type_desc_key", "team_1", "team_2")}, team=F.col("team_abbr"))
+    groups = order_groups(rows.select(*SKATER, "t", "mark", ref.alias("ref")), SKATER, TIME_ORDER, block_of("t", chunk_sec))
+    ends = {f"_upto_{k}": F.when(F.col("ref.team") == F.col(f"ref.team_{k}"), F.col("ref.end_sec")) for k in (1, 2)}
+    return groups.running(maxes=ends, exclusive=True).rows()
+
+
+def _side_timeline(seen: DataFrame, chunk_sec: int) -> OrderedGroups:
+    """Shots (seen from both teams) and both ends of every shift per side, in time order; ``is_for`` tells whose shot it is."""
+    t, ref = F.col("t"), F.col("ref")
+    end = ref["end_sec"]
+    own = F.when(ref["team"] == ref["team_1"], F.col("_upto_1")).when(ref["team"] == ref["team_2"], F.col("_upto_2"))
+    start = F.greatest(t, own + 1)
+    on = [F.coalesce(F.col(f"_upto_{k}") >= t, F.lit(False)) for k in (1, 2)]
+    # a shooter on the ice for both counts for the first by name
+    first = on[0] & (~on[1] | (ref["team_1"] <= ref["team_2"]))
+    shooters, opponents = (F.when(first, ref[x]).otherwise(ref[y]) for x, y in (("team_1", "team_2"), ("team_2", "team_1")))
+
+    def row(team: Column, t: Column, mark: int, is_for: Column, **carried: Column) -> Column:
+        fields = {"team_abbr": team, "t": t, "mark": F.lit(mark), "ref": F.struct(is_for.alias("is_for"), _ref(**carried).alias("of"))}
+        return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+    none, shift = F.lit(None).cast("int"), {"id": ref["id"], "player_id": F.col("player_id")}
+    shot = {"id": ref["id"], "type_desc_key": ref["type_desc_key"]}
+    ends = F.array(row(ref["team"], start, BEFORE, none, **shift), row(ref["team"], end, AFTER, none, **shift))
+    sides = F.array(row(shooters, t, AT, F.lit(1), **shot), row(opponents, t, AT, F.lit(0), **shot))
+    counts = ((ref["team"] == ref["team_1"]) | (ref["team"] == ref["team_2"])) & (start <= end)
+    shown = F.when((F.col("mark") == AT) & (on[0] | on[1]), sides).when((F.col("mark") == BEFORE) & counts, ends)
+    rows = seen.select("game_id", "period", F.explode(shown).alias("_x")).select("game_id", "period", "_x.*")
+    return order_groups(rows, SIDE, TIME_ORDER, block_of("t", chunk_sec))
 
 
 def on_ice_counts(
@@ -215,20 +145,26 @@ def on_ice_counts(
 ) -> DataFrame:
     """Per shot attempt: the two teams and how many players each had on the ice.
 
-    ``events`` and ``shifts`` come from :func:`timed_events` and :func:`timed_shifts`.
+    ``events`` and ``shifts`` come from :func:`timed_events` and :func:`timed_shifts`;
+    ``chunk_sec`` is the length of the blocks that are read on their own.
     """
-    ice = prepare_ice(events, shifts, strength, chunk_sec)
-    timeline = _timeline(ice)
-    skaters = timeline.running(sums={"on_ice": -F.col("sign")}).rows()
-    counts = (
+    games = qualifying_games(events, shifts, strength)
+    timeline = _side_timeline(_skater_timeline(events, shifts, games, strength, chunk_sec), chunk_sec)
+    skaters = timeline.running(sums={"on_ice": 1 - F.col("mark")}).rows()
+
+    def side(is_for: int, value: str) -> Column:
+        return F.max(F.when(F.col("ref.is_for") == is_for, F.col(value)))
+
+    return (
         skaters.where(F.col("mark") == AT)
-        .groupBy("game_id", "period", F.col("ref_id").alias("event_id"))
+        .groupBy("game_id", F.col("ref.of.id").alias("event_id"), "period", "t", F.col("ref.of.type_desc_key").alias("type_desc_key"))
         .agg(
-            F.max(F.when(F.col("is_for") == 1, F.col("on_ice"))).alias("n_for"),
-            F.max(F.when(F.col("is_for") == 0, F.col("on_ice"))).alias("n_against"),
+            side(1, "team_abbr").alias("shooter_team"),
+            side(0, "team_abbr").alias("opposing_team"),
+            side(1, "on_ice").alias("n_for"),
+            side(0, "on_ice").alias("n_against"),
         )
     )
-    return ice.shots.join(counts, ["game_id", "period", "event_id"]).drop("unblocked")
 
 
 def on_ice_at(shifts: DataFrame, period: int, second: int) -> DataFrame:
@@ -249,34 +185,37 @@ def game_possession(
     Ice time sums every shift of the game at any strength; games without two
     teams or without an event at ``strength`` give no rows.
     """
-    ice = prepare_ice(events, shifts, strength, chunk_sec)
-    timeline = _timeline(ice)
+    games = qualifying_games(events, shifts, strength)
+    timeline = _side_timeline(_skater_timeline(events, shifts, games, strength, chunk_sec), chunk_sec)
 
     def counted(is_for: int, only_unblocked: bool) -> Column:
-        hit = F.col("is_for") == is_for
+        hit = F.col("ref.is_for") == is_for
         if only_unblocked:
-            hit = hit & (F.col("unblocked") == 1)
+            hit = hit & F.col("ref.of.type_desc_key").isin(*K.UNBLOCKED_ATTEMPTS)
         return F.when(hit, 1).otherwise(0)
 
     counters = {"cf": (1, False), "ca": (0, False), "ff": (1, True), "fa": (0, True)}
-    running = timeline.running(sums={f"_{c}": counted(*spec) for c, spec in counters.items()}).rows()
-    credits = (
-        running.where(F.col("mark") != AT)
-        .groupBy("game_id", "player_id")
-        .agg(*[F.sum(F.col("sign") * F.col(f"_{c}")).alias(c) for c in counters])
+    running = timeline.running(sums={c: counted(*spec) for c, spec in counters.items()}).rows()
+    # what was counted up to a shift's end less what was counted before its start
+    credits = running.where(F.col("mark") != AT).select(
+        "game_id", F.col("ref.of.player_id").alias("player_id"), *[((F.col("mark") - AT) * F.col(c)).alias(c) for c in counters]
     )
-    teamed = F.when(F.col("team_abbr").isNotNull(), F.col("first_shift"))
-    ice_time = (
-        ice.line_ups.join(ice.games.select("game_id"), "game_id", "left_semi")
-        .groupBy("game_id", "player_id")
-        .agg(
-            F.min_by("team_abbr", teamed).alias("team"),
-            F.min_by("player_name", "named_shift").alias("player_name"),
-            F.sum("toi_seconds").alias("toi_seconds"),
-        )
+    played = shifts.join(games.select("game_id"), "game_id", "left_semi").select(
+        "game_id", "player_id", "shift_id", "team_abbr", "player_name", "duration_sec"
+    )
+
+    def first(value: str) -> Column:
+        return F.min_by(value, F.when(F.col(value).isNotNull(), F.col("shift_id")))
+
+    # one aggregate over shifts and credits; a player without shifts has no credits
+    both = played.unionByName(credits, allowMissingColumns=True).groupBy("game_id", "player_id").agg(
+        first("team_abbr").alias("team"),
+        first("player_name").alias("player_name"),
+        F.sum("duration_sec").alias("toi_seconds"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters],
+        F.count("shift_id").alias("_shifts"),
     )
-    joined = ice_time.join(credits, ["game_id", "player_id"], "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in counters}).withColumns(
+    return both.where("_shifts > 0").drop("_shifts").withColumns(
         {"cf_pct": S.percent("cf", "ca"), "ff_pct": S.percent("ff", "fa")}
     )
 

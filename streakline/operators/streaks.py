@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.ordered import OrderedGroups, last_rows, match_keys, month_of, order_groups
+from streakline.operators.ordered import OrderedGroups, last_rows, month_of, order_groups
 
 
 @dataclass(frozen=True)
@@ -95,13 +95,15 @@ def _run_positions(
     order: Sequence[str],
     predicates: Mapping[str, Column],
     chunk: Column | None,
+    last: str | None = None,
 ) -> OrderedGroups:
-    """``_idx`` and the break positions; without a chunk the first order column is a date and its month is taken."""
+    """``_idx`` and the break positions; without a chunk the first order column is a date and its month is taken.
+
+    Other columns of ``logs`` than key, order and predicates cost a read of their own.
+    """
     groups = order_groups(logs, keys, order, month_of(order[0]) if chunk is None else chunk)
-    groups = groups.running(sums={"_idx": F.lit(1)})
-    return groups.running(
-        maxes={_break(n): F.when(~p, F.col("_idx")) for n, p in predicates.items()}
-    )
+    totals = {} if last is None else {"_games": F.lit(1)}
+    return groups.running(totals=totals, index="_idx", marks={_break(n): ~p for n, p in predicates.items()}, last=last)
 
 
 def run_lengths(
@@ -297,32 +299,24 @@ def active_streaks(
     predicates = default_predicates() if predicates is None else predicates
     date, tie = order[0], order[-1]
     hits = logs.select(*keys, *order, *[p.alias(f"_hit_{n}") for n, p in predicates.items()])
-    flags = {n: F.col(f"_hit_{n}") for n in predicates}
-    placed = order_groups(hits, keys, order, month_of(date) if chunk is None else chunk).running(sums={"_idx": F.lit(1)}).rows()
-    # one aggregate per key: the latest failing game of each type tells the length, the game behind it the start
-    latest = placed.groupBy(*keys).agg(
-        F.max("_idx").alias("_games"),
+    placed = _run_positions(hits, keys, order, {n: F.col(f"_hit_{n}") for n in predicates}, chunk, last="_last").rows()
+    # a game belongs to the active run of a type if no later game of the whole key breaks it
+    pairs = ", ".join(f"'{n}', coalesce(`{_break(n)}`, 0), coalesce(`{_break(n)}_last`, 0)" for n in predicates)
+    members = placed.selectExpr(
+        *keys, *dict.fromkeys((date, tie)), "_idx", "_games", f"stack({len(predicates)}, {pairs}) as (streak_type, _own, _stop)"
+    ).where((F.col("_own") == F.col("_stop")) & (F.col("_stop") < F.col("_idx")) & (F.col("_games") - F.col("_stop") >= min_length))
+    game = F.struct("_idx", F.col(tie).alias(tie), F.col(date).alias(date))
+    active = members.groupBy(*keys, "streak_type").agg(
+        F.count("*").alias("length"),
+        F.min(date).alias("start_date"),
         F.max(date).alias("end_date"),
-        *[F.max(F.when(~hit, F.col("_idx"))).alias(n) for n, hit in flags.items()],
-    )
-    ends = latest.unpivot([*keys, "_games", "end_date"], list(predicates), "streak_type", "_stop").withColumn(
-        "length", F.col("_games") - F.coalesce("_stop", F.lit(0))
-    )
-    active = ends.where(F.col("length") >= min_length)
-    first = match_keys(
-        active.withColumn("_idx", F.coalesce("_stop", F.lit(0)) + 1),
-        placed.select(*keys, "_idx", F.col(date).alias("start_date")),
-        [*keys, "_idx"],
-        "inner",
+        F.array_sort(F.collect_list(F.when(F.col("_games") - F.col("_idx") < recent, game))).alias("_shown"),
     )
-    game = F.struct("rn", F.col(tie).alias("id"), F.col(date).alias("date"))
-    tail = last_games(hits, recent, keys, order).groupBy(*keys).agg(F.array_sort(F.collect_list(game)).alias("_tail"))
-    shown = F.slice("_tail", F.lit(1), F.least(F.col("length"), F.lit(recent)).cast("int"))
-    return match_keys(first, tail, keys, "inner").select(
+    return active.select(
         *keys,
         "streak_type",
         "length",
         "start_date",
         "end_date",
-        F.transform(F.reverse(shown), lambda g: F.struct(g["id"].alias(tie), g["date"].alias(date))).alias("recent_games"),
+        F.transform("_shown", lambda g: F.struct(g[tie].alias(tie), g[date].alias(date))).alias("recent_games"),
     )
