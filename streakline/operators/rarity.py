@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streakline.functions import lookups as K
 from streakline.functions import scalars as S
-from streakline.operators.streaks import STREAK_TYPES, Baselines, active_streaks, describe
+from streakline.operators.streaks import (
+    STREAK_TYPES,
+    Baselines,
+    active_streaks,
+    as_steps,
+    describe,
+    look_up_steps,
+    step_points,
+)
 
 
 def active_players(logs: DataFrame, players: DataFrame, min_games: int = 10) -> DataFrame:
@@ -57,16 +65,9 @@ def score_streaks(streaks: DataFrame, baselines: Baselines) -> DataFrame:
     baseline tables carry no broadcast hint: adaptive execution broadcasts them
     when their actual size allows and splits skewed keys otherwise.
     """
-    s = streaks.withColumn("pg", S.position_group("position"))
-    league = baselines.league.select("pg", "streak_type", F.col("n").alias("length"), F.col("p").alias("league_p"))
-    team = baselines.team.select(
-        "team", "pg", "streak_type", F.col("n").alias("length"), F.col("p").alias("team_p")
-    )
-    joined = (
-        s.join(baselines.player, ["player_id", "streak_type"], "left")
-        .join(league, ["pg", "streak_type", "length"], "left")
-        .join(team, ["team", "pg", "streak_type", "length"], "left")
-    )
+    named = streaks.withColumn("pg", S.position_group("position")).join(baselines.player, ["player_id", "streak_type"], "left")
+    league = look_up_steps(named, baselines.steps("league"), ["pg", "streak_type"], "length", "league_p")
+    joined = look_up_steps(league, baselines.steps("team"), ["team", "pg", "streak_type"], "length", "team_p")
     scored = joined.withColumns(
         {
             "league_p": F.coalesce("league_p", F.lit(0.0)),
@@ -211,28 +212,44 @@ def type_summary(anomalies: DataFrame) -> DataFrame:
 # --- baseline curves --------------------------------------------------------------
 
 
-def compare_curves(baselines: Baselines, teams: Sequence[str] = (), group: str = "ALL") -> DataFrame:
-    """League and team tail probabilities side by side; a missing length is 0.
+def compare_steps(baselines: Baselines, teams: Sequence[str] = (), group: str = "ALL") -> DataFrame:
+    """League and team tail probabilities side by side as steps of both curves; 0 beyond a curve's end.
 
-    The full set of (team, type, length) cells comes from stacking both curves,
-    so one aggregate replaces the outer join.
+    (team, streak_type, from_n, to_n, league_p, team_p), for ``teams`` or all.
+    A step ends where one of the two curves steps, so rows grow with the
+    breakpoints and not with the lengths. The value of the other curve is that
+    of its next breakpoint; a curve has few of them (see ``tail_steps``).
     """
-    team = baselines.team.where(F.col("pg") == group).where(S.optional_filters(isin={"team": teams}))
-    league = baselines.league.where(F.col("pg") == group)
+    team = baselines.steps("team").where(F.col("pg") == group).where(S.optional_filters(isin={"team": teams}))
+    league = baselines.steps("league").where(F.col("pg") == group)
     curve_teams = team.select("team", "streak_type").distinct()
-    stacked = league.join(curve_teams, "streak_type").select(
-        "team", "streak_type", "n", F.col("p").alias("league_p"), F.lit(0.0).alias("team_p")
-    ).unionByName(
-        team.select("team", "streak_type", "n", F.lit(0.0).alias("league_p"), F.col("p").alias("team_p"))
-    )
-    return stacked.groupBy("team", "streak_type", "n").agg(
-        F.max("league_p").alias("league_p"), F.max("team_p").alias("team_p")
+    value = {"league_p": league.join(curve_teams, "streak_type"), "team_p": team}
+    ends = [
+        steps.select("team", "streak_type", "to_n", *[(F.col("p") if c == own else F.lit(None).cast("double")).alias(c) for c in value])
+        for own, steps in value.items()
+    ]
+    cuts = ends[0].unionByName(ends[1]).groupBy("team", "streak_type", "to_n").agg(*[F.max(c).alias(c) for c in value])
+    ordered = Window.partitionBy("team", "streak_type").orderBy("to_n")
+    ahead = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return cuts.select(
+        "team",
+        "streak_type",
+        (F.coalesce(F.lag("to_n").over(ordered), F.lit(0)) + 1).alias("from_n"),
+        "to_n",
+        *[F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.lit(0.0)).alias(c) for c in value],
     )
 
 
+def compare_curves(baselines: Baselines, teams: Sequence[str] = (), group: str = "ALL") -> DataFrame:
+    """:func:`compare_steps` with one row per length ``n``."""
+    values = F.struct("league_p", "team_p").alias("p")
+    steps = compare_steps(baselines, teams, group).select("team", "streak_type", "from_n", "to_n", values)
+    return step_points(steps).select("team", "streak_type", "n", "p.league_p", "p.team_p")
+
+
 def tail_heatmap(league: DataFrame, group: str = "ALL") -> DataFrame:
-    """Curve cells with their length bucket and the display order of the type."""
-    return describe(league.where(F.col("pg") == group)).select(
+    """Curve cells with their length bucket and the display order of the type; ``league`` by length or by step."""
+    return describe(step_points(as_steps(league.where(F.col("pg") == group)))).select(
         "streak_type",
         "label",
         "n",
@@ -242,22 +259,17 @@ def tail_heatmap(league: DataFrame, group: str = "ALL") -> DataFrame:
     )
 
 
-def baseline_overview(baselines: Baselines, short: int = 10) -> DataFrame:
-    """League curves up to a short length, with the longest observed length."""
-    longest = baselines.league.groupBy("pg", "streak_type").agg(F.max("n").alias("longest"))
-    return (
-        baselines.league.where(F.col("n") <= short)
-        .join(longest, ["pg", "streak_type"])
-        .select("pg", "streak_type", "n", "p", "longest")
-    )
+def baseline_overview(baselines: Baselines, short: int | None = 10) -> DataFrame:
+    """League curves up to a short length (None: whole), with the longest observed length."""
+    steps = baselines.steps("league")
+    longest = steps.groupBy("pg", "streak_type").agg(F.max("to_n").alias("longest"))
+    return step_points(steps, short).join(longest, ["pg", "streak_type"]).select("pg", "streak_type", "n", "p", "longest")
 
 
-def team_overview(baselines: Baselines, group: str = "ALL", teams: int = 5) -> DataFrame:
-    """Longest observed length per type for the alphabetically first teams."""
-    listed = baselines.team.select("team").distinct().orderBy("team").limit(teams)
-    return (
-        baselines.team.where(F.col("pg") == group)
-        .join(listed, "team", "left_semi")
-        .groupBy("team", "streak_type")
-        .agg(F.max("n").alias("longest"))
-    )
+def team_overview(baselines: Baselines, group: str = "ALL", teams: int | None = 5) -> DataFrame:
+    """Longest observed length per type for the alphabetically first teams (None: all)."""
+    steps = baselines.steps("team")
+    chosen = steps.where(F.col("pg") == group)
+    if teams is not None:
+        chosen = chosen.join(steps.select("team").distinct().orderBy("team").limit(teams), "team", "left_semi")
+    return chosen.groupBy("team", "streak_type").agg(F.max("to_n").alias("longest"))

@@ -10,7 +10,9 @@ per predicate before it is needed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,13 +200,13 @@ def with_all_group(counts: DataFrame, keys: Sequence[str], count: str) -> DataFr
     return spread.groupBy("pg", *keys).agg(F.sum(count).alias(count))
 
 
-def tail_distribution(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """P(longest run >= n) for n = 1 .. longest observed, per group and type.
+def tail_steps(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """P(longest run >= n) per group and type as a step function: ``p`` for all n from ``from_n`` to ``to_n``.
 
     ``runs`` has pg, streak_type and max_len, plus the ``by`` columns. It is
-    reduced to a histogram first. A histogram over N rows of run lengths has at
-    most sqrt(2N) distinct lengths, so the window over it stays small whatever
-    the skew. The step between two observed lengths is filled by a sequence.
+    reduced to a histogram first, and every observed length is one step. A
+    histogram over N rows of run lengths has at most sqrt(2N) distinct lengths,
+    so the window over it stays small whatever the skew and however long a run.
     """
     keys = [*by, "streak_type"]
     counted = runs.groupBy("pg", *keys, "max_len").agg(F.count("*").alias("cnt"))
@@ -218,17 +220,63 @@ def tail_distribution(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     steps = hist.select(
         "pg",
         *keys,
-        "max_len",
-        F.sum("cnt").over(group).alias("total"),
-        below.alias("below"),
-        F.coalesce(F.lag("max_len").over(ordered), F.lit(0)).alias("prev_len"),
-    ).where(F.col("max_len") >= 1)
-    return steps.select(
-        "pg",
-        *keys,
-        F.explode(F.sequence(F.col("prev_len") + 1, F.col("max_len"))).alias("n"),
-        ((F.col("total") - F.col("below")) / F.col("total")).alias("p"),
+        (F.coalesce(F.lag("max_len").over(ordered), F.lit(0)) + 1).alias("from_n"),
+        F.col("max_len").alias("to_n"),
+        ((F.sum("cnt").over(group) - below) / F.sum("cnt").over(group)).alias("p"),
     )
+    return steps.where(F.col("to_n") >= 1)
+
+
+#: Lengths that one row may be spread to at once.
+SPREAD = 4_096
+
+
+def step_points(steps: DataFrame, upto: int | None = None) -> DataFrame:
+    """One row per length of each step, ``n`` in place of ``from_n`` and ``to_n``; none beyond ``upto``.
+
+    A long step is spread in two stages, so that no row holds all its lengths.
+    """
+    end = F.col("to_n") if upto is None else F.least("to_n", F.lit(upto))
+    rest = [c for c in steps.columns if c not in ("from_n", "to_n", "p")]
+    cut = steps.withColumn("_end", end).where(F.col("from_n") <= F.col("_end"))
+    parts = cut.select(*rest, "p", "_end", F.explode(F.sequence("from_n", "_end", F.lit(SPREAD).cast("long"))).alias("_from"))
+    stop = F.least(F.col("_end"), F.col("_from") + SPREAD - 1)
+    return parts.select(*rest, F.explode(F.sequence("_from", stop)).alias("n"), "p")
+
+
+def as_steps(curves: DataFrame) -> DataFrame:
+    """Curves given by length as steps of one length each; steps as they are."""
+    if "n" not in curves.columns:
+        return curves
+    length = F.col("n").cast("long")
+    return curves.select(*[c for c in curves.columns if c not in ("n", "p")], length.alias("from_n"), length.alias("to_n"), "p")
+
+
+def _band(n: Column) -> Column:
+    """A number that never falls while ``n`` rises and stands for at most a sixteenth of its size; one length each below 32."""
+    shift = F.greatest(F.length(F.bin(n)) - 5, F.lit(0))
+    return shift * 32 + F.floor(n / F.pow(F.lit(2.0), shift)).cast("int")
+
+
+def look_up_steps(rows: DataFrame, steps: DataFrame, keys: Sequence[str], length: str, name: str) -> DataFrame:
+    """``rows`` with the value of their curve at ``length`` as ``name``, NULL beyond the curve's end.
+
+    An equi-join by bands of lengths: a step lies in all bands that it touches,
+    a few hundred at most. So the join is split or broadcast as any other, and
+    the few steps of one band are told apart by their ends.
+    """
+    first, last = _band(F.col("from_n")), _band(F.col("to_n"))
+    posted = steps.select(*keys, F.col("from_n").alias("_from"), F.col("to_n").alias("_to"), F.col("p").alias(name), F.explode(F.sequence(first, last)).alias("_band"))
+    banded = rows.withColumn("_band", _band(F.col(length)))
+    same = [banded[c] == posted[c] for c in (*keys, "_band")]
+    inside = (posted["_from"] <= banded[length]) & (banded[length] <= posted["_to"])
+    found = banded.join(posted, reduce(and_, [*same, inside]), "left")
+    return found.select(*[banded[c] for c in rows.columns], posted[name])
+
+
+def tail_distribution(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """P(longest run >= n) for n = 1 .. longest observed, per group and type, one row each."""
+    return step_points(tail_steps(runs, by)).select("pg", *by, "streak_type", "n", "p")
 
 
 def career_best(runs: DataFrame) -> DataFrame:
@@ -242,13 +290,26 @@ def career_best(runs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Baselines:
-    """Reference distributions: league, team and player level, plus the counts behind them."""
+    """Reference distributions: league, team and player level, plus the counts behind them.
+
+    ``league`` and ``team`` have one row per length or one per step.
+    """
 
     league: DataFrame
     team: DataFrame
     player: DataFrame
     meta: DataFrame
 
+    def steps(self, level: str) -> DataFrame:
+        return as_steps(getattr(self, level))
+
+    def points(self, level: str, upto: int | None = None) -> DataFrame:
+        return step_points(self.steps(level), upto)
+
+    def stepwise(self) -> Baselines:
+        """The same with one row per step."""
+        return replace(self, league=self.steps("league"), team=self.steps("team"))
+
 
 def player_season_counts(wide: DataFrame) -> DataFrame:
     """Player-seasons per position group and in total; ``wide`` has one row each."""
@@ -256,17 +317,23 @@ def player_season_counts(wide: DataFrame) -> DataFrame:
     return with_all_group(counted, [], "player_seasons")
 
 
-def compute_baselines(logs: DataFrame, players: DataFrame, chunk: Column | None = None) -> Baselines:
-    """All baselines; league, player and counts come from the same per-season runs."""
+def compute_baselines(
+    logs: DataFrame, players: DataFrame, chunk: Column | None = None, stepwise: bool = False
+) -> Baselines:
+    """All baselines; league, player and counts come from the same per-season runs.
+
+    ``stepwise`` leaves the curves as steps, which is what lookups and comparisons need.
+    """
     wide = of_skaters(longest_runs_wide(logs, PLAYER_SEASON, chunk=chunk), players)
     ids = ["player_id", "season", "pg"]
     runs = wide.unpivot(ids, list(STREAK_TYPES), "streak_type", "max_len")
     team_runs = of_skaters(
         longest_runs(logs, TEAM_PLAYER_SEASON, chunk=chunk), players
     ).withColumnRenamed("team_abbr", "team")
+    curve = tail_steps if stepwise else tail_distribution
     return Baselines(
-        league=tail_distribution(runs),
-        team=tail_distribution(team_runs, by=["team"]),
+        league=curve(runs),
+        team=curve(team_runs, by=["team"]),
         player=career_best(runs),
         meta=player_season_counts(wide),
     )

@@ -129,10 +129,10 @@ def load_shifts(warehouse: Warehouse, docs: DataFrame, skip_existing: bool = Tru
 def refresh_baselines(warehouse: Warehouse, path: str) -> streaks.Baselines:
     """Recompute, write and read back, so that later steps scan small tables."""
     computed = streaks.compute_baselines(
-        warehouse.table("player_game_logs"), warehouse.table("players")
+        warehouse.table("player_game_logs"), warehouse.table("players"), stepwise=True
     )
     sinks.save_baselines(computed, path)
-    return sinks.load_baselines(warehouse.spark, path)
+    return sinks.load_baselines(warehouse.spark, path, stepwise=True)
 
 
 def run_evaluation(
@@ -167,7 +167,7 @@ def daily_report(
     if refresh:
         baselines = refresh_baselines(warehouse, baselines_path)
     else:
-        baselines = sinks.load_baselines(warehouse.spark, baselines_path)
+        baselines = sinks.load_baselines(warehouse.spark, baselines_path, stepwise=True)
     anomalies = run_evaluation(warehouse, season, baselines, **options).persist()
     sinks.write_jsonl(anomalies, f"{output}/anomalies")
     sinks.write_summary(anomalies, f"{output}/summary", "Streak Anomaly Daily Report", generated)

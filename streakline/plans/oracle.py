@@ -215,12 +215,21 @@ lt AS (SELECT DISTINCT t.team, l.streak_type, l.n, l.p FROM l JOIN t USING (stre
 SELECT coalesce(lt.team, t.team) AS team, coalesce(lt.streak_type, t.streak_type) AS streak_type,
   coalesce(lt.n, t.n) AS n, coalesce(lt.p, 0.0::DOUBLE) AS league_p, coalesce(t.p, 0.0::DOUBLE) AS team_p
 FROM lt FULL JOIN t ON lt.team = t.team AND lt.streak_type = t.streak_type AND lt.n = t.n"""
+ORACLE["tail_steps_vs_league"] = f"""WITH by_length AS ({ORACLE["tail_curve_vs_league"]}),
+ends AS (
+  SELECT team, streak_type, n, league_p, team_p FROM by_length
+  QUALIFY (league_p, team_p) IS DISTINCT FROM lead((league_p, team_p)) OVER (PARTITION BY team, streak_type ORDER BY n))
+SELECT team, streak_type, coalesce(lag(n) OVER (PARTITION BY team, streak_type ORDER BY n), 0) + 1 AS from_n, n AS to_n,
+  league_p, team_p FROM ends"""
 ORACLE["tail_heatmap"] = f"""WITH {LEAGUE}, {TYPES}
 SELECT streak_type, label, n, CASE WHEN n > 20 THEN CAST(((n - 1) // 5) * 5 + 1 AS VARCHAR) || '-' || CAST(((n - 1) // 5) * 5 + 5 AS VARCHAR)
   ELSE CAST(n AS VARCHAR) END AS bucket, p, CAST(type_rank AS BIGINT) AS sort_key
 FROM league JOIN types USING (streak_type) WHERE pg = 'ALL'"""
 ORACLE["tail_summary"] = f"""WITH {LEAGUE}
 SELECT pg, streak_type, n, p, longest FROM (SELECT *, max(n) OVER (PARTITION BY pg, streak_type) AS longest FROM league) WHERE n <= 10"""
+ORACLE["tail_summary_all"] = ORACLE["tail_summary"].removesuffix(" WHERE n <= 10")
+ORACLE["tail_team_overview_all"] = f"""WITH {LOGS}, {HITS}, {PLAYERS}, {TEAM}
+SELECT team, streak_type, max(n) AS longest FROM team_curve WHERE pg = 'ALL' GROUP BY ALL"""
 ORACLE["tail_team_overview"] = f"""WITH {LOGS}, {HITS}, {PLAYERS}, {TEAM}
 SELECT team, streak_type, max(n) AS longest FROM team_curve WHERE pg = 'ALL'
   AND team IN (SELECT DISTINCT team FROM team_curve ORDER BY team LIMIT 5) GROUP BY ALL"""

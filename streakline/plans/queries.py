@@ -43,12 +43,12 @@ def _skater_runs(spark, d):
 
 
 def _baselines(spark, d):
-    return streaks.compute_baselines(B.logs(spark, d), B.players(spark, d))
+    return streaks.compute_baselines(B.logs(spark, d), B.players(spark, d), stepwise=True)
 
 
 def _anomalies(spark, d, **options):
     logs, players = B.logs(spark, d), B.players(spark, d)
-    baselines = streaks.compute_baselines(logs, players)
+    baselines = streaks.compute_baselines(logs, players, stepwise=True)
     return rarity.evaluate_players(logs, players, SEASON, baselines, **options)
 
 
@@ -190,6 +190,12 @@ def tail_curve_vs_league(spark, d):
     return rarity.compare_curves(_baselines(spark, d))
 
 
+@query
+def tail_steps_vs_league(spark, d):
+    """Both curves of every team, one row per step."""
+    return rarity.compare_steps(_baselines(spark, d))
+
+
 @query
 def tail_heatmap(spark, d):
     return rarity.tail_heatmap(_baselines(spark, d).league)
@@ -200,6 +206,17 @@ def tail_summary(spark, d):
     return rarity.baseline_overview(_baselines(spark, d))
 
 
+@query
+def tail_summary_all(spark, d):
+    """Every length of every league curve."""
+    return rarity.baseline_overview(_baselines(spark, d), short=None)
+
+
+@query
+def tail_team_overview_all(spark, d):
+    return rarity.team_overview(_baselines(spark, d), teams=None)
+
+
 @query
 def tail_team_overview(spark, d):
     return rarity.team_overview(_baselines(spark, d))

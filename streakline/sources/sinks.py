@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,7 @@ from streakline.functions import lookups as K
 from streakline.functions import scalars as S
 from streakline.operators import rarity
 from streakline.operators.reports import ranked
-from streakline.operators.streaks import Baselines
+from streakline.operators.streaks import Baselines, as_steps, step_points
 from streakline.operators.tables import upsert
 from streakline.sources.sheets import path_exists
 
@@ -188,31 +189,28 @@ LEVELS = ("league", "team", "player", "meta")
 
 
 def save_baselines(baselines: Baselines, path: str) -> None:
-    """Baselines as four Parquet tables below ``path``."""
+    """Baselines as four Parquet tables below ``path``, curves by step."""
+    stepwise = baselines.stepwise()
     for level in LEVELS:
-        getattr(baselines, level).write.mode("overwrite").parquet(f"{path}/{level}")
+        getattr(stepwise, level).write.mode("overwrite").parquet(f"{path}/{level}")
 
 
-def load_baselines(spark: SparkSession, path: str) -> Baselines:
-    return Baselines(**{level: spark.read.parquet(f"{path}/{level}") for level in LEVELS})
+def load_baselines(spark: SparkSession, path: str, stepwise: bool = False) -> Baselines:
+    """Baselines of :func:`save_baselines`, curves by length unless ``stepwise``."""
+    loaded = Baselines(**{level: spark.read.parquet(f"{path}/{level}") for level in LEVELS}).stepwise()
+    return loaded if stepwise else replace(loaded, league=loaded.points("league"), team=loaded.points("team"))
 
 
 def export_curves(curves: DataFrame, path: str) -> None:
-    """Tail curves as JSON: one object per curve with a length -> probability map.
-
-    A curve has one entry per observed length, which keeps each map small.
-    """
-    ids = [c for c in curves.columns if c not in ("n", "p")]
-    entries = F.array_sort(F.collect_list(F.struct(F.col("n").cast("string").alias("n"), "p")))
-    curves.groupBy(*ids).agg(F.map_from_entries(entries).alias("curve")).write.mode("overwrite").json(path)
+    """Tail curves as JSON, one line per step: a curve is never one row, however long."""
+    as_steps(curves).write.mode("overwrite").json(path)
 
 
-def import_curves(spark: SparkSession, path: str, ids: Sequence[str] = ("pg", "streak_type")) -> DataFrame:
-    """Long table of curves written by :func:`export_curves`."""
-    ddl = ", ".join(f"{c} string" for c in ids) + ", curve map<string,double>"
-    return spark.read.schema(ddl).json(path).select(*ids, F.explode("curve").alias("_n", "p")).select(
-        *ids, F.col("_n").cast("long").alias("n"), "p"
-    )
+def import_curves(spark: SparkSession, path: str, ids: Sequence[str] = ("pg", "streak_type"), stepwise: bool = False) -> DataFrame:
+    """Curves written by :func:`export_curves`, by length unless ``stepwise``."""
+    ddl = ", ".join(f"{c} string" for c in ids) + ", from_n long, to_n long, p double"
+    steps = spark.read.schema(ddl).json(path)
+    return steps if stepwise else step_points(steps)
 
 
 def cache_results(results: DataFrame, path: str) -> None:
