@@ -2,21 +2,20 @@
 
 For every language a raw-content zstandard dictionary is cut from training
 texts, in lower case. A text, in lower case too, is encoded block by block with
-each dictionary; the language whose dictionary makes it smallest is the answer,
-and a text whose smallest size hardly differs from the second is rejected.
-Sizes are whole bytes, too coarse for a short text: it is encoded with
-``PARTS`` more dictionaries of each language, parts of the first, and the sizes
-are summed.
+the one dictionary of each language, whatever its length; the language whose
+dictionary makes it smallest is the answer, and a text whose smallest size
+hardly differs from the second is rejected. So a language with little training
+text seldom wins, and never by the number of its dictionaries.
 
 Training texts are a bounded sample: ``PER_LANG`` documents of each language,
-chosen by a hash, ``PIECE`` characters of each. Prediction covers every
-document and its whole text.
+chosen by a hash, ``PIECE`` characters of each, fewer where languages are very
+many, so that all dictionaries together stay within ``ALL_BYTES``. Prediction
+covers every document and its whole text, one dictionary after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import zstandard
@@ -30,12 +29,9 @@ PIECE = 1_500
 BLOCK = 2_048
 LEVEL = 6
 #: Relative distance of the two smallest sizes below which an answer is rejected.
-MARGIN = 0.001
-#: Bytes of a short text, and dictionaries that it is encoded with besides the first.
-SHORT = 512
-PARTS = 8
-#: Languages that a model may have; more are an error, since each is encoded for every text.
-MAX_LANGS = 256
+MARGIN = 0.01
+#: Characters of training text of all languages together.
+ALL_BYTES = 32 << 20
 
 _SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
 
@@ -55,9 +51,9 @@ def sample_texts(docs: DataFrame, usable: Column, key: str = "doc_id") -> list[t
     )
     start = F.when(F.length("text") > PIECE, F.pmod("draw", F.length("text") - PIECE)).otherwise(F.lit(0)) + 1
     pieces = ranked.select("lang", "place", F.substring("text", start, F.lit(PIECE)).alias("piece"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = max(1, ALL_BYTES // (PER_LANG * max(1, len(counts))))
+    pieces = pieces.withColumn("piece", F.substring("piece", 1, min(PIECE, share)))
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for r in pieces.collect():
         by_lang.setdefault(r["lang"], []).append((r["place"], r["piece"]))
@@ -68,43 +64,49 @@ def sample_texts(docs: DataFrame, usable: Column, key: str = "doc_id") -> list[t
     ]
 
 
-@lru_cache(maxsize=2)
-def _encoders(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, list[zstandard.ZstdCompressor]]]:
-    """By language: the encoder with the whole dictionary, then those with its parts."""
-
-    def encoder(content: bytes) -> zstandard.ZstdCompressor:
+def _encoders(model: Iterable[tuple[str, bytes]]) -> Iterator[tuple[str, zstandard.ZstdCompressor]]:
+    """(language, encoder) one after the other, so that only one dictionary's tables are in memory."""
+    for lang, content in model:
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(level=LEVEL)
-        return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False)
-
-    found = []
-    for lang, content in model:
-        step = -(-len(content) // PARTS)
-        parts = [content[at : at + step] for at in range(0, len(content), step)]
-        found.append((lang, [encoder(c) for c in (content, *(p for p in parts if len(p) >= 8))]))
-    return found
+        yield lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False)
 
 
-def classify(text: str | None, encoders) -> tuple[str, float, float, bool]:
-    """(language, score, margin, rejected) of one text.
+def classified(texts: Iterable[str | None], encoders: Iterable[tuple[str, zstandard.ZstdCompressor]]) -> list[tuple[str, float, float, bool]]:
+    """(language, score, margin, rejected) of each text.
 
     Null texts and texts without a letter are ``und``, score 0, rejected. Of
-    equal sizes the more frequent language wins. The score is 0.5 for a tie and
-    rises to 1 with the margin, the relative distance of the two smallest sizes.
+    equal sizes the earlier, more frequent language wins. The score is 0.5 for
+    a tie and rises to 1 with the margin, the relative distance of the two
+    smallest sizes; a single language has margin 1.
     """
-    if text is None or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0, 0.0, True
-    data = text.lower().encode("utf-8", "replace")
-    used = slice(None) if len(data) <= SHORT else slice(1)
-    blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-    sizes = [
-        (sum(len(encoder.compress(block)) for encoder in own[used] for block in blocks), place)
-        for place, (_, own) in enumerate(encoders)
-    ]
-    ranked = sorted(sizes)
-    best, place = ranked[0]
-    margin = (ranked[1][0] - best) / ranked[1][0] if len(ranked) > 1 else 1.0
-    return encoders[place][0], min(1.0, 0.5 + 4 * margin), margin, margin < MARGIN
+    data = [t.lower().encode("utf-8", "replace") if t is not None and any(map(str.isalpha, t)) else None for t in texts]
+    best: list[tuple[int, str] | None] = [None] * len(data)
+    second = [0] * len(data)
+    for lang, encoder in encoders:
+        for i, own in enumerate(data):
+            if own is None:
+                continue
+            size = sum(len(encoder.compress(own[at : at + BLOCK])) for at in range(0, len(own), BLOCK))
+            if best[i] is None:
+                best[i] = (size, lang)
+            elif size < best[i][0]:
+                second[i], best[i] = best[i][0], (size, lang)
+            elif not second[i] or size < second[i]:
+                second[i] = size
+    found = []
+    for one, other in zip(best, second):
+        if one is None:
+            found.append((UNKNOWN, 0.0, 0.0, True))
+            continue
+        margin = (other - one[0]) / other if other else 1.0
+        found.append((one[1], min(1.0, 0.5 + 4 * margin), margin, margin < MARGIN))
+    return found
+
+
+def classify(text: str | None, encoders: Iterable[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float, bool]:
+    """:func:`classified` of one text."""
+    return classified([text], encoders)[0]
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
@@ -118,9 +120,8 @@ def identify(docs: DataFrame, model: list[tuple[str, bytes]]) -> DataFrame:
 
     @F.pandas_udf(_SCHEMA)
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoders = _encoders(model_)
         for texts in batches:
-            rows = [classify(t, encoders) if encoders else (UNKNOWN, 0.0, 0.0, True) for t in texts]
+            rows = classified(texts, _encoders(model_))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "margin", "rejected"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), answer("text").alias("answer"))
@@ -142,6 +143,10 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
 
 
 def confident_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language is rejected; same columns."""
+    """``docs`` without those whose language is rejected; same columns.
+
+    Null and empty texts, texts without a letter and, where no row is labelled,
+    all texts are rejected. Rows that repeat each other stay or go together.
+    """
     answered = identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"), sample_texts(docs, ~held_out()))
     return answered.where(~F.col("rejected")).select("doc.*")

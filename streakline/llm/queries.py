@@ -94,7 +94,7 @@ WITH p AS (
   SELECT pattern, min(reason) AS reason FROM (
     SELECT host AS pattern, 'host' AS reason FROM p
     UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1), 'domain' FROM p
-    UNION ALL SELECT host || first_segment, 'path' FROM p
+    UNION ALL SELECT host || first_segment || '/', 'path' FROM p WHERE host <> ''
   ) WHERE pattern <> '' GROUP BY pattern
 ), drawn AS (
   SELECT pattern, reason, ('0x' || substr(md5(pattern), 1, 7))::BIGINT AS draw FROM patterns
@@ -103,8 +103,8 @@ WITH p AS (
   UNION ALL SELECT pattern, reason, 'remove', DATE '2023-01-01' + (draw % 500)::INTEGER + (draw % 97)::INTEGER + 20 FROM drawn
   UNION ALL SELECT pattern, reason, 'add', DATE '2023-01-01' + (draw % 500)::INTEGER + (draw % 211)::INTEGER + 90 FROM drawn
 ), days AS (
-  SELECT pattern, listed_on, max(action) AS action, min(reason) FILTER (action = 'add') AS reason
-  FROM entries GROUP BY pattern, listed_on
+  SELECT regexp_replace(pattern, '/+$', '') AS pattern, listed_on, max(action) AS action, min(reason) FILTER (action = 'add') AS reason
+  FROM entries GROUP BY ALL
 ), intervals AS (
   SELECT *, lead(listed_on) OVER (PARTITION BY pattern ORDER BY listed_on) AS until FROM days
 ), hits AS (

@@ -43,10 +43,11 @@ def list_intervals(entries: DataFrame) -> DataFrame:
     ``entries`` has pattern, reason, action ('add' or 'remove') and listed_on.
     An entry holds until the pattern's next one; of entries of one day a
     removal wins, then the smallest reason. Entries without pattern, date or a
-    known action are ignored. Hosts are compared in lower case, paths as they are.
+    known action are ignored. Hosts are compared in lower case, paths as they are,
+    both without slashes at their end.
     """
     host = F.substring_index("pattern", "/", 1)
-    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
+    pattern = F.regexp_replace(F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1)), "/+$", "")
     usable = entries.where("pattern <> '' AND listed_on IS NOT NULL AND action IN ('add', 'remove')").select(
         pattern.alias("pattern"), "reason", "action", F.col("listed_on").alias("from_day")
     )
@@ -94,13 +95,12 @@ def blocked_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def sample_list(pages: DataFrame) -> DataFrame:
-    """A dated list made from the pages: three entries for each host, its domain and each first path segment."""
+    """A dated list made from the pages: three entries for each host, its domain and each first path segment, these with a slash at the end."""
     hosts = pages.select(url_host(F.col("url")).alias("pattern"), F.lit("host").alias("reason"))
     domains = hosts.select(F.regexp_extract("pattern", r"([^.]+\.[^.]+)$", 1).alias("pattern"), F.lit("domain").alias("reason"))
-    paths = pages.select(
-        F.concat(url_host(F.col("url")), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*(/[^/?#]+)/", 1)).alias("pattern"),
-        F.lit("path").alias("reason"),
-    )
+    host = url_host(F.col("url"))
+    path = F.concat(host, F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*(/[^/?#]+)/", 1), F.lit("/"))
+    paths = pages.select(F.when(host != "", path).alias("pattern"), F.lit("path").alias("reason"))
     patterns = hosts.unionByName(domains).unionByName(paths).where("pattern <> ''").groupBy("pattern").agg(F.min("reason").alias("reason"))
     draw = F.conv(F.substring(F.md5("pattern"), 1, 7), 16, 10).cast("long")
     start = F.date_add(F.lit("2023-01-01").cast("date"), (draw % 500).cast("int"))
