@@ -398,10 +398,12 @@ ORACLE["momentum"] = f"WITH {LOGS}, {_momentum(SEASON, 'logs')} SELECT * FROM mo
 ORACLE["career_features"] = f"WITH {REG}, {_career(SEASON)} SELECT * FROM career"
 ORACLE["team_strength"] = f"WITH {LOGS}, {PLAYERS}, {_strength(SEASON, 'logs')} SELECT * FROM strength"
 ORACLE["target_labels"] = f"WITH {REG}, {_labels(SEASON, 20)} SELECT * FROM labels"
-_PARTS = f"{_prior(SEASON)}, {_momentum(SEASON, 'reg')}, {_career(SEASON)}, {_strength(SEASON, 'reg')}"
-ORACLE["feature_matrix"] = f"""WITH {REG}, {PLAYERS}, {_PARTS}, {_labels(SEASON, 10)}
-SELECT l.player_id, {SEASON} AS season, p.position, s.pg AS position_group, p.shoots_catches,
-  CAST(date_diff('year', CAST(birth_date AS DATE), DATE '2023-10-01')
+
+
+def _rows_of(season: str) -> str:
+    return f"""(WITH {_prior(season)}, {_momentum(season, 'reg')}, {_career(season)}, {_strength(season, 'reg')}, {_labels(season, 10)}
+SELECT l.player_id, {season} AS season, p.position, s.pg AS position_group, p.shoots_catches,
+  CAST(date_diff('year', CAST(birth_date AS DATE), DATE '{season[1:5]}-10-01')
     - CASE WHEN month(CAST(birth_date AS DATE)) * 100 + day(CAST(birth_date AS DATE)) > 1001 THEN 1 ELSE 0 END AS DOUBLE) AS age,
   prior.* EXCLUDE (player_id), momentum.* EXCLUDE (player_id), coalesce(career_games, 0) AS career_games,
   coalesce(career_pts_per_game, 0) AS career_pts_per_game, coalesce(career_goals_per_game, 0) AS career_goals_per_game,
@@ -409,7 +411,10 @@ SELECT l.player_id, {SEASON} AS season, p.position, s.pg AS position_group, p.sh
   l.target_games, l.target_team
 FROM labels l JOIN players p USING (player_id) JOIN skaters s USING (player_id)
 LEFT JOIN prior USING (player_id) LEFT JOIN momentum USING (player_id) LEFT JOIN career USING (player_id)
-LEFT JOIN strength ON strength.team = l.target_team"""
+LEFT JOIN strength ON strength.team = l.target_team)"""
+
+
+ORACLE["feature_matrix"] = f"WITH {REG}, {PLAYERS} SELECT * FROM {_rows_of(SEASON)}"
 _NEXT = "'20242025'"
 ORACLE["feature_matrix_future"] = f"""WITH {REG}, {PLAYERS}, {_prior(_NEXT)}, {_momentum(_NEXT, 'reg')}, {_career(_NEXT)}, {_strength(_NEXT, 'reg')},
 known AS (SELECT player_id, arg_max(team_abbr, (season, game_date, game_id)) AS target_team FROM reg WHERE season < {_NEXT} GROUP BY player_id)
@@ -674,3 +679,56 @@ ORACLE["shifts_flatten"] = f"""WITH {ICE} SELECT game_id, shift_id, player_id, C
   team_abbr, period, 0 AS shift_number, {_clock('start_sec')} AS start_time, {_clock('end_sec')} AS end_time,
   {_clock('end_sec - start_sec')} AS duration, 0 AS detail_code, 0 AS event_number, '' AS hex_value, 0 AS team_id, '' AS team_name,
   0 AS type_code FROM shifts"""
+
+
+# --- models --------------------------------------------------------------------------------
+
+TRAINING = f"""{REG}, {PLAYERS}, training AS (
+  SELECT *, season = {SEASON} AS is_validation FROM (
+    SELECT * FROM {_rows_of("'20212022'")} UNION ALL BY NAME SELECT * FROM {_rows_of("'20222023'")}
+    UNION ALL BY NAME SELECT * FROM {_rows_of(SEASON)}))"""
+ORACLE["training_table"] = f"WITH {TRAINING} SELECT * FROM training"
+ORACLE["training_counts"] = f"""WITH {TRAINING}
+SELECT count(*) FILTER (NOT is_validation) AS n_train, count(*) FILTER (is_validation) AS n_val FROM training"""
+ORACLE["category_codes"] = f"""WITH {TRAINING}, seen AS (SELECT DISTINCT feature, category FROM (
+  SELECT u.f AS feature, u.c AS category FROM (SELECT unnest([{{'f': 'position', 'c': position}},
+    {{'f': 'position_group', 'c': position_group}}, {{'f': 'shoots_catches', 'c': shoots_catches}}]) AS u
+    FROM training WHERE NOT is_validation)) WHERE category IS NOT NULL)
+SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY category) - 1 AS INTEGER) AS code FROM seen"""
+_INPUTS = (
+    *(f"prior_{c}_per_game" for c in (*_STATS, "toi")),
+    *(f"prior_{c}" for c in ("shoot_pct", "faceoff_pct", "games_played", "home_pts_per_game", "road_pts_per_game")),
+    *(f"momentum_{c}_per_game" for c in ("pts", "goals", "shots")),
+    "career_games", "career_pts_per_game", "career_goals_per_game", "career_seasons",
+    "team_offense", "team_defense", "team_shots", "age",
+)
+_VALUES = ", ".join(f"{{'f': '{c}', 'v': CAST(coalesce({c}, -999) AS DOUBLE)}}" for c in _INPUTS)
+ORACLE["feature_relevance"] = f"""WITH {TRAINING}, long AS (
+  SELECT u.f AS feature, u.v AS v, pts_per_game AS y FROM (SELECT pts_per_game, unnest([{_VALUES}]) AS u FROM training WHERE NOT is_validation)),
+r AS (SELECT feature, CASE WHEN var_pop(v) * var_pop(y) > 0 THEN covar_pop(v, y) * covar_pop(v, y) / (var_pop(v) * var_pop(y)) ELSE 0 END AS r2
+  FROM long GROUP BY feature)
+SELECT feature, round_even(r2, 6) AS importance,
+  round_even(CASE WHEN (SELECT sum(r2) FROM r) > 0 THEN r2 / (SELECT sum(r2) FROM r) ELSE 0 END * 100, 4) AS importance_pct
+FROM r ORDER BY importance DESC, feature LIMIT 15"""
+NAIVE = f"""{REG}, {PLAYERS}, {TEAM_SEASONS}, naive AS (
+  SELECT *, coalesce(momentum_pts_per_game, prior_points_per_game, 0) AS prediction FROM {_rows_of(SEASON)}),
+projected AS (
+  SELECT n.player_id, n.position, least(greatest(prediction, 0), 2) AS projected_pts_per_game,
+    p.first_name || ' ' || p.last_name AS player_name, c.current_team AS team, least(greatest(prediction, 0), 2) * 82 AS projected_total_pts_82,
+    'recent form' AS model_version, CAST(NULL AS DOUBLE) AS model_mae
+  FROM naive n LEFT JOIN players p USING (player_id) LEFT JOIN current_team c USING (player_id))"""
+ORACLE["naive_projection"] = f"WITH {NAIVE} SELECT * FROM projected"
+ORACLE["naive_leaderboard"] = f"""WITH {NAIVE}
+SELECT CAST(row_number() OVER (ORDER BY projected_pts_per_game DESC, player_id) AS INTEGER) AS rank, player_id, player_name, team, position,
+  projected_pts_per_game, projected_total_pts_82 FROM projected WHERE position IN ('C', 'L', 'R') QUALIFY rank <= 30"""
+ORACLE["naive_actual_vs_predicted"] = f"""WITH {NAIVE}
+SELECT player_id, position, pts_per_game, prediction, pts_per_game - prediction AS residual FROM naive"""
+ORACLE["naive_metrics"] = f"""WITH {NAIVE}, long AS (SELECT 1 AS one, pts_per_game AS a, prediction AS p FROM naive)
+SELECT * EXCLUDE (one) FROM ({_fit('long', 'one')})"""
+ORACLE["naive_residuals"] = f"""WITH {NAIVE}, e AS (SELECT pts_per_game - prediction AS residual FROM naive)
+SELECT round_even(avg(residual), 6) AS mean_residual, round_even(stddev_pop(residual), 6) AS std_residual,
+  round_even(min(residual), 6) AS min_residual, round_even(max(residual), 6) AS max_residual,
+  {", ".join(f"round_even(quantile_cont(abs(residual), {p / 100}), 6) AS p{p}" for p in (50, 75, 90, 95))} FROM e"""
+ORACLE["naive_rate_hist"] = f"WITH {NAIVE} {_hist('projected', 'projected_pts_per_game', '0.1::DOUBLE')}"
+ORACLE["naive_rate_mean"] = f"""WITH {NAIVE}
+SELECT round_even(avg(projected_pts_per_game), 6) AS mean_rate, count(*) AS players FROM projected"""

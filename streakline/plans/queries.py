@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,14 @@ from streakline.operators import (
 )
 from streakline.plans import bindings as B
 from streakline.plans import models
+from streakline.session import ensure_checkpoint_dir
 from streakline.sources import documents, sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SEASON = "20232024"
-TRAIN_SEASONS = ("20222023",)
+TRAIN_SEASONS = ("20212022", "20222023")
 HEAD_TO_HEAD_GAMES = 10
 ENTRY_TIES = ("team", "entry_id")
 
@@ -1026,20 +1028,108 @@ def shifts_flatten(spark, d):
     return documents.flatten_shift_charts(docs)
 
 
-# --- models (scores differ between libraries, so no SQL twin) ------------------------------------------------
+# --- models: the table they learn from, and a naive forecast through all that follows a model --------------------
 
 
-def _trained(spark, d, iterations=10):
-    return models.run_training(
-        B.logs(spark, d), B.players(spark, d), TRAIN_SEASONS, SEASON, max_iter=iterations, min_games=10
+def _rows(spark, d):
+    return models.split_seasons(B.logs(spark, d), B.players(spark, d), TRAIN_SEASONS, SEASON, min_games=10)
+
+
+def _naive(spark, d):
+    return models.recent_form(_matrix(spark, d, min_games=10))
+
+
+@query
+def training_table(spark, d):
+    """Feature rows of all seasons that a model sees, from one pass for all of them."""
+    return _rows(spark, d)
+
+
+@query
+def training_counts(spark, d):
+    return models.training_counts(_rows(spark, d))
+
+
+@query
+def category_codes(spark, d):
+    return models.category_codes(_rows(spark, d), features.categorical_columns())
+
+
+@query
+def feature_relevance(spark, d):
+    rows = _rows(spark, d)
+    return models.relevance(rows, features.feature_columns(rows), 15)
+
+
+@query
+def naive_projection(spark, d):
+    return models.project(_naive(spark, d), B.players(spark, d), B.team_seasons(spark, d), "recent form")
+
+
+@query
+def naive_leaderboard(spark, d):
+    return models.projection_leaderboard(naive_projection(spark, d), 30, "F")
+
+
+@query
+def naive_actual_vs_predicted(spark, d):
+    scored = models.actual_vs_predicted(_naive(spark, d))
+    return scored.select("player_id", "position", "pts_per_game", "prediction", "residual")
+
+
+@query
+def naive_metrics(spark, d):
+    return models.fit_metrics(_naive(spark, d))
+
+
+@query
+def naive_residuals(spark, d):
+    return distributions.residual_summary(_naive(spark, d), models.LABEL, "prediction")
+
+
+@query
+def naive_rate_hist(spark, d):
+    return distributions.histogram(naive_projection(spark, d), "projected_pts_per_game", 0.1)
+
+
+def _mean_rate(projections):
+    return projections.agg(
+        S.rounded(F.avg("projected_pts_per_game"), 6).alias("mean_rate"), F.count("*").alias("players")
     )
 
 
+@query
+def naive_rate_mean(spark, d):
+    return _mean_rate(naive_projection(spark, d))
+
+
+# --- boosted trees (scores differ between libraries, so no SQL twin) ---------------------------------------------
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _model_folder(spark, d) -> str:
+    """Folder of the model over these tables: stored by the first query that asks, loaded by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        folder = f"{ensure_checkpoint_dir(spark)}/models/{uuid4().hex}"
+        models.run_training(
+            B.logs(spark, d), B.players(spark, d), TRAIN_SEASONS, SEASON, folder, min_games=10
+        )
+        _STORED[key] = folder
+    return _STORED[key]
+
+
+def _trained(spark, d):
+    return models.load_model(spark, _model_folder(spark, d))
+
+
 @query
 def gbt_projection(spark, d):
-    model, columns, _, _ = _trained(spark, d)
+    trained = _trained(spark, d)
+    scored = trained.score(_matrix(spark, d, min_games=10))
     return models.project(
-        model, _matrix(spark, d, min_games=10), columns, B.players(spark, d), B.team_seasons(spark, d)
+        scored, B.players(spark, d), B.team_seasons(spark, d), trained.version, trained.mae
     )
 
 
@@ -1050,23 +1140,22 @@ def projection_leaderboard(spark, d):
 
 @query
 def gbt_metrics(spark, d):
-    return _trained(spark, d)[2]
+    return _trained(spark, d).metrics.drop("feature_columns", "categorical_columns")
 
 
 @query
 def gbt_residuals(spark, d):
-    return _trained(spark, d)[3]
+    return _trained(spark, d).residuals
 
 
 @query
 def importance_top(spark, d):
-    return models.importance(_trained(spark, d)[0], spark, 15)
+    return models.load_importance(spark, _model_folder(spark, d)).limit(15)
 
 
 @query
 def actual_vs_predicted(spark, d):
-    model, columns, _, _ = _trained(spark, d)
-    scored = models.actual_vs_predicted(model, _matrix(spark, d, min_games=10), columns)
+    scored = models.actual_vs_predicted(_trained(spark, d).score(_matrix(spark, d, min_games=10)))
     return scored.select("player_id", "position", "pts_per_game", "prediction", "residual")
 
 
@@ -1077,6 +1166,4 @@ def projected_rate_hist(spark, d):
 
 @query
 def projected_rate_mean(spark, d):
-    return gbt_projection(spark, d).agg(
-        S.rounded(F.avg("projected_pts_per_game"), 6).alias("mean_rate"), F.count("*").alias("players")
-    )
+    return _mean_rate(gbt_projection(spark, d))

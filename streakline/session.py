@@ -1,10 +1,10 @@
-"""Session defaults and reliable checkpoints."""
+"""Session defaults and the shared folder of intermediate data."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "streakline", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,9 +46,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="streakline-checkpoint-")
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, with its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

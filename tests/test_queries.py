@@ -61,31 +61,72 @@ def test_model_run(spark):
 
 
 def test_model_save_and_load(spark, tmp_path):
-    from streakline.operators.features import feature_matrix
+    from streakline.operators.features import categorical_columns, feature_matrix
     from streakline.plans import bindings, models
 
     logs, players = bindings.logs(spark, SF_DIR), bindings.players(spark, SF_DIR)
-    model, columns, metrics, residuals = models.run_training(
-        logs, players, ["20222023"], "20232024", str(tmp_path / "m"), max_iter=3, min_games=5
+    folder = str(tmp_path / "m")
+    trained = models.run_training(
+        logs, players, ["20212022", "20222023"], "20232024", folder, max_iter=3, min_games=5
     )
-    assert metrics.first().mae >= 0 and residuals.first().p95 >= residuals.first().p50
-    loaded, meta, importance = models.load_model(spark, str(tmp_path / "m"))
-    assert meta.first().feature_columns == columns
+    metrics, residuals = trained.metrics.first(), trained.residuals.first()
+    assert metrics.mae >= 0 and residuals.p95 >= residuals.p50
+    rows = models.split_seasons(logs, players, ["20212022", "20222023"], "20232024", min_games=5)
+    assert metrics.n_train == rows.where(~rows[models.VALIDATION]).count() > 0
+    assert metrics.n_val == metrics.n == rows.where(models.VALIDATION).count() > 0
+    loaded = models.load_model(spark, folder)
+    described = loaded.metrics.first()
+    assert (loaded.columns, loaded.version, loaded.mae) == (trained.columns, trained.version, metrics.mae)
+    assert (described.n_train, described.categorical_columns) == (metrics.n_train, categorical_columns())
+    importance = models.load_importance(spark, folder)
     assert importance.agg({"importance_pct": "sum"}).first()[0] == pytest.approx(100.0)
+    assert {f"{c}_code" for c in categorical_columns()} < {r.feature for r in importance.collect()}
     matrix = feature_matrix(logs, players, "20232024", min_games=5)
-    a = {r.player_id: r.prediction for r in models.score(model, matrix, columns).collect()}
-    b = {r.player_id: r.prediction for r in models.score(loaded, matrix, columns).collect()}
+    a = {r.player_id: r.prediction for r in trained.score(matrix).collect()}
+    b = {r.player_id: r.prediction for r in loaded.score(matrix).collect()}
     assert a == b
+    versioned = models.load_model(spark, folder, f"v_{trained.version}")
+    board = models.project(versioned.score(matrix), players, bindings.team_seasons(spark, SF_DIR), loaded.version, loaded.mae)
+    assert {(r.model_version, r.model_mae) for r in board.collect()} == {(trained.version, metrics.mae)}
 
 
-def test_categorical_codes_are_fitted_on_training_rows(spark):
+def test_one_fit_serves_all_model_queries(spark):
+    from streakline.plans import queries
+
+    QUERIES["gbt_metrics"](spark, SF_DIR)
+    stored = dict(queries._STORED)
+    assert QUERIES["importance_top"](spark, SF_DIR).count() == 15
+    assert QUERIES["gbt_residuals"](spark, SF_DIR).count() == 1
+    assert queries._STORED == stored
+
+
+def test_categories_are_codes_of_the_training_rows(spark):
     from streakline.plans import models
 
-    rows = [(float(i % 5), "AB"[i % 2], float(i % 7) / 7, i >= 30) for i in range(40)]
+    kinds = "BA"
+    rows = [(0.5, "Q" if i >= 30 else kinds[i % 2], float(i % 2), i >= 30) for i in range(40)]
     df = spark.createDataFrame(rows, f"x double, kind string, {models.LABEL} double, {models.VALIDATION} boolean")
+    codes = models.category_codes(df, ["kind"]).collect()
+    assert {(r.category, r.code) for r in codes} == {("A", 0), ("B", 1)}  # Q is known to validation rows only
     model = models.train(df, ["x"], ["kind"], max_iter=2)
-    unseen = spark.createDataFrame([(1.0, "Z"), (1.0, None)], "x double, kind string")
-    assert models.score(model, unseen, ["x"]).where("prediction is not null").count() == 2
+    new = spark.createDataFrame([(0.5, k) for k in ("A", "B", "Z", None)], "x double, kind string")
+    found = {r.kind: r.prediction for r in models.score(model, new, ["x"]).collect()}
+    assert found["A"] > 0.9 and found["B"] < 0.1  # the category alone tells the label
+    assert found["Z"] == found[None]
+
+
+def test_many_categories_and_none(spark):
+    from streakline.plans import models
+
+    rows = [(f"k{i % 50}", None, float(i % 50), i % 4 == 0) for i in range(200)]
+    df = spark.createDataFrame(rows, f"kind string, empty string, {models.LABEL} double, {models.VALIDATION} boolean")
+    model = models.train(df.withColumn("x", df[models.LABEL] * 0), ["x"], ["kind", "empty"], max_iter=1)
+    assert len(model.stages[0].labels) == 50 and model.stages[1].labels == []
+
+
+def test_training_rows_of_all_seasons_read_the_logs_three_times(spark):
+    plan = QUERIES["training_table"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3 + 2  # logs; players for attributes and for skaters
 
 
 def test_entry(spark):
