@@ -45,8 +45,10 @@ def match_actuals(projections: DataFrame, actuals: DataFrame, tie_break: Sequenc
     """Projections with the outcome of the same name and season.
 
     Seasons without any outcome are left out; a name without one keeps NULLs.
+    The seasons are a list of years, held as one value, so that rows move by
+    season and name only and never by season alone.
     """
-    seasons = actuals.select("season_id").distinct()
+    seasons = actuals.agg(F.collect_set("season_id")).scalar()
     outcome = best_actuals(actuals, tie_break).select(
         "season_id",
         "match_key",
@@ -54,7 +56,7 @@ def match_actuals(projections: DataFrame, actuals: DataFrame, tie_break: Sequenc
         "games_played",
         F.col("team").alias("team_actual"),
     )
-    keyed = projections.join(seasons, "season_id", "left_semi").withColumn(
+    keyed = projections.where(F.array_contains(seasons, F.col("season_id"))).withColumn(
         "match_key", S.match_key("first_name", "last_name")
     )
     error = F.col("projected_points") - F.col("actual_points")

@@ -216,6 +216,31 @@ def ranked(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def rolled_up(logs: DataFrame) -> DataFrame:
+    """Rows, rows of two game types, distinct seasons and distinct players of a log, in one row.
+
+    One fold by (player, season, type) is rolled up: a player's folded rows mark
+    one of themselves, so counting marks counts players while rows fall into
+    seasons. Nothing is expanded once per distinct count.
+    """
+    folded = logs.groupBy("player_id", "season", "game_type").agg(F.count("*").alias("n"))
+    per_player = folded.groupBy("player_id").agg(F.collect_list(F.struct("season", "game_type", "n")).alias("parts"))
+    cells = per_player.select("player_id", F.posexplode("parts").alias("pos", "part")).select("player_id", "pos", "part.*")
+    first = F.col("player_id").isNotNull() & (F.col("pos") == 0)
+
+    def of_type(game_type: int) -> Column:
+        return F.sum(F.when(F.col("game_type") == game_type, F.col("n")).otherwise(0))
+
+    per_season = cells.groupBy("season").agg(
+        F.sum("n").alias("rows"),
+        of_type(2).alias("regular_season"),
+        of_type(3).alias("playoffs"),
+        F.count_if(first).alias("players"),
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "regular_season", "playoffs", "players")]
+    return per_season.agg(*sums, F.count("season").alias("seasons"))
+
+
 def named_counts(frames: Mapping[str, tuple[DataFrame, Mapping[str, Column]]]) -> DataFrame:
     """Counters of several tables as (table, counter, value) rows; one pass per table."""
 
@@ -238,18 +263,13 @@ def warehouse_state(
         "players": (players, {"rows": F.count("*")}),
         "team_seasons": (team_seasons, {"rows": F.count("*")}),
         "game_logs": (
-            logs,
-            {
-                "rows": F.count("*"),
-                "regular_season": F.count_if(F.col("game_type") == 2),
-                "playoffs": F.count_if(F.col("game_type") == 3),
-                "seasons": F.count_distinct("season"),
-                "players": F.count_distinct("player_id"),
-            },
+            rolled_up(logs),
+            {c: F.max(c) for c in ("rows", "regular_season", "playoffs", "seasons", "players")},
         ),
     }
     if events is not None:
-        frames["events"] = (events, {"rows": F.count("*"), "games": F.count_distinct("game_id")})
+        per_game = events.groupBy("game_id").agg(F.count("*").alias("n"))
+        frames["events"] = (per_game, {"rows": F.coalesce(F.sum("n"), F.lit(0)), "games": F.count("game_id")})
     if shifts is not None:
         frames["shifts"] = (shifts, {"rows": F.count("*")})
     return named_counts(frames)

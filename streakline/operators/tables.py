@@ -52,7 +52,7 @@ def orphans(df: DataFrame, reference: DataFrame, key: str, reference_key: str |
 
 def skip_existing(incoming: DataFrame, loaded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows of entities that have not been loaded yet."""
-    return incoming.join(loaded.select(*keys).distinct(), list(keys), "left_anti")
+    return incoming.join(loaded.select(*keys), list(keys), "left_anti")
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -70,7 +70,7 @@ def distinct_ids(frames: Sequence[DataFrame], key: str) -> DataFrame:
 
 def missing_ids(requested: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """Requested ids that the cache lacks."""
-    return requested.select(key).distinct().join(cached.select(key).distinct(), key, "left_anti")
+    return requested.select(key).distinct().join(cached.select(key), key, "left_anti")
 
 
 def ids_in_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from streakline import schemas
@@ -101,15 +101,39 @@ def load_boxscores(warehouse: Warehouse, docs: DataFrame, skip_existing: bool =
     warehouse.store("player_game_logs", rows, [F.asc("team_abbr")])
 
 
-def load_game_logs(warehouse: Warehouse, docs: DataFrame, skip_existing: bool = False) -> DataFrame:
-    """Game logs per player; returns the rejected entries."""
-    rows = documents.flatten_game_logs(docs)
+@dataclass(frozen=True)
+class LoadReport:
+    """Counts of one load and its rejected entries."""
+
+    entries: int
+    n_rejected: int
+    rejected: DataFrame
+
+
+def load_game_logs(warehouse: Warehouse, docs: DataFrame, skip_existing: bool = False) -> LoadReport:
+    """Game logs per player.
+
+    The documents are parsed once: one pass writes good and rejected entries
+    side by side to a staged table and counts both; the upsert reads that table.
+    """
+    counts = Observation("game_logs")
+    bad = F.col("reason").isNotNull().cast("int")
+    staged = warehouse.path("staged_game_logs")
+    documents.route_game_logs(docs).withColumn("side", bad).observe(
+        counts, F.count("*").alias("entries"), F.count("reason").alias("rejected")
+    ).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("side").parquet(staged)
+    seen = counts.get
+    if not seen["entries"]:
+        return LoadReport(0, 0, documents.rejected_game_logs(docs))
+    routed = warehouse.spark.read.parquet(staged)
+    rows = documents.good_game_logs(routed.where("side = 0")).drop("side")
     if skip_existing:
         rows = tables.skip_existing(
             rows, warehouse.table("player_game_logs"), ["player_id", "season", "game_type"]
         )
     warehouse.store("player_game_logs", rows, [F.desc("game_date")])
-    return documents.rejected_game_logs(docs)
+    rejected = documents.bad_game_logs(routed.where("side = 1"))
+    return LoadReport(seen["entries"], seen["rejected"], rejected)
 
 
 def load_events(warehouse: Warehouse, docs: DataFrame, skip_existing: bool = True) -> None:

@@ -190,6 +190,12 @@ ORACLE["streak_anomalies"] = f"WITH {ANOMALIES} SELECT {_ANOMALY} FROM anom"
 ORACLE["anomaly_top10"] = (
     f"WITH {ANOMALIES} SELECT {_ANOMALY} FROM anom ORDER BY novelty DESC, player_id, streak_type LIMIT 10"
 )
+ORACLE["streak_one_player"] = f"WITH {ANOMALIES} SELECT {_ANOMALY} FROM anom WHERE player_id = 9"
+ORACLE["daily_records"] = f"""WITH {ANOMALIES}
+SELECT player_id, player_name, team, position, streak_type AS type, length, sign, description, CAST(least(length, 40) AS INTEGER) AS n_games,
+  novelty_index, severity, u.l AS level, round_even(u.p, 6) AS probability, round_even(1 - u.p, 6) AS rarity
+FROM (SELECT *, unnest([{{'l': 'league', 'p': league_p}}, {{'l': 'team', 'p': team_p}}, {{'l': 'player', 'p': player_p}}]) AS u
+  FROM anom WHERE novelty >= 0.5)"""
 ORACLE["anomaly_filtered"] = f"""WITH {ANOMALIES}
 SELECT player_id, team, position, label, length, novelty_index, severity FROM anom
 WHERE novelty >= 0.4 AND streak_type IN ('point_streak', 'scoreless_drought') AND team IN ('click', 'view') AND pg = 'F'"""
@@ -557,11 +563,18 @@ _REPORT = """report AS (SELECT season, CASE game_type WHEN 2 THEN 'Reg' WHEN 3 T
     AND season IN ('20222023', '20232024') AND game_type IN (2, 3)
   ORDER BY game_date DESC, points DESC, game_id, player_id)"""
 ORACLE["game_log_filtered"] = f"WITH {LOGS}, {PLAYERS}, {_REPORT[:-1]} LIMIT 500) SELECT * FROM report"
+ORACLE["game_log_by_date"] = f"""WITH {LOGS}, {PLAYERS}
+SELECT game_id, player_id, first_name || ' ' || last_name AS player, season, CAST(game_date AS DATE) AS game_date, team_abbr, points
+FROM logs JOIN players USING (player_id)
+WHERE CAST(game_date AS DATE) BETWEEN DATE '2024-01-22' AND DATE '2024-01-25' AND season = {SEASON}"""
 ORACLE["daily_totals"] = f"""WITH {LOGS}, {PLAYERS}, {_REPORT}
 SELECT CAST(date AS DATE) AS date, CAST(sum(g) AS BIGINT) AS goals, CAST(sum(pts) AS BIGINT) AS points FROM report GROUP BY 1"""
 ORACLE["player_search"] = f"""WITH {WAREHOUSE} SELECT player_id, first_name || ' ' || last_name AS name, position AS pos, current_team AS team,
   sweater_number AS number, birth_date AS born, shoots_catches AS shoots FROM players LEFT JOIN current_team USING (player_id)
 WHERE first_name || ' ' || last_name ILIKE '%ER 00000001%'"""
+ORACLE["player_search_first"] = f"""WITH {WAREHOUSE} SELECT player_id, first_name || ' ' || last_name AS name, position AS pos, current_team AS team,
+  sweater_number AS number, birth_date AS born, shoots_catches AS shoots FROM players LEFT JOIN current_team USING (player_id)
+WHERE first_name || ' ' || last_name ILIKE '%er%' ORDER BY last_name, first_name, player_id LIMIT 10"""
 ORACLE["stat_coverage"] = f"""WITH {LOGS} SELECT count(*) FILTER (blocked_shots > 0) AS with_blocked_shots,
   count(*) FILTER (giveaways > 0) AS with_giveaways, count(*) FILTER (takeaways > 0) AS with_takeaways,
   count(faceoff_pct) AS with_faceoff_pct, count(*) AS total_records FROM logs"""
@@ -664,6 +677,12 @@ ORACLE["game_log_flatten"] = f"""WITH {LOGS} SELECT game_id, player_id, season,
   team_abbr, CASE WHEN shots > 2 THEN opponent_abbr ELSE '' END AS opponent_abbr, '' AS home_road_flag, time_on_ice, goals, assists, points,
   shots, 0 AS pim, 0 AS plus_minus, 0 AS shifts, 0 AS power_play_goals, 0 AS power_play_points, 0 AS shorthanded_goals,
   0 AS game_winning_goals, 0 AS ot_goals FROM logs WHERE shots <> 5"""
+_ROUTED = f"""{LOGS}, routed AS (
+  SELECT player_id, season, game_type, team_abbr, CASE WHEN shots = 5 THEN 'shots' END AS reason FROM logs
+  UNION ALL SELECT player_id, season, game_type, team_abbr, 'gameId' FROM logs)"""
+ORACLE["game_log_rejected"] = f"WITH {_ROUTED} SELECT * FROM routed WHERE reason IS NOT NULL"
+ORACLE["game_log_rejection_counts"] = f"""WITH {_ROUTED}
+SELECT season, coalesce(reason, 'ok') AS reason, count(*) AS n FROM routed GROUP BY ALL"""
 _BIG = ("goalie_in_net_id", "blocking_player_id", "assist1_player_id", "assist2_player_id")
 _SMALL = (
     "y_coord", "event_owner_team_id", "scoring_player_total", "assist1_player_total", "assist2_player_total",

@@ -32,6 +32,8 @@ QUERIES: dict[str, Query] = {}
 SEASON = "20232024"
 TRAIN_SEASONS = ("20212022", "20222023")
 HEAD_TO_HEAD_GAMES = 10
+DATES = ("2024-01-22", "2024-01-25")
+ONE_PLAYER = 9
 ENTRY_TIES = ("team", "entry_id")
 
 
@@ -149,6 +151,24 @@ def streak_anomalies(spark, d):
     return rarity.by_novelty(_anomalies(spark, d)).select(*_ANOMALY_COLUMNS)
 
 
+@query
+def streak_one_player(spark, d):
+    """Active streaks of one player, scored; the player is filtered before any streak is built."""
+    return _anomalies(spark, d, player_id=ONE_PLAYER).select(*_ANOMALY_COLUMNS)
+
+
+@query
+def daily_records(spark, d):
+    """The nested records of the daily job, a row for each level score."""
+    records = rarity.as_records(rarity.by_novelty(_anomalies(spark, d, min_novelty=0.5)))
+    streak = [F.col(f"streak.{c}").alias(c) for c in ("type", "length", "sign", "description")]
+    games = F.size("streak.recent_games").alias("n_games")
+    return records.select(
+        "player_id", "player_name", "team", "position", *streak, games, "novelty_index", "severity",
+        F.inline("rarity_scores"),
+    ).withColumns({c: S.rounded(c, 6) for c in ("probability", "rarity")})
+
+
 @query
 def anomaly_top10(spark, d):
     return rarity.top_anomalies(_anomalies(spark, d), 10).select(*_ANOMALY_COLUMNS)
@@ -575,6 +595,15 @@ def game_log_filtered(spark, d):
     return reports.game_log_report(_game_log(spark, d))
 
 
+@query
+def game_log_by_date(spark, d):
+    """The filtered log of a stretch of dates, both ends included."""
+    dates = tuple(F.to_date(F.lit(day)) for day in DATES)
+    logs = B.logs(spark, d).withColumn("game_date", F.to_date("game_date"))
+    chosen = reports.filtered_log(logs, B.players(spark, d), dates=dates, seasons=[SEASON])
+    return chosen.select("game_id", "player_id", "player", "season", "game_date", "team_abbr", "points")
+
+
 @query
 def daily_totals(spark, d):
     return reports.daily_totals(_game_log(spark, d).withColumn("game_date", F.to_date("game_date")))
@@ -585,6 +614,12 @@ def player_search(spark, d):
     return reports.player_search(B.players(spark, d), B.team_seasons(spark, d), "ER 00000001")
 
 
+@query
+def player_search_first(spark, d):
+    """The first ten players of a search, by name."""
+    return reports.player_search(B.players(spark, d), B.team_seasons(spark, d), "er", 10)
+
+
 @query
 def stat_coverage(spark, d):
     return reports.coverage(B.logs(spark, d))
@@ -957,10 +992,10 @@ def schedule_flatten(spark, d):
     return tables.first_seen(games, ["game_id"], ["team_abbr"])
 
 
-@query
-def game_log_flatten(spark, d):
-    """A game-log document per row: one good entry and one without its game id."""
+def _game_log_docs(spark, d):
+    """A game-log document per row: one entry with its game id and one without."""
     logs = B.logs(spark, d)
+
     def entry(game_id):
         return F.struct(
             game_id.alias("gameId"),
@@ -980,8 +1015,26 @@ def game_log_flatten(spark, d):
         F.col("game_type").alias("gameType"),
         F.array(entry(F.col("game_id")), entry(F.lit(None).cast("long"))).alias("gameLog"),
     )
-    docs = documents.parse_column(_doc(logs, [], doc), "_json", schemas.GAME_LOG_DOC)
-    return documents.flatten_game_logs(docs)
+    return documents.parse_column(_doc(logs, [], doc), "_json", schemas.GAME_LOG_DOC)
+
+
+@query
+def game_log_flatten(spark, d):
+    return documents.flatten_game_logs(_game_log_docs(spark, d))
+
+
+@query
+def game_log_rejected(spark, d):
+    """The other side of the routing; of the raw entry one field is read back."""
+    bad = documents.rejected_game_logs(_game_log_docs(spark, d))
+    return bad.select(
+        "player_id", "season", "game_type", "reason", F.get_json_object("entry", "$.teamAbbrev").alias("team_abbr")
+    )
+
+
+@query
+def game_log_rejection_counts(spark, d):
+    return documents.rejection_counts(_game_log_docs(spark, d))
 
 
 @query

@@ -170,7 +170,10 @@ _ENTRY_INT = {
 
 
 def _log_entries(docs: DataFrame) -> DataFrame:
-    """Entries with ``valid``: required fields present and every number a whole number."""
+    """Entries with the first ``reason`` to reject them, NULL for good ones.
+
+    Required fields must be present and every number a whole number.
+    """
     entries = docs.where(S.is_season("season")).select(
         F.col("playerId").alias("player_id"),
         "season",
@@ -182,32 +185,52 @@ def _log_entries(docs: DataFrame) -> DataFrame:
         value = F.col(f"e.{field}")
         return value.isNull() | value.try_cast("int").isNotNull()
 
-    checks = [
-        F.col("e.gameId").try_cast("bigint").isNotNull(),
-        F.col("e.gameDate").isNotNull(),
-        F.col("e.teamAbbrev").isNotNull(),
-        *[whole_or_missing(f) for f in _ENTRY_INT],
-    ]
-    return entries.withColumn("valid", S.all_of(checks))
+    checks = {
+        "gameId": F.col("e.gameId").try_cast("bigint").isNotNull(),
+        "gameDate": F.col("e.gameDate").isNotNull(),
+        "teamAbbrev": F.col("e.teamAbbrev").isNotNull(),
+        **{field: whole_or_missing(field) for field in _ENTRY_INT},
+    }
+    failed = [F.when(~good, F.lit(field)) for field, good in checks.items()]
+    return entries.withColumn("reason", F.coalesce(*failed))
 
 
-def flatten_game_logs(docs: DataFrame) -> DataFrame:
-    """Valid game-log entries, typed, missing fields defaulted."""
-    good = _log_entries(docs).where("valid")
-    return good.select(
+def route_game_logs(docs: DataFrame) -> DataFrame:
+    """All entries from one pass: typed, missing fields defaulted, with ``reason`` and the raw ``entry`` of bad ones."""
+    return _log_entries(docs).select(
         F.col("e.gameId").try_cast("bigint").alias("game_id"),
         "player_id",
         "season",
         "game_type",
         *[_text(F.col(f"e.{f}")).alias(name) for f, name in _ENTRY_TEXT.items()],
         *[S.int_or(f"e.{f}").alias(name) for f, name in _ENTRY_INT.items()],
+        "reason",
+        F.when(F.col("reason").isNotNull(), F.to_json("e")).alias("entry"),
     )
 
 
+def good_game_logs(routed: DataFrame) -> DataFrame:
+    return routed.where(F.col("reason").isNull()).drop("reason", "entry")
+
+
+def bad_game_logs(routed: DataFrame) -> DataFrame:
+    return routed.where(F.col("reason").isNotNull()).select("player_id", "season", "game_type", "reason", "entry")
+
+
+def flatten_game_logs(docs: DataFrame) -> DataFrame:
+    """Valid game-log entries, typed, missing fields defaulted."""
+    return good_game_logs(route_game_logs(docs))
+
+
 def rejected_game_logs(docs: DataFrame) -> DataFrame:
-    """Entries that fail validation, as JSON text next to their request."""
-    bad = _log_entries(docs).where(~F.col("valid"))
-    return bad.select("player_id", "season", "game_type", F.to_json("e").alias("entry"))
+    """Entries that fail validation, with the first field at fault and as JSON text next to their request."""
+    return bad_game_logs(route_game_logs(docs))
+
+
+def rejection_counts(docs: DataFrame) -> DataFrame:
+    """Entries per season by the field at fault; good ones under ``ok``."""
+    reason = F.coalesce("reason", F.lit("ok")).alias("reason")
+    return route_game_logs(docs).groupBy("season", reason).agg(F.count("*").alias("n"))
 
 
 def flatten_play_by_play(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Back-test and comparison cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,11 @@ def test_head_to_head(spark):
     assert FC.top_disagreement(c, 1).first().player_name == "Al Bo"
     assert FC.most_accurate(FC.by_position(c, "D")).first().player_name == "Cy Di"
     assert FC.errors_long(c).count() == 4
+
+
+def test_rows_never_move_by_season_alone(spark):
+    from streakline.plans.queries import QUERIES
+
+    plan = QUERIES["forecast_matched"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moves = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert moves and all("match_key" in m for m in moves if "season_id" in m)

@@ -88,7 +88,46 @@ def test_game_logs_validate_entries(spark, tmp_path):
     parsed = documents.read_documents(spark, land(tmp_path / "g", docs), schemas.GAME_LOG_DOC)
     rows = documents.flatten_game_logs(parsed).collect()
     assert [(r.game_id, r.player_id, r.goals, r.assists, r.opponent_abbr) for r in rows] == [(5, 1, 2, 0, "")]
-    assert documents.rejected_game_logs(parsed).count() == 3
+    bad = documents.rejected_game_logs(parsed).collect()
+    assert sorted(r.reason for r in bad) == ["gameDate", "gameId", "goals"]
+    assert json.loads(next(r.entry for r in bad if r.reason == "goals"))["goals"] == "many"
+    counts = {r.reason: r.n for r in documents.rejection_counts(parsed).collect()}
+    assert counts == {"ok": 1, "gameDate": 1, "gameId": 1, "goals": 1}
+
+
+def test_game_logs_load_in_one_pass(spark, tmp_path):
+    w = jobs.Warehouse(spark, str(tmp_path / "wh"))
+
+    def load(name, entries, **options):
+        docs = [{"playerId": 1, "season": "20252026", "gameType": 2, "gameLog": entries}]
+        parsed = documents.read_documents(spark, land(tmp_path / name, docs), schemas.GAME_LOG_DOC)
+        return jobs.load_game_logs(w, parsed, **options)
+
+    good = {"gameId": 2025020005, "gameDate": "2025-10-08", "teamAbbrev": "AAA", "goals": 2}
+    report = load("a", [good, {**good, "goals": "many"}])
+    assert (report.entries, report.n_rejected) == (2, 1)
+    assert [r.reason for r in report.rejected.collect()] == ["goals"]
+    assert [(r.game_id, r.goals) for r in w.table("player_game_logs").collect()] == [(2025020005, 2)]
+    only_good = load("b", [{**good, "goals": 3}])
+    assert (only_good.entries, only_good.n_rejected, only_good.rejected.count()) == (1, 0, 0)
+    assert [r.goals for r in w.table("player_game_logs").collect()] == [3]
+    load("c", [{**good, "gameId": 2025020006}], skip_existing=True)
+    assert w.table("player_game_logs").count() == 1
+    only_bad = load("d", [{**good, "gameId": None}])
+    assert (only_bad.entries, only_bad.n_rejected, only_bad.rejected.count()) == (1, 1, 1)
+    empty = load("e", [])
+    assert (empty.entries, empty.n_rejected, empty.rejected.count()) == (0, 0, 0)
+    assert w.table("player_game_logs").count() == 1
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [(1, 'a "b", c', 0.5, None), (2, None, None, "x\ty"), (3, "ünïcode", -1.0, "z")]
+    ddl = "id int, name string, rate double, note string"
+    path = str(tmp_path / "csv")
+    sinks.write_csv(spark.createDataFrame(rows, ddl), path)
+    sinks.write_csv(spark.createDataFrame(rows, ddl), path)  # overwrites
+    back = spark.read.option("escape", "\\").schema(ddl).csv(path, header=True)
+    assert sorted(map(tuple, back.collect())) == rows
 
 
 def test_plays_and_shifts(spark, tmp_path):
@@ -248,6 +287,16 @@ def test_set_operations(spark):
     assert tables.known_only(a, b, "id").count() == 2 and tables.orphans(a, b, "id").count() == 1
 
 
+def test_state_counts_with_nulls(spark):
+    rows = [(1, "A", 2), (1, "A", 3), (1, "B", 2), (2, "B", 2), (None, "C", 2), (3, None, 1), (3, None, 1)]
+    logs = spark.createDataFrame(rows, "player_id int, season string, game_type int")
+    expected = {"rows": 7, "regular_season": 4, "playoffs": 1, "seasons": 3, "players": 3}
+    assert reports.rolled_up(logs).first().asDict() == expected
+    assert reports.rolled_up(logs.limit(0)).first().asDict() == dict.fromkeys(expected, 0)
+    plan = reports.rolled_up(logs)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
 def test_baselines_round_trip(spark, tmp_path):
     league = spark.createDataFrame([("F", "point_streak", 1, 0.5), ("F", "point_streak", 2, 0.25)], "pg string, streak_type string, n bigint, p double")
     b = streaks.Baselines(league, league.withColumn("team", F.lit("X")), spark.createDataFrame([(1, "point_streak", 3)], "player_id bigint, streak_type string, career_max bigint"), spark.createDataFrame([("F", 1)], "pg string, player_seasons bigint"))
