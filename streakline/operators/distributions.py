@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +20,54 @@ def value_range(value: str) -> Column:
     return F.floor(F.signum(number) * F.log2(F.abs(number) + 1) * RANGES)
 
 
-def percentiles(
+def profile(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: dict[str, float],
+    probs: Mapping[str, float],
+    series: Mapping[str, Column] | None = None,
+    counts: Mapping[str, Column] | None = None,
+    products: Sequence[tuple[str, str]] = (),
     chunk: Column | None = None,
 ) -> DataFrame:
-    """Exact percentiles per key with linear interpolation, one column per entry.
-
-    Values are folded to (value, count) on the map side and located by rank with
-    running counts over value ranges, so no task holds a whole group and the
-    result does not depend on how the values are cut.
+    """Exact percentiles of ``value`` per key and, from the same read, moments of other columns.
+
+    Percentiles interpolate linearly, one column per entry of ``probs``. ``n`` is
+    the number of values, ``max_value`` the largest; a series adds ``<name>_mean``, ``_ss`` (squared
+    deviations from the mean, summed), ``_low`` and ``_high``; a pair in
+    ``products`` adds ``<a>_<b>_ss`` with both deviations multiplied; ``counts``
+    are numbers of rows for which a condition holds. Rows without a value count
+    for nothing, a key without any has n = 0; a series must not be NULL beside a
+    value.
+
+    Rows are folded to (value, count, moments) on the map side and located by
+    rank with running counts over value ranges, so no task holds a whole group
+    and the result does not depend on how the values are cut. Moments of the
+    folds are combined around the mean of the whole key, which its totals tell.
     """
-    keys = list(keys)
+    keys, series, counts = list(keys), dict(series or {}), dict(counts or {})
     inner = keys or ["_whole"]
-    present = df.where(F.col(value).isNotNull()).withColumn("_whole", F.lit(0)).select(*inner, value)
-    pairs = present.groupBy(*inner, value).agg(F.count("*").alias("_cnt"))
-    ranked = order_groups(pairs, inner, [value], value_range(value) if chunk is None else chunk)
-    located = ranked.running(sums={"_upto": "_cnt"}, totals={"_n": F.col("_cnt")}).rows()
+    present = F.col(value).isNotNull()
+    named = df.withColumn("_whole", F.lit(0)).select(
+        *inner,
+        value,
+        *[F.when(present, c).cast("double").alias(f"_x_{n}") for n, c in series.items()],
+        *[F.when(present & c, 1).otherwise(0).alias(f"_k_{n}") for n, c in counts.items()],
+    )
+    size = F.count(value)
+    folded = [F.sum(f"_k_{n}").alias(f"k_{n}") for n in counts]
+    for n in series:
+        x = F.col(f"_x_{n}")
+        folded += [F.sum(x).alias(f"s_{n}"), (F.var_pop(x) * size).alias(f"ss_{n}")]
+        folded += [F.min(x).alias(f"low_{n}"), F.max(x).alias(f"high_{n}")]
+    folded += [(F.covar_pop(f"_x_{a}", f"_x_{b}") * size).alias(f"ss_{a}_{b}") for a, b in products]
+    # what is wanted later goes to the end of the order, so that both sides of the carry read one shuffle
+    more = [F.struct(*folded).alias("_more")] if folded else []
+    pairs = named.groupBy(*inner, value).agg(size.alias("_cnt"), *more)
+    order = [value, "_more"] if folded else [value]
+    ranked = order_groups(pairs, inner, order, value_range(value) if chunk is None else chunk)
+    totals = {"_n": F.col("_cnt")} | {f"_t_{n}": F.col(f"_more.s_{n}") for n in series}
+    located = ranked.running(sums={"_upto": "_cnt"}, totals=totals).rows()
 
     def at_rank(rank: Column) -> Column:
         return F.max(
@@ -48,31 +77,59 @@ def percentiles(
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("_n") - 1)
 
-    bounds = []
+    def off(n: str) -> Column:
+        """Distance of a fold's mean from the mean of its key."""
+        return F.try_divide(F.col(f"_more.s_{n}"), F.col("_cnt")) - F.try_divide(F.col(f"_t_{n}"), F.col("_n"))
+
+    picked = [F.max("_n").alias("_n"), F.max(value).alias("max_value"), *[F.sum(f"_more.k_{n}").alias(n) for n in counts]]
     for name, p in probs.items():
-        bounds += [
+        picked += [
             at_rank(F.floor(position(p))).alias(f"_lo_{name}"),
             at_rank(F.ceil(position(p))).alias(f"_hi_{name}"),
         ]
+    for n in series:
+        picked += [
+            F.max(F.try_divide(F.col(f"_t_{n}"), F.col("_n"))).alias(f"{n}_mean"),
+            F.sum(F.col(f"_more.ss_{n}") + F.col("_cnt") * off(n) * off(n)).alias(f"{n}_ss"),
+            F.min(f"_more.low_{n}").alias(f"{n}_low"),
+            F.max(f"_more.high_{n}").alias(f"{n}_high"),
+        ]
+    for a, b in products:
+        both = F.col(f"_more.ss_{a}_{b}") + F.col("_cnt") * off(a) * off(b)
+        picked.append(F.sum(both).alias(f"{a}_{b}_ss"))
 
     def between(name: str, p: float) -> Column:
         low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
         part = position(p) - F.floor(position(p))
         return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
 
-    picked = located.groupBy(*inner, "_n").agg(*bounds)
-    found = picked.select(*keys, *[between(name, p).alias(name) for name, p in probs.items()])
+    result = located.groupBy(*inner).agg(*picked)
+    moments = [c for c in result.columns if c not in inner and not c.startswith("_")]
+    found = result.select(
+        *keys, *[between(name, p).alias(name) for name, p in probs.items()], F.col("_n").alias("n"), *moments
+    )
     if keys:
         return found
     # without keys there is one row, also over no values
-    return found.agg(*[F.max(name).alias(name) for name in probs])
+    whole = [F.coalesce(F.max(c), F.lit(0)).alias(c) if c in ("n", *counts) else F.max(c).alias(c) for c in found.columns]
+    return found.agg(*whole)
+
+
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    chunk: Column | None = None,
+) -> DataFrame:
+    """Exact percentiles per key with linear interpolation; keys without a value have no row."""
+    found = profile(df.where(F.col(value).isNotNull()), keys, value, probs, chunk=chunk)
+    return found.select(*keys, *probs)
 
 
-def _one_row_per_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put the columns of two per-key aggregates side by side, NULL keys included."""
-    stacked = left.unionByName(right, allowMissingColumns=True)
-    values = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+def deviation(ss: str, n: Column) -> Column:
+    """Standard deviation from summed squares of deviations, NULL over too few rows."""
+    return F.when(n > 0, F.sqrt(F.try_divide(F.col(ss), n)))
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str, **limits) -> DataFrame:
@@ -122,32 +179,30 @@ def error_metrics(df: DataFrame, keys: Sequence[str], actual: str, predicted: st
 
 
 def spread(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6, **limits) -> DataFrame:
-    """Mean, median, sample standard deviation, maximum and count per key."""
+    """Mean, median, sample standard deviation, maximum and count per key, from one read."""
     keys = list(keys)
-    v = F.col(value)
-    stats = df.groupBy(*keys).agg(
-        S.rounded(F.avg(v), digits).alias("mean"),
-        S.rounded(F.stddev_samp(v), digits).alias("std"),
-        F.max(v).alias("highest"),
-        F.count(v).alias("n"),
+    found = profile(df, keys, value, {"median": 0.5}, {"v": F.col(value)}, **limits)
+    return found.select(
+        *keys,
+        S.rounded("v_mean", digits).alias("mean"),
+        S.rounded(deviation("v_ss", F.col("n") - 1), digits).alias("std"),
+        F.col("max_value").alias("highest"),
+        "n",
+        S.rounded("median", digits).alias("median"),
     )
-    mid = percentiles(df, keys, value, {"median": 0.5}, **limits)
-    return _one_row_per_key(stats, mid, keys).withColumn("median", S.rounded("median", digits))
 
 
 def residual_summary(df: DataFrame, actual: str, predicted: str, digits: int = 6, **limits) -> DataFrame:
-    """Mean, population deviation, range and upper percentiles of |residual|."""
-    residuals = df.select((F.col(actual) - F.col(predicted)).alias("residual")).where(
-        F.col("residual").isNotNull()
-    )
-    sizes = residuals.select(F.abs("residual").alias("size"))
-    stats = residuals.agg(
-        S.rounded(F.avg("residual"), digits).alias("mean_residual"),
-        S.rounded(F.stddev_pop("residual"), digits).alias("std_residual"),
-        S.rounded(F.min("residual"), digits).alias("min_residual"),
-        S.rounded(F.max("residual"), digits).alias("max_residual"),
-    )
-    tails = percentiles(
-        sizes, [], "size", {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}, **limits
-    )
-    return _one_row_per_key(stats, tails.select(*[S.rounded(c, digits).alias(c) for c in tails.columns]), [])
+    """Mean, population deviation, range and upper percentiles of |residual|, from one read."""
+    residual = F.col(actual) - F.col(predicted)
+    sizes = df.select(residual.alias("residual"), F.abs(residual).alias("size"))
+    probs = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    found = profile(sizes, [], "size", probs, {"residual": F.col("residual")}, **limits)
+    figures = {
+        "mean_residual": F.col("residual_mean"),
+        "std_residual": deviation("residual_ss", F.col("n")),
+        "min_residual": F.col("residual_low"),
+        "max_residual": F.col("residual_high"),
+        **{p: F.col(p) for p in probs},
+    }
+    return found.select(*[S.rounded(c, digits).alias(name) for name, c in figures.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streakline.functions import scalars as S
-from streakline.operators.distributions import correlation, error_metrics, histogram, percentiles, spread
+from streakline.operators.distributions import error_metrics, histogram, profile, spread
 from streakline.operators.ordered import last_rows
 
 WITHIN = (5, 10, 15)
@@ -70,29 +70,30 @@ def match_actuals(projections: DataFrame, actuals: DataFrame, tie_break: Sequenc
 def source_metrics(
     matched: DataFrame, min_rows: int = 5, within: Sequence[float] = WITHIN, **limits
 ) -> DataFrame:
-    """Accuracy per source and season, for groups of at least ``min_rows``."""
+    """Accuracy per source and season, for groups of at least ``min_rows``; one read of the matched rows."""
     keys = ["source", "season_id"]
-    known = matched.where(F.col("actual_points").isNotNull())
     e, size = F.col("error"), F.col("abs_error")
-    x, y = F.col("projected_points"), F.col("actual_points")
-    n = F.count("*")
-    stats = (
-        known.groupBy(*keys)
-        .agg(
-            n.alias("n_players"),
-            S.rounded(F.avg(size), 2).alias("mae"),
-            S.rounded(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-            S.rounded(F.when(n > 2, correlation(x, y)), 4).alias("correlation"),
-            *[
-                S.rounded(F.count_if(size <= w) / n * 100, 1).alias(f"within_{w}_pct")
-                for w in within
-            ],
-            S.rounded(F.avg(e), 2).alias("mean_bias"),
-        )
-        .where(F.col("n_players") >= min_rows)
+    found = profile(
+        matched.where(F.col("actual_points").isNotNull()),
+        keys,
+        "abs_error",
+        {"median_ae": 0.5},
+        {"size": size, "square": e * e, "e": e, "x": F.col("projected_points"), "y": F.col("actual_points")},
+        {f"within_{w}": size <= w for w in within},
+        [("x", "y")],
+        **limits,
+    ).where(F.col("n") >= min_rows)
+    correlated = F.try_divide(F.col("x_y_ss"), F.sqrt(F.col("x_ss") * F.col("y_ss")))
+    return found.select(
+        *keys,
+        F.col("n").alias("n_players"),
+        S.rounded("size_mean", 2).alias("mae"),
+        S.rounded(F.sqrt("square_mean"), 2).alias("rmse"),
+        S.rounded(F.when(F.col("n") > 2, correlated), 4).alias("correlation"),
+        *[S.rounded(F.col(f"within_{w}") / F.col("n") * 100, 1).alias(f"within_{w}_pct") for w in within],
+        S.rounded("e_mean", 2).alias("mean_bias"),
+        S.rounded("median_ae", 2).alias("median_ae"),
     )
-    mid = percentiles(known, keys, "abs_error", {"median_ae": 0.5}, **limits)
-    return stats.join(mid.withColumn("median_ae", S.rounded("median_ae", 2)), keys)
 
 
 def source_ranking(metrics: DataFrame, within: float = 10) -> DataFrame:

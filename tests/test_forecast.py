@@ -2,9 +2,11 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from streakline.operators import distributions as D
 from streakline.operators import forecast as FC
 
 EXPERT = "first_name string, last_name string, player_name string, source string, projected_points double, season_id int"
@@ -118,3 +120,56 @@ def test_rows_never_move_by_season_alone(spark):
     plan = QUERIES["forecast_matched"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     moves = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert moves and all("match_key" in m for m in moves if "season_id" in m)
+
+
+# --- percentiles and moments from one read -----------------------------------------------
+
+
+VALUES = "k string, v double, x double, y double"
+
+
+def profiled(df, keys, **options):
+    series = {"v": F.col("v"), "x": F.col("x"), "y": F.col("y")}
+    return D.profile(df, keys, "v", {"mid": 0.5, "p90": 0.9}, series, {"high": F.col("x") > 50}, [("x", "y")], **options)
+
+
+@pytest.mark.parametrize("chunk", [None, "0", "floor(v)"])
+def test_profile_against_plain_figures(spark, chunk):
+    rng = np.random.default_rng(5)
+    # the hot key repeats its values, and all lie far from 0, where raw squares would cancel
+    rows = [(k, 1e8 + float(rng.integers(0, 40)), float(rng.integers(0, 100)), float(rng.normal())) for k in "a" * 600 + "bb" + "c"]
+    rows += [(None, -3.5, 1.0, 2.0), (None, 3.5, 60.0, 1.0), ("d", None, 99.0, 1.0)]
+    got = {r.k: r for r in profiled(spark.createDataFrame(rows, VALUES), ["k"], chunk=None if chunk is None else F.expr(chunk)).collect()}
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k, r in got.items():
+        v, x, y = (np.array(c) for c in zip(*[row[1:] for row in rows if row[0] == k]))
+        if k == "d":
+            assert (r.n, r.mid, r.v_mean, r.high, r.max_value) == (0, None, None, 0, None)
+            continue
+        assert (r.n, r.high, r.max_value, r.x_low, r.x_high) == (len(v), (x > 50).sum(), v.max(), x.min(), x.max())
+        assert (r.mid, r.p90) == pytest.approx((np.percentile(v, 50), np.percentile(v, 90)))
+        assert (r.v_mean, r.v_ss, r.x_ss) == pytest.approx((v.mean(), v.var() * len(v), x.var() * len(x)))
+        assert r.x_y_ss == pytest.approx(((x - x.mean()) * (y - y.mean())).sum(), abs=1e-9)
+
+
+def test_profile_without_keys_or_rows(spark):
+    empty = spark.createDataFrame([], VALUES)
+    assert profiled(empty, ["k"]).count() == 0
+    r = profiled(empty, []).first()
+    assert (r.n, r.high, r.mid, r.v_mean, r.v_ss) == (0, 0, None, None, None)
+    assert D.residual_summary(empty, "x", "y").first().std_residual is None
+
+
+def test_spread_of_one_value_and_large_integers(spark):
+    df = spark.createDataFrame([("a", 2**60 + 1), ("b", None)], "k string, v long")
+    got = {r.k: r for r in D.spread(df, ["k"], "v").collect()}
+    assert (got["a"].highest, got["a"].n, got["a"].std) == (2**60 + 1, 1, None)
+    assert (got["b"].highest, got["b"].n, got["b"].mean) == (None, 0, None)
+
+
+def test_metrics_read_the_matched_rows_once(spark, tmp_path):
+    matched(spark, [(float(i), float(i % 7)) for i in range(40)]).write.parquet(str(tmp_path / "m"))
+    metrics = FC.source_metrics(spark.read.parquet(str(tmp_path / "m")))
+    metrics.collect()
+    final = metrics._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet", final)) == 1
