@@ -446,7 +446,8 @@ act AS (
   FROM (SELECT l_orderkey, count(*) AS games_played,
       CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS BIGINT) AS units
     FROM lineitem GROUP BY l_orderkey) JOIN orders ON l_orderkey = o_orderkey),
-best_act AS (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY season_id, match_key ORDER BY points DESC, team, entry_id) = 1),
+"""
+BACKTEST = """best_act AS (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY season_id, match_key ORDER BY points DESC, team, entry_id) = 1),
 matched AS (
   SELECT p.season_id, p.projection_id, p.player_name, p.team, p.source, p.projected_points, b.points AS actual_points,
     b.games_played, b.team AS team_actual, p.projected_points - b.points AS error, abs(p.projected_points - b.points) AS abs_error
@@ -461,6 +462,7 @@ metrics AS (
     round_even(count(*) FILTER (abs_error <= 15) / count(*) * 100, 1) AS within_15_pct,
     round_even(avg(error), 2) AS mean_bias, round_even(quantile_cont(abs_error, 0.5), 2) AS median_ae
   FROM known GROUP BY source, season_id HAVING count(*) >= 5)"""
+ORDERS += BACKTEST
 
 ORACLE["best_actuals"] = f"WITH {ORDERS} SELECT * FROM best_act"
 ORACLE["forecast_matched"] = f"WITH {ORDERS} SELECT * FROM matched"
@@ -751,3 +753,61 @@ SELECT round_even(avg(residual), 6) AS mean_residual, round_even(stddev_pop(resi
 ORACLE["naive_rate_hist"] = f"WITH {NAIVE} {_hist('projected', 'projected_pts_per_game', '0.1::DOUBLE')}"
 ORACLE["naive_rate_mean"] = f"""WITH {NAIVE}
 SELECT round_even(avg(projected_pts_per_game), 6) AS mean_rate, count(*) AS players FROM projected"""
+
+# --- what the sinks write ------------------------------------------------------------------
+
+ORACLE["written_records"] = f"""WITH {ANOMALIES}
+SELECT player_id, player_name, team, streak_type AS type, length, sign, CAST(least(length, 40) AS INTEGER) AS n_games,
+  novelty_index, severity, u.l AS level, round_even(u.p, 6) AS probability, round_even(1 - u.p, 6) AS rarity
+FROM (SELECT *, unnest([{{'l': 'league', 'p': league_p}}, {{'l': 'team', 'p': team_p}}, {{'l': 'player', 'p': player_p}}]) AS u FROM anom)"""
+
+
+def _score(name: str) -> str:
+    return f"""printf('    %6s: P=%.4f  rarity=%.4f', '{name}', round_even({name}_p, 4), round_even(1 - {name}_p, 4))"""
+
+
+ORACLE["written_summary"] = f"""WITH {ANOMALIES},
+top AS (SELECT *, row_number() OVER (ORDER BY novelty DESC, player_id, streak_type) AS rn FROM anom)
+SELECT unnest([repeat('=', 72), '  Streak Anomaly Daily Report', '  Generated: 2026-01-01 00:00 UTC',
+  '  Total anomalies: ' || count(*), repeat('=', 72), '', repeat('=', 72), '  TOP 10 NOTABLE STREAKS', repeat('=', 72)]) AS line FROM anom
+UNION ALL SELECT unnest(['--- ' || severity || ' (' || count(*) || ' streaks) ---', '']) FROM anom GROUP BY severity
+UNION ALL SELECT unnest(['  ' || player_name || ' (' || team || ', ' || position || ') — ' || description,
+  '    Length: ' || length || ' games  |  ' || start_date || ' to ' || end_date,
+  {_score("league")}, {_score("team")}, {_score("player")}, printf('    novelty_index=%.4f', novelty_index), '']) FROM anom
+UNION ALL SELECT printf('  %d. [%s] %s (%s) — %dG %s (NI=%.4f)', rn, severity, player_name, team, length, streak_type, novelty_index)
+  FROM top WHERE rn <= 10"""
+ORACLE["written_baselines"] = f"""WITH {BASELINES}
+SELECT 'league' AS level, NULL AS team, NULL AS player_id, pg, streak_type, n, p, NULL AS career_max FROM league
+UNION ALL SELECT 'team', team, NULL, pg, streak_type, n, p, NULL FROM team_curve
+UNION ALL SELECT 'player', NULL, player_id, NULL, streak_type, NULL, NULL, career_max FROM best"""
+ORACLE["exported_curves"] = ORACLE["streak_tail_league"]
+ORACLE["cached_seasons"] = f"""WITH {ORDERS} SELECT season_id, entry_id, games_played, points FROM act WHERE season_id IN (19941995, 19961997)"""
+ORACLE["written_csv"] = f"""WITH {ORDERS} SELECT projection_id, player_name, source, season_id, projected_points, actual_points FROM matched"""
+
+# the calendar years of the orders play the years of the sheets
+_SHEET_YEAR = "CASE year(o_orderdate) WHEN 1996 THEN 2016 WHEN 1997 THEN 2021 WHEN 1998 THEN 2024 END"
+_SHEETS = f"""sheet AS (
+  SELECT o_orderkey AS projection_id, {_SHEET_YEAR} AS file_year, 'Customer' AS first_name, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS last_name,
+    '' AS team, CASE o_orderpriority WHEN '1-URGENT' THEN 'Hockey Le Magazine' WHEN '2-HIGH' THEN 'ESPN' WHEN '3-MEDIUM' THEN 'PoolPro'
+      WHEN '4-NOT SPECIFIED' THEN 'Hockey News' ELSE 'Fantrax' END AS source,
+    CAST(trunc(o_totalprice / 1000.0::DOUBLE) AS INTEGER) AS projected_points
+  FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderkey % 50 <> 0 AND o_totalprice > 0),
+proj AS (SELECT *, first_name || ' ' || last_name AS player_name, CAST(file_year * 10000 + file_year + 1 AS INTEGER) AS season_id,
+  lower(first_name || ' ' || last_name) AS match_key FROM sheet),
+raw AS (SELECT l_orderkey, count(*) AS gp, CAST(floor(
+    CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS BIGINT) / 10000000.0::DOUBLE) AS INTEGER) AS points
+  FROM lineitem GROUP BY l_orderkey),
+act AS (
+  SELECT o_orderkey AS entry_id, 'Customer' AS first_name, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS last_name, o_orderstatus AS team,
+    CAST(gp AS INTEGER) AS games_played, points, CAST({_SHEET_YEAR} * 10000 + {_SHEET_YEAR} + 1 AS INTEGER) AS season_id,
+    'customer ' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS match_key
+  FROM raw JOIN orders ON l_orderkey = o_orderkey
+  WHERE year(o_orderdate) BETWEEN 1996 AND 1998 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)"""
+ORACLE["sheet_projections"] = f"""WITH {_SHEETS}
+SELECT first_name, last_name, player_name, team, source, projected_points, season_id, CAST(file_year AS INTEGER) AS file_year FROM proj"""
+ORACLE["results_table"] = f"""WITH {_SHEETS}
+SELECT first_name || ' ' || last_name AS player_name, first_name, last_name, team, '' AS position, games_played, 0 AS goals, 0 AS assists, points,
+  round_even(points / greatest(games_played, 1), 3) AS points_per_game, season_id FROM act WHERE season_id = 20162017"""
+ORACLE["backtest_metrics"] = f"WITH {_SHEETS}, {BACKTEST} SELECT * FROM metrics"
+ORACLE["backtest_match_rate"] = f"""WITH {_SHEETS}, {BACKTEST}
+SELECT (SELECT count(*) FROM proj) AS projections, count(*) AS matched, round_even(count(*) * 100 / (SELECT count(*) FROM proj), 1) AS match_rate FROM known"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,9 @@ from streakline.operators import (
     tables,
 )
 from streakline.plans import bindings as B
-from streakline.plans import models
+from streakline.plans import jobs, models
 from streakline.session import ensure_checkpoint_dir
-from streakline.sources import documents, sheets
+from streakline.sources import documents, sheets, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,10 @@ HEAD_TO_HEAD_GAMES = 10
 DATES = ("2024-01-22", "2024-01-25")
 ONE_PLAYER = 9
 ENTRY_TIES = ("team", "entry_id")
+REPORT_TITLE, REPORT_TIME = "Streak Anomaly Daily Report", "2026-01-01 00:00 UTC"
+CACHED_SEASONS = (19941995, 19961997)
+SHEET_HEADERS = ("HM", "ESPN", "PP", "HN", "FT")
+SHEET_YEARS = {1996: (2016, "Prenom"), 1997: (2021, "Prénom"), 1998: (2024, "Prénom")}
 
 
 def query(fn: Query) -> Query:
@@ -1081,6 +1086,139 @@ def shifts_flatten(spark, d):
     return documents.flatten_shift_charts(docs)
 
 
+# --- what the sinks write, read back ------------------------------------------------------------------------------
+
+
+def _written(spark) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark)}/written/{uuid4().hex}"
+
+
+@query
+def written_records(spark, d):
+    """The JSON lines of all anomalies."""
+    folder = _written(spark)
+    sinks.write_jsonl(_anomalies(spark, d), folder)
+    records = spark.read.schema(
+        "player_id long, player_name string, team string, streak struct<type:string, length:long, sign:string, recent_games:array<struct<game_id:long>>>,"
+        " rarity_scores array<struct<level:string, probability:double, rarity:double>>, novelty_index double, severity string"
+    ).json(folder)
+    streak = [F.col(f"streak.{c}").alias(c) for c in ("type", "length", "sign")]
+    games = F.size("streak.recent_games").alias("n_games")
+    ids = ("player_id", "player_name", "team")
+    return records.select(*ids, *streak, games, "novelty_index", "severity", F.inline("rarity_scores")).withColumns(
+        {c: S.rounded(c, 6) for c in ("probability", "rarity")}
+    )
+
+
+@query
+def written_summary(spark, d):
+    """The lines of the daily text report."""
+    folder = _written(spark)
+    sinks.write_summary(_anomalies(spark, d), folder, REPORT_TITLE, REPORT_TIME)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query
+def written_baselines(spark, d):
+    """Curves of both levels by length and career bests, from the stored baselines."""
+    folder = _written(spark)
+    sinks.save_baselines(_baselines(spark, d), folder)
+    stored = sinks.load_baselines(spark, folder)
+    levels = (
+        stored.league.withColumn("level", F.lit("league")),
+        stored.team.withColumn("level", F.lit("team")),
+        stored.player.withColumn("level", F.lit("player")),
+    )
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels)
+
+
+@query
+def exported_curves(spark, d):
+    folder = _written(spark)
+    sinks.export_curves(streaks.tail_distribution(_skater_runs(spark, d)), folder)
+    return sinks.import_curves(spark, folder)
+
+
+@query
+def cached_seasons(spark, d):
+    """Outcomes of two seasons out of a cache of all."""
+    folder = _written(spark)
+    sinks.cache_results(B.actuals(spark, d), folder)
+    return sinks.cached_results(spark, folder, CACHED_SEASONS).select("season_id", "entry_id", "games_played", "points")
+
+
+@query
+def written_csv(spark, d):
+    """Forecasts with their outcomes as a CSV table."""
+    folder = _written(spark)
+    columns = "projection_id long, player_name string, source string, season_id int, projected_points double, actual_points double"
+    names = [c.split()[0] for c in columns.split(", ")]
+    sinks.write_csv(_matched(spark, d).select(*names), folder)
+    return spark.read.schema(columns).csv(folder, header=True)
+
+
+def _sheet(spark, d, calendar_year: int, first_name: str) -> DataFrame:
+    """One year's orders as a forecast sheet: a column per source, with ranks, means and nameless rows between."""
+    o = B.table(spark, d, "orders").where(F.year("o_orderdate") == calendar_year)
+    value = F.col("o_totalprice") / F.lit(1000.0)
+    nameless = F.col("o_orderkey") % 50 == 0
+    cells = [F.when(F.col("o_orderpriority") == s, value).alias(h) for s, h in zip(_sources(), SHEET_HEADERS)]
+    return o.select(
+        F.col("o_orderkey").alias("Rang"),
+        F.lit("Customer").alias(first_name),
+        F.when(~nameless, F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("Nom"),
+        *cells,
+        value.alias("MOY"),
+    )
+
+
+def _results(spark, d, calendar_year: int) -> DataFrame:
+    """One year's outcomes as a results table, with header lines and total rows between."""
+    a = B.actuals(spark, d).where(F.floor(F.col("season_id") / 10000) == calendar_year)
+    total, head = F.col("entry_id") % 11 == 0, F.col("entry_id") % 13 == 0
+    return a.select(
+        F.when(head, "Rk").otherwise(F.concat_ws(" ", "first_name", "last_name")).alias("Player"),
+        F.when(total, "TOT").otherwise(F.col("team")).alias("Tm"),
+        F.col("games_played").cast("string").alias("GP"),
+        F.lit("x").alias("G"),
+        F.lit(None).cast("string").alias("A"),
+        F.floor("points").cast("string").alias("PTS"),
+    )
+
+
+def _backtest(spark, d):
+    folder, paths, results = _written(spark), {}, []
+    for calendar_year, (year, first_name) in SHEET_YEARS.items():
+        paths[year] = f"{folder}/{year}"
+        sinks.write_csv(_sheet(spark, d, calendar_year, first_name), paths[year])
+        results.append(sheets.season_results(_results(spark, d, calendar_year), year * 10000 + year + 1))
+    return jobs.backtest(spark, paths, reduce(DataFrame.unionByName, results))
+
+
+@query
+def sheet_projections(spark, d):
+    """Forecast rows of three written sheets, each with its own layout."""
+    return _backtest(spark, d)["projections"]
+
+
+@query
+def results_table(spark, d):
+    """Player rows of a results table: no header lines, no total rows."""
+    return sheets.season_results(_results(spark, d, 1996), 20162017)
+
+
+@query
+def backtest_metrics(spark, d):
+    """The whole back-test: sheets read, matched with results tables, and measured."""
+    return _backtest(spark, d)["metrics"]
+
+
+@query
+def backtest_match_rate(spark, d):
+    return _backtest(spark, d)["match_rate"]
+
+
 # --- models: the table they learn from, and a naive forecast through all that follows a model --------------------
 
 

@@ -126,7 +126,8 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
     )
 
     def score(name: str, p: str) -> Column:
-        return F.format_string("    %6s: P=%.4f  rarity=%.4f", F.lit(name), F.col(p), 1 - F.col(p))
+        figures = [S.rounded(c, 4) for c in (F.col(p), 1 - F.col(p))]  # the format itself would take ties up
+        return F.format_string("    %6s: P=%.4f  rarity=%.4f", F.lit(name), *figures)
 
     body = anomalies.select(
         level.alias("section"),
@@ -144,7 +145,7 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
             score("league", "league_p"),
             score("team", "team_p"),
             score("player", "player_p"),
-            F.format_string("    novelty_index=%.4f", "novelty"),
+            F.format_string("    novelty_index=%.4f", "novelty_index"),
             F.lit(""),
         ).alias("lines"),
     )
@@ -166,7 +167,7 @@ def summary_lines(anomalies: DataFrame, title: str, generated: str) -> DataFrame
                 "team",
                 "length",
                 "streak_type",
-                "novelty",
+                "novelty_index",
             )
         ).alias("lines"),
     )
