@@ -146,6 +146,51 @@ def test_sharding_of_odd_rows(spark):
     balanced(placed.collect())
 
 
+def cut_of(rows, shards, kinds):
+    """Neighbours in other shards, pair by pair."""
+    return [
+        sum(shards[i] != shards[j] for kind in kinds for j in range(len(rows)) if j != i and kind(rows[i]) is not None and kind(rows[i]) == kind(rows[j]))
+        for i in range(len(rows))
+    ]
+
+
+def test_two_kinds_of_links_and_cut_edges_against_pairs(spark):
+    # text groups of five, and sites that hold two neighbouring groups each; some documents have neither
+    rows = [(i, None if i % 41 == 0 else f"t{i // 5}", None if i % 17 == 0 else f"site{i // 10}") for i in range(600)]
+    docs = corpus(spark, rows).withColumn("n_cut", F.lit("old"))
+    links = [F.col("text"), F.col("source")]
+    placed = sharding.cut_links(sharding.propagate_shards(docs, links), links)
+    found = sorted(placed.collect(), key=lambda r: r.doc_id)
+    balanced(found)
+    kinds = [lambda r: r[1], lambda r: r[2]]
+    assert [r.n_cut for r in found] == cut_of(rows, [r.shard for r in found], kinds)
+    at_random = cut_of(rows, [r[0] * 2654435761 % 4294967296 % 8 for r in rows], kinds)
+    assert sum(r.n_cut for r in found) < 0.5 * sum(at_random)
+    alone = sharding.cut_links(sharding.propagate_shards(docs, links[:1]), links)
+    assert sum(r.n_cut for r in found) < sum(r.n_cut for r in alone.collect())  # sites draw their groups together
+
+
+def test_nodes_move_to_most_of_their_neighbours(spark):
+    # node 9 belongs to a small hub and, like the rest, to a larger one: it follows the larger
+    edges = [(node, 1, 4, 36) for node in range(9)] + [(9, 1, 1, 37), (9, 2, 1, 2), (10, 2, 1, 2)]
+    df = spark.createDataFrame(edges, "node long, hub long, n long, total long")
+    got = {r.node: (r.shard, r.lead) for r in sharding.propagate_labels(df, 1_000, 4, 3).collect()}
+    assert len({got[n][0] for n in range(10)}) == 1 and {got[n][1] for n in range(10)} == {1}
+    assert got[10][0] == got[9][0]  # its only neighbour has moved
+
+
+def test_cut_links_of_odd_rows(spark):
+    empty = corpus(spark, []).withColumn("shard", F.lit(1))
+    assert sharding.cut_links(empty, F.col("text")).count() == 0
+    rows = [(1, "x", "a"), (1, "x", "a"), (None, "x", None), (4, None, "b"), (5, "", "b"), (6, "", "b")]
+    placed = corpus(spark, rows).withColumn("shard", F.when(F.col("doc_id").isNull(), 1).otherwise(0)).withColumns({"at": F.lit(7), "hub0": F.lit("h")})
+    found = sharding.cut_links(placed, F.col("text"))
+    assert found.columns == [*placed.columns, "n_cut"]
+    assert sorted((str(r.text), r.shard, r.n_cut) for r in found.collect()) == [
+        ("", 0, 0), ("", 0, 0), ("None", 0, 0), ("x", 0, 1), ("x", 0, 1), ("x", 1, 2),
+    ]
+
+
 def test_shards_do_not_depend_on_row_order(spark):
     rows = [(i, f"t{i % 50}", "s") for i in range(300)]
     one = {r.doc_id: r.shard for r in sharding.shard_documents(corpus(spark, rows)).collect()}
