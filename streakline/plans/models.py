@@ -23,6 +23,7 @@ from streakline.functions import scalars as S
 from streakline.operators import reports
 from streakline.operators.distributions import correlation, error_metrics, residual_summary
 from streakline.operators.features import categorical_columns, feature_columns, feature_matrices
+from streakline.session import ensure_checkpoint_dir
 
 LABEL = "pts_per_game"
 VALIDATION = "is_validation"
@@ -162,15 +163,18 @@ def project(
     version: str = "unversioned",
     mae: float | None = None,
 ) -> DataFrame:
-    """Projected points per game from ``prediction``, clipped to 0..2, with names and current team."""
+    """Projected points per game from ``prediction``, clipped to 0..2, with names and current team.
+
+    Names and teams have a row for each player, so they are merged and never broadcast.
+    """
     clipped = scored.select(
         "player_id", "position", S.clip("prediction", 0.0, 2.0).alias("projected_pts_per_game")
     )
     names = players.select("player_id", S.full_name("first_name", "last_name").alias("player_name"))
     teams = reports.current_team(team_seasons).select("player_id", F.col("current_team").alias("team"))
     return (
-        clipped.join(names, "player_id", "left")
-        .join(teams, "player_id", "left")
+        clipped.join(names.hint("merge"), "player_id", "left")
+        .join(teams.hint("merge"), "player_id", "left")
         .withColumn("projected_total_pts_82", F.col("projected_pts_per_game") * K.SEASON_GAMES)
         .withColumns({"model_version": F.lit(version), "model_mae": F.lit(mae).cast("double")})
     )
@@ -216,6 +220,19 @@ def _kept(one_row: DataFrame) -> DataFrame:
     return one_row.sparkSession.createDataFrame(one_row.collect(), one_row.schema)
 
 
+def kept_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` checkpointed with the partitions and the order they have: the boosting draws its samples by both.
+
+    The tasks of its rounds then do not report for the joins that made the rows.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    made = rows.persist()  # a cached plan keeps its last partitions
+    try:
+        return made.checkpoint()
+    finally:
+        made.unpersist()
+
+
 def run_training(
     logs: DataFrame,
     players: DataFrame,
@@ -227,7 +244,7 @@ def run_training(
     **options,
 ) -> Trained:
     """Build features, fit, evaluate on the validation season and optionally save."""
-    rows = split_seasons(logs, players, train_seasons, val_season, **options).persist()
+    rows = kept_rows(split_seasons(logs, players, train_seasons, val_season, **options)).persist()
     try:
         features = feature_columns(rows)
         model = train(rows, features, categorical, max_iter)

@@ -129,5 +129,35 @@ def test_training_rows_of_all_seasons_read_the_logs_three_times(spark):
     assert plan.count("FileScan parquet") == 3 + 2  # logs; players for attributes and for skaters
 
 
+def test_projections_broadcast_no_players(spark):
+    plan = QUERIES["naive_projection"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    # a row for each player is too many; the teams may go around
+    assert "HashedRelationBroadcastMode(List(input[0, bigint" not in plan
+
+
+def test_training_rows_are_kept_without_their_joins(spark):
+    from streakline.plans import models
+
+    data = [(i, i % 7) for i in range(500)]
+    left = spark.createDataFrame(data, "player_id long, n long")
+    rows = left.join(left.withColumnRenamed("n", "m").hint("merge"), "player_id").sortWithinPartitions("n", "player_id")
+    kept = models.kept_rows(rows)
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == [(i, n, n) for i, n in data]
+
+
+def test_game_types_of_any_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from streakline.plans import bindings
+
+    ks = [8, 9, 10, 18, 29, 0, -1, -2, 7, None]
+    events = spark.createDataFrame([(i, 1, '{"k": %d}' % k if k is not None else None) for i, k in enumerate(ks)], "event_id long, user_id long, props string")
+    events = events.withColumns({"ts": F.lit("2024-01-05 10:00:00").cast("timestamp"), "event_type": F.lit("view"), "value": F.lit(61.0)})
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.game_id: r.game_type for r in bindings.logs(spark, str(tmp_path)).collect()}
+    assert [found[i] for i in range(len(ks))] == [1, 3, 2, 1, 3, 2, 2, 2, 2, 2]
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
