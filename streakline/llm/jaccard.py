@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streakline.llm.common import components, small, stored
+from streakline.llm.common import components, fraction, small, stored
 
 WORDS = 5
 SHARE = 75
@@ -51,7 +51,7 @@ POSTINGS = 500_000
 TILE = 4_096
 SPREAD = 4
 LEAF = 16
-#: Frequent shingles: at most so many, seen so often in a sample of about so many documents. They order, no more.
+#: Frequent shingles: about so many at most, seen so often in a sample of about so many documents. They order, no more.
 FREQUENT, SEEN, SAMPLE = 400_000, 4, 50_000
 #: Nodes whose ids are broadcast to find their texts; beyond, a shuffle join.
 NEEDED = 1_000_000
@@ -222,6 +222,29 @@ def _frequent(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shingle": values[often].view(np.int64), "seen": counts[often]})
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"shingles": [batch["shingle"].to_numpy().tobytes()]})
+
+
+def _most_seen(often: DataFrame) -> np.ndarray:
+    """Sorted hashes of about ``FREQUENT`` shingles of the stored ``often``, those that most sets have.
+
+    Counts tell how often a shingle must be seen; of those seen just so often
+    their hashes choose a share. Tasks pack what they keep: the driver gets 8
+    bytes for each, in blocks, no list of rows, and nobody sorts them all.
+    """
+    room, least, share = FREQUENT, 0, 1.0
+    for row in often.groupBy("seen").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("seen")).collect():
+        if row["n"] > room:
+            least, share = row["seen"], room / row["n"]
+            break
+        room -= row["n"]
+    kept = (F.col("seen") > least) | ((F.col("seen") == least) & (fraction("shingle") < share))
+    blocks = often.where(kept).select("shingle").mapInPandas(_packed, "shingles binary").collect()
+    return np.sort(np.frombuffer(b"".join(r["shingles"] for r in blocks), np.uint64))
+
+
 def _posted(frequent: np.ndarray, ranges: int):
     """Blocks of (shingle, node) by range, for the first shingles of each node's set; a node once per partition."""
 
@@ -487,17 +510,14 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     ).first()
     ranges = max(1, -(-int(total["p"] or 0) // POSTINGS))
     every = max(1, total["d"] // SAMPLE)
-    often = (
+    often = stored(
         texts.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(every)) == 0)
         .select("text")
         .mapInPandas(_gathered(max(1, int(total["n"] or 0) // every // POSTINGS)), "part int, shingles binary")
         .groupBy("part")
         .applyInPandas(_frequent, "shingle long, seen long")
-        .orderBy(F.desc("seen"), "shingle")
-        .limit(FREQUENT)
-        .collect()
     )
-    frequent = np.sort(np.array([r["shingle"] for r in often], np.int64).view(np.uint64))
+    frequent = _most_seen(often)
     shared = stored(
         texts.select("text")
         .mapInPandas(_posted(frequent, ranges), "part int, shingles binary, nodes binary")

@@ -172,3 +172,22 @@ def test_tree_yields_every_pair_that_may_link(n, m):
     bound = np.minimum(a[:, None], b[None]).sum(axis=2) * 175
     want = {(int(i), int(j)) for i, j in zip(*np.nonzero(bound >= 75 * (a.sum(axis=1)[:, None] + b.sum(axis=1)[None])))}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_frequent_shingles_reach_the_driver_packed(spark, monkeypatch):
+    seen = [(int(h), 4 + i % 7) for i, h in enumerate(np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 30_000))]
+    monkeypatch.setattr(jaccard, "FREQUENT", 20_000)
+    often = spark.createDataFrame(pd.DataFrame(seen, columns=["shingle", "seen"]))
+    given, collect = [], type(often).collect
+    monkeypatch.setattr(type(often), "collect", lambda self: given.append(collect(self)) or given[-1])
+    found = jaccard._most_seen(often)
+    of = {n: set(np.array([h for h, m in seen if m == n]).view(np.uint64).tolist()) for n in range(4, 11)}
+    got = set(found.tolist())
+    assert sorted(got) == found.tolist()
+    assert all(of[n] <= got for n in range(7, 11)) and not any(of[n] & got for n in (4, 5))
+    assert abs(len(got) - 20_000) < 300  # of those seen six times a share
+    assert sum(map(len, given)) < 20
+
+
+def test_no_frequent_shingles(spark):
+    assert len(jaccard._most_seen(spark.createDataFrame([], "shingle long, seen long"))) == 0
