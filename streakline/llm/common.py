@@ -47,14 +47,14 @@ def fraction(*parts: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, for every node of ``edges`` (a, b: long).
+    """(node, component): smallest node reachable, for every node of the stored ``edges`` (a, b: long).
 
     Every node takes the smallest label among its neighbours and then its
     label's label, until nothing changes: rounds grow with the logarithm of the
     longest chain. Minima are pre-aggregated, so a node with very many
     neighbours is one row per task after the first step.
     """
-    both = stored(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
     while True:
         near = (

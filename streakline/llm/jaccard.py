@@ -5,8 +5,8 @@ when ``SHARE`` percent of their union is common. Steps:
 
 1. Equal sets become one node.
 2. Nodes that agree in a band of minima are compared with one node of the band,
-   drawn anew in each of ``STARS`` rounds. The verified links join nearly all
-   copies of a text, however many, by stars instead of pairs.
+   in two rounds and drawn anew for each of ``STARS``. The verified links join
+   nearly all copies of a text, however many, by stars instead of pairs.
 3. The exact search. Linked sets share a shingle among the first
    ``size - ceil(SHARE% of size) + 1`` of both, in any common order; those are
    posted to lists by shingle. Frequent shingles come last in that order, which
@@ -14,10 +14,12 @@ when ``SHARE`` percent of their union is common. Steps:
 4. A list that spans two components of step 2 is searched with an R-tree:
    shingles are hashed into groups, a node is the point of its group counts, and
    the sum of the smaller coordinates bounds the overlap of two points or boxes.
-   Long lists are cut into tiles, and pairs of tiles go to different tasks.
+   Boxes of one component are not compared with each other. Long lists are cut
+   into tiles, and pairs of tiles go to different tasks.
 5. Pairs are bounded again with finer group counts, and what remains is verified
    with the sets themselves.
-6. Components of all links.
+6. Links merge components. Steps 4 and 5 run first with a few pairs of each two
+   components, then with all pairs of those that still are two and had more.
 
 Shingles are compared by 64-bit hashes. Only candidate pairs between different
 components are ever made, never all pairs of a group of copies.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,23 +37,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streakline.llm.common import components, fraction, small, stored
+from streakline.llm.common import components, fraction, stored
 
 WORDS = 5
 SHARE = 75
 #: Group counts of the R-tree's points; finer counts have a quarter to a half as many groups as shingles.
 GROUPS = 256
 FINEST = 8_192
-#: Minima of a set, and rounds of stars, each with other pairs of minima.
+#: Minima of a set; distances of the two that make a band, by round of stars: few for what most copies share, then the rest.
 BINS = 16
-STARS = 4
+STARS = ((1,), (3, 5, 7))
 #: Pairs of two components that a task gives in the first run of step 4.
 FEW = 4
-#: Postings of one task of step 3, members of one tile of step 4, tasks that lists with one smallest node share, points of a leaf.
+#: Postings of one task of step 3, members of one tile of step 4, points of a leaf.
 POSTINGS = 500_000
 TILE = 4_096
-SPREAD = 4
+#: Tasks that lists with one smallest node share; lists of more than ``SHORT`` members share so many times more.
+SPREAD, SHORT = 4, 64
 LEAF = 16
+#: Pairs of places that a task of step 4 names at once.
+WAITING = 200_000
 #: Frequent shingles: about so many at most, seen so often in a sample of about so many documents. They order, no more.
 FREQUENT, SEEN, SAMPLE = 400_000, 4, 50_000
 #: Nodes whose ids are broadcast to find their texts; beyond, a shuffle join.
@@ -300,19 +306,28 @@ def _shared(group: pd.DataFrame) -> pd.DataFrame:
 
 
 class CountTree:
-    """Bulk-loaded R-tree over group counts; points are sorted by size and packed into leaves."""
+    """Bulk-loaded R-tree over group counts; points are sorted by size and packed into leaves.
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
-        low = high = counts[self.order]
+    With ``homes``, points of one home make no pair: a home that fills a leaf
+    has boxes of its own, which are not compared with each other.
+    """
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, homes: np.ndarray | None = None):
+        if homes is None:
+            homes = np.arange(len(sizes))
+        _, which, members = np.unique(homes, return_inverse=True, return_counts=True)
+        self.order = np.lexsort((sizes, np.where(members[which] > LEAF, which + 1, 0)))
+        high = counts[self.order]
         small_, large = sizes[self.order], sizes[self.order]
-        #: From the points up: (upper corners, smallest size, largest size) of each level's boxes.
-        self.levels = [(high, small_, large)]
+        least, most = homes[self.order], homes[self.order]
+        #: From the points up: (upper corners, smallest size, largest size, smallest home, largest home) of each level's boxes.
+        self.levels = [(high, small_, large, least, most)]
         while len(high) > LEAF:
             cuts = np.arange(0, len(high), LEAF)
             high = np.maximum.reduceat(high, cuts, axis=0)
             small_, large = np.minimum.reduceat(small_, cuts), np.maximum.reduceat(large, cuts)
-            self.levels.append((high, small_, large))
+            least, most = np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
+            self.levels.append((high, small_, large, least, most))
 
     @staticmethod
     def _may(one, i, other, j) -> np.ndarray:
@@ -325,12 +340,25 @@ class CountTree:
             keep[at : at + 50_000] = overlap * (100 + SHARE) >= SHARE * (one[1][a] + other[1][b])
         return keep
 
-    def pairs(self, other: CountTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(points here, points there) that may link, with each node of the trees visited once with each."""
+    @staticmethod
+    def _apart(one, i, other, j) -> np.ndarray:
+        """Whether boxes ``i`` of ``one`` and ``j`` of ``other`` have points of two homes."""
+        return (one[3][i] != other[4][j]) | (one[4][i] != other[3][j])
+
+    def pairs(self, other: CountTree, apart: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(points here, points there) that may link, with each node of the trees visited once with each.
+
+        With ``apart`` only those of two homes; then a tree gives each pair with itself once.
+        """
         depth = max(len(self.levels), len(other.levels)) - 1
 
         def descend(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             one, two = self.levels[min(level, len(self.levels) - 1)], other.levels[min(level, len(other.levels) - 1)]
+            if apart:
+                keep = self._apart(one, i, two, j)
+                if other is self:
+                    keep &= i <= j
+                i, j = i[keep], j[keep]
             keep = self._may(one, i, two, j)
             i, j = i[keep], j[keep]
             if not level:
@@ -352,53 +380,58 @@ class CountTree:
         yield from descend(depth, i, j)
 
 
-def _single_leaves(rows: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Rows:
+    """Columns of the rows of several lists."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.node, self.home, self.n, self.tile, self.left, self.right = (rows[c].to_numpy() for c in ("node", "home", "n", "tile", "left", "right"))
+        self.counts = _coarse(rows["coarse"])
+
+
+def _single_leaves(rows: _Rows, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (places in ``rows``) of lists that fill one leaf each: all of them are bounded at once.
 
     ``starts`` and ``sizes`` say where the lists lie in ``rows``.
     """
-    home, n = rows["home"].to_numpy(), rows["n"].to_numpy()
-    firsts, seconds = [], []
+    points = (rows.counts, rows.n, rows.n)
     for size in np.unique(sizes):
         i, j = np.triu_indices(size, 1)
         at = starts[sizes == size]
-        firsts.append((at[:, None] + i).ravel())
-        seconds.append((at[:, None] + j).ravel())
-    a, b = np.concatenate(firsts), np.concatenate(seconds)
-    apart = home[a] != home[b]
-    a, b = a[apart], b[apart]
-    points = (_coarse(rows["coarse"]), n, n)
-    keep = CountTree._may(points, a, points, b)
-    return a[keep], b[keep]
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        apart = rows.home[a] != rows.home[b]
+        a, b = a[apart], b[apart]
+        keep = CountTree._may(points, a, points, b)
+        yield a[keep], b[keep]
 
 
-def _tree_pairs(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _tree_pairs(rows: _Rows, start: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs (places in ``rows``) of one (shingle, left, right)."""
-    node, home, n, tile = (rows[c].to_numpy() for c in ("node", "home", "n", "tile"))
-    counts = _coarse(rows["coarse"])
-    left, right = int(rows["left"].iloc[0]), int(rows["right"].iloc[0])
-    one = np.flatnonzero(tile == left)
-    two = one if left == right else np.flatnonzero(tile == right)
+    left, right = rows.left[start], rows.right[start]
+    tile = rows.tile[start : start + size]
+    one = start + np.flatnonzero(tile == left)
+    two = one if left == right else start + np.flatnonzero(tile == right)
     if not len(one) or not len(two):
         return
-    tree = CountTree(counts[one], n[one])
-    for i, j in tree.pairs(tree if left == right else CountTree(counts[two], n[two])):
-        a, b = one[i], two[j]
-        apart = home[a] != home[b]
-        if left == right:
-            apart &= node[a] < node[b]
-        yield a[apart], b[apart]
-
-
-def _named(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, few: int | None) -> pd.DataFrame:
-    """Pairs of places as pairs of nodes; with ``few`` only so many, drawn by a hash, of each two homes."""
-    node, home = rows["node"].to_numpy(), rows["home"].to_numpy()
+    tree = CountTree(rows.counts[one], rows.n[one], rows.home[one])
+    for i, j in tree.pairs(tree if left == right else CountTree(rows.counts[two], rows.n[two], rows.home[two]), apart=True):
+        yield one[i], two[j]
+
+
+def _named(rows: _Rows, a: np.ndarray, b: np.ndarray, few: int | None) -> pd.DataFrame:
+    """Pairs of places as pairs of nodes (a, b) and of their homes (low, high).
+
+    With ``few`` only so many, drawn by a hash, of each two homes; ``more`` tells whether there are others.
+    """
+    node, home = rows.node, rows.home
     found = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
-    if few is None:
-        return found.drop_duplicates()
     found["low"], found["high"] = np.minimum(home[a], home[b]), np.maximum(home[a], home[b])
+    found["more"] = False
+    if few is None:
+        return found.drop_duplicates(["a", "b"])
     draw = _mixed(found["a"].to_numpy().view(np.uint64) * _MIX[0] + found["b"].to_numpy().view(np.uint64))
-    return found.iloc[np.argsort(draw)].drop_duplicates(["a", "b"]).groupby(["low", "high"]).head(few)[["a", "b"]]
+    found = found.iloc[np.argsort(draw)].drop_duplicates(["a", "b"])
+    found["more"] = found.groupby(["low", "high"])["a"].transform("size") > few
+    return found.groupby(["low", "high"]).head(few)
 
 
 def _tile_pairs(few: int | None):
@@ -406,13 +439,13 @@ def _tile_pairs(few: int | None):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-        given: set[tuple[int, int]] = set()
+        given: set[tuple[int, int, bool]] = set()
 
         def new(pairs: pd.DataFrame) -> pd.DataFrame:
             """Those of ``pairs`` that this task has not given lately; a pair may come again, never be lost."""
             if len(given) > 100_000:
                 given.clear()
-            keys = list(zip(pairs["a"].tolist(), pairs["b"].tolist()))
+            keys = list(zip(pairs["a"].tolist(), pairs["b"].tolist(), pairs["more"].tolist()))
             fresh = [k not in given for k in keys]
             given.update(keys)
             return pairs[fresh]
@@ -427,13 +460,17 @@ def _tile_pairs(few: int | None):
                 rest = rows.iloc[starts[-1] :]
                 starts, sizes = starts[:-1], sizes[:-1]
             leaf = (sizes <= LEAF) & (ids[starts, 1] == ids[starts, 2])
-            if leaf.any():
-                yield new(_named(rows, *_single_leaves(rows, starts[leaf], sizes[leaf]), few))
-            for at, size in zip(starts[~leaf], sizes[~leaf]):
-                one = rows.iloc[at : at + size]
-                for a, b in _tree_pairs(one):
-                    if len(a):
-                        yield new(_named(one, a, b, few))
+            columns = _Rows(rows)
+            trees = (pairs for at, size in zip(starts[~leaf], sizes[~leaf]) for pairs in _tree_pairs(columns, at, size))
+            kept, waiting = [], 0
+            for pairs in chain(_single_leaves(columns, starts[leaf], sizes[leaf]), trees):
+                kept.append(pairs)
+                waiting += len(pairs[0])
+                if waiting > WAITING:
+                    yield new(_named(columns, *map(np.concatenate, zip(*kept)), few))
+                    kept, waiting = [], 0
+            if waiting:
+                yield new(_named(columns, *map(np.concatenate, zip(*kept)), few))
 
         for batch in batches:
             if len(batch):
@@ -457,41 +494,27 @@ def _may_link(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Seri
     return pd.Series([may(*row) for row in zip(n_a, fine_a, n_b, fine_b)], dtype=bool)
 
 
-def _linked(set_a: pd.Series, set_b: pd.Series) -> pd.Series:
-    def linked(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        short, long = (a, b) if len(a) <= len(b) else (b, a)
-        at = np.minimum(np.searchsorted(long, short), len(long) - 1)
-        common = int((long[at] == short).sum())
-        return 100 * common >= SHARE * (len(a) + len(b) - common)
-
-    return pd.Series([linked(*row) for row in zip(set_a, set_b)], dtype=bool)
-
-
 def _set_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link. ``pairs`` is stored."""
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The stored ``pairs`` (a, b) of nodes whose sets link, stored."""
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # one document of each node stands for it
-    where = stored(
-        described.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("doc"))
-    ).select("node", F.col("doc.id").alias("id"), F.col("doc.text_hash").alias("text_hash"))
+    where = needed.join(nodes.select("node", "id", "text_hash"), "node")
+    if 2 * pairs.count() <= NEEDED:
+        where = F.broadcast(where)
     same = texts["id"].eqNullSafe(where["id"]) & (texts["text_hash"] == where["text_hash"])
-    found = texts.join(small(where, NEEDED), same).select("node", "text").dropDuplicates(["node"])
-    sets = stored(found.select("node", F.pandas_udf(_set_of, "binary")("text").alias("members")))
+    found = texts.join(where, same).select("node", "text").dropDuplicates(["node"])
+    sets = stored(found.select("node", F.pandas_udf(_set_of, "array<long>")("text").alias("members")))
     left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(_linked, "boolean")("members_a", "members_b")).select("a", "b")
+    common = F.size(F.array_intersect("members_a", "members_b")).cast("long")
+    linked = common * (100 + SHARE) >= SHARE * (F.size("members_a").cast("long") + F.size("members_b"))
+    return stored(pairs.join(left, "a").join(right, "b").where(linked).select(*pairs.columns))
 
 
-def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(described, links): one row per document with its node and set size; the links (a, b) between nodes.
-
-    The links are enough for components: every pair of linked nodes in
-    different components of step 2 and verified stars within them.
-    """
+def shingle_homes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(described, homes): one row per document with its node and set size; (node, home) with the smallest node that links reach."""
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     described = stored(
@@ -500,9 +523,10 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
             f"id {id_type}, text_hash long, node long, n long, minima array<int>, coarse binary, fine binary",
         )
     )
-    nodes = stored(described.where("n > 0").select("node", "n", "minima", "coarse", "fine").dropDuplicates(["node"]))
+    # the id and text of one document of each node stand for it
+    nodes = stored(described.where("n > 0").dropDuplicates(["node"]))
     described = described.select("id", "text_hash", "node", "n")
-    homes, stars = _stars(nodes, texts, described)
+    homes = _stars(nodes, texts)
 
     # step 3: lists of shingles
     total = described.agg(
@@ -524,24 +548,36 @@ def shingle_links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
         .groupBy("part")
         .applyInPandas(_shared, "shingle long, node long")
     )
-    links = stars
-    for few in (FEW, None):
-        candidates = _candidates(shared, nodes, homes, few)
-        found = _verified(_bounded(candidates, nodes), texts, described)
-        links = stored(links.unionByName(found))
-        if few:
-            homes = _homes(nodes, links)
-    return described, links
+    candidates = _candidates(shared, nodes, homes, FEW)
+    homes = _merged(homes, _verified(_bounded(candidates, nodes), texts, nodes))
+    still = _still_open(candidates, homes)
+    if still.count():
+        candidates = _candidates(shared, nodes, homes.join(still, "home", "left_semi"), None)
+        homes = _merged(homes, _verified(_bounded(candidates, nodes), texts, nodes))
+    return described, homes
+
+
+def _still_open(candidates: DataFrame, homes: DataFrame) -> DataFrame:
+    """(home), stored: of each two homes that had more ``candidates`` than were given, and still are two."""
+    held = candidates.where("more").select("low", "high").distinct()
+    for side in ("low", "high"):
+        now = homes.select(F.col("node").alias(side), F.col("home").alias(f"{side}_home"))
+        held = held.join(now, side)
+    apart = held.where("low_home <> high_home")
+    return stored(apart.select(F.explode(F.array("low_home", "high_home")).alias("home")).distinct())
 
 
 def _candidates(shared: DataFrame, nodes: DataFrame, homes: DataFrame, few: int | None) -> DataFrame:
-    """Step 4: stored pairs (a, b) of nodes with different homes that may link, by R-trees over tiles of the lists."""
+    """Step 4: pairs of nodes with different homes that may link, by R-trees over tiles of the lists.
+
+    Stored, with the homes and whether a list has more pairs of the two: (a, b, low, high, more).
+    """
     entries = stored(shared.join(homes, "node"))
     lists = entries.groupBy("shingle").agg(
         F.min("home").alias("low"), F.max("home").alias("high"), F.min("node").alias("first"), F.count(F.lit(1)).alias("members")
     )
-    # copies share many lists: lists with one smallest node go to few tasks, which give a pair once
-    task = F.xxhash64("first", F.pmod("shingle", F.lit(SPREAD)))
+    # copies share many lists: lists with one smallest node go to few tasks, which give a pair once; long lists go to more
+    task = F.xxhash64("first", F.pmod("shingle", F.lit(SPREAD) * F.ceil(F.col("members") / SHORT)))
     lists = stored(
         lists.where("low <> high").select("shingle", task.alias("task"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
     )
@@ -557,44 +593,46 @@ def _candidates(shared: DataFrame, nodes: DataFrame, homes: DataFrame, few: int
     return stored(
         tiled.repartition("task", "left", "right")
         .sortWithinPartitions("shingle", "left", "right")
-        .mapInPandas(_tile_pairs(few), "a long, b long")
-        .distinct()
+        .mapInPandas(_tile_pairs(few), "a long, b long, low long, high long, more boolean")
+        .groupBy("a", "b", "low", "high")
+        .agg(F.max("more").alias("more"))
     )
 
 
-def _homes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, home) of every node, by the components of the links."""
-    joined = nodes.select("node").join(components(links), "node", "left")
-    return stored(joined.select("node", F.coalesce("component", "node").alias("home")))
+def _merged(homes: DataFrame, links: DataFrame) -> DataFrame:
+    """``homes`` after the stored ``links`` (low, high) between them."""
+    moved = components(links.select(F.col("low").alias("a"), F.col("high").alias("b")))
+    joined = homes.join(moved.withColumnRenamed("node", "home"), "home", "left")
+    return stored(joined.select("node", F.coalesce("component", "home").alias("home")))
 
 
-def _stars(nodes: DataFrame, texts: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, home) of every node after all rounds, and the links (a, b) that were found.
+def _stars(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, home) of every node after all rounds.
 
     Bands are pairs of minima: a passage that many texts share gives one of the
     two more often than both. Only bands that still span two homes take part.
     """
     homes = nodes.select("node", F.col("node").alias("home"))
-    stars = None
-    for turn in range(STARS):
-        bins = [(i, (i + 2 * turn + 1) % BINS) for i in range(0, BINS, 1 if turn else 2)]
-        keys = F.array(*[F.xxhash64(F.lit(i), F.col("minima")[i], F.col("minima")[j]) for i, j in bins])
-        banded = stored(nodes.select("node", F.explode(F.array_distinct(keys)).alias("band")).join(homes, "node"))
-        drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "home"))
-        leads = banded.groupBy("band").agg(drawn.alias("lead"), F.min("home").alias("low"), F.max("home").alias("high"))
-        leads = stored(leads.where("low <> high").select("band", F.col("lead.node").alias("lead"), F.col("lead.home").alias("lead_home")))
-        near = banded.join(leads, "band").where("home <> lead_home")
-        near = stored(near.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-        found = _verified(_bounded(near, nodes), texts, described)
-        stars = stored(found if stars is None else stars.unionByName(found))
-        homes = _homes(nodes, stars)
-    return homes, stars
+    for turn, distances in enumerate(STARS):
+        bins = [(i, d) for d in distances for i in range(0, BINS, 1 if turn else 2)]
+        bands = [F.struct(F.lit(d).alias("d"), F.xxhash64(F.lit(i), F.col("minima")[i], F.col("minima")[(i + d) % BINS]).alias("band")) for i, d in bins]
+        placed = nodes.select("node", "minima").join(homes, "node") if turn else nodes.withColumn("home", F.col("node"))
+        banded = stored(placed.select("node", "home", F.explode(F.array_distinct(F.array(*bands))).alias("at")).select("at.*", "node", "home"))
+        drawn = F.min(F.struct(F.xxhash64("node", "d").alias("draw"), "node", "home"))
+        leads = banded.groupBy("d", "band").agg(drawn.alias("lead"), F.min("home").alias("least"), F.max("home").alias("most"))
+        leads = stored(leads.where("least <> most").select("d", "band", F.col("lead.node").alias("lead"), F.col("lead.home").alias("lead_home")))
+        near = banded.join(leads, ["d", "band"]).where("home <> lead_home")
+        sides = [(F.least, "node", "lead", "a"), (F.greatest, "node", "lead", "b"), (F.least, "home", "lead_home", "low"), (F.greatest, "home", "lead_home", "high")]
+        near = near.select(*[pick(x, y).alias(name) for pick, x, y, name in sides]).distinct()
+        homes = _merged(homes, _verified(_bounded(near, nodes), texts, nodes))
+    return homes
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The stored ``pairs`` (a, b) that the finer counts leave."""
+    """The ``pairs`` (a, b) that the finer counts leave, stored."""
     left, right = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
-    return stored(pairs.join(left, "a").join(right, "b").where(F.pandas_udf(_may_link, "boolean")("n_a", "fine_a", "n_b", "fine_b")).select("a", "b"))
+    may = F.pandas_udf(_may_link, "boolean")("n_a", "fine_a", "n_b", "fine_b")
+    return stored(pairs.join(left, "a").join(right, "b").where(may).select(*pairs.columns))
 
 
 def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -604,16 +642,10 @@ def shingle_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     repeat each other are in one component. Of null ids a component keeps the
     smallest other id, or null. An empty table gives an empty result.
     """
-    described, links = shingle_links(docs, key, text)
-    links = stored(links)
-    if links.limit(1).count():
-        homes = stored(components(links))
-        placed = described.join(homes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    else:
-        placed = described.withColumn("component", F.col("node"))
-    placed = stored(placed)
-    least = stored(placed.where("n > 0").groupBy("component").agg(F.min("id").alias("component_id")))
-    return placed.join(least, "component", "left").select(
+    described, homes = shingle_homes(docs, key, text)
+    placed = stored(described.join(homes, "node", "left"))
+    least = stored(placed.where("n > 0").groupBy("home").agg(F.min("id").alias("component_id")))
+    return placed.join(least, "home", "left").select(
         "id",
         "text_hash",
         F.col("n").alias("n_shingles"),

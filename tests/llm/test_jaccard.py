@@ -191,3 +191,53 @@ def test_frequent_shingles_reach_the_driver_packed(spark, monkeypatch):
 
 def test_no_frequent_shingles(spark):
     assert len(jaccard._most_seen(spark.createDataFrame([], "shingle long, seen long"))) == 0
+
+
+def test_points_of_one_home_are_not_compared(monkeypatch):
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(3, (400, jaccard.GROUPS)).astype(np.uint32)
+    counts[200:] = counts[:200]
+    sizes = counts.sum(axis=1)
+    homes = np.where(np.arange(400) % 200 < 150, 7, np.arange(400))
+    seen, may = [], jaccard.CountTree._may
+    monkeypatch.setattr(jaccard.CountTree, "_may", staticmethod(lambda one, i, two, j: seen.append(len(i)) or may(one, i, two, j)))
+    tree = jaccard.CountTree(counts, sizes, homes)
+    got = [tuple(sorted((int(i), int(j)))) for x, y in tree.pairs(tree, apart=True) for i, j in zip(x, y)]
+    bound = np.minimum(counts[:, None], counts[None]).sum(axis=2) * 175 >= 75 * (sizes[:, None] + sizes[None])
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(bound & (homes[:, None] != homes[None]))) if i < j}
+    assert set(got) == want and len(got) == len(want)
+    seen.clear()
+    one = jaccard.CountTree(counts, sizes, np.full(400, 7))
+    assert not list(one.pairs(one, apart=True)) and not sum(seen)
+
+
+def test_pairs_held_back_are_told():
+    frame = pd.DataFrame({"node": range(8), "home": [0, 0, 0, 0, 4, 4, 4, 7], "n": 9, "tile": 0, "left": 0, "right": 0})
+    rows = jaccard._Rows(frame.assign(coarse=[bytes(jaccard.GROUPS)] * 8))
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(4) for j in (4, 5, 6, 7)]))
+    got = jaccard._named(rows, a, b, 4)
+    assert got.groupby(["low", "high"])["more"].agg(["size", "any"]).to_dict("index") == {
+        (0, 4): {"size": 4, "any": True},
+        (0, 7): {"size": 4, "any": False},
+    }
+    assert len(jaccard._named(rows, a, b, None)) == 16
+
+
+def test_pairs_held_back_are_searched_in_the_second_run(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_minima", lambda h: [int(h[0] & np.uint64(0x7FFFFFFF))] * jaccard.BINS)
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "WAITING", 3)
+    rows = copies(7, 90)
+    assert found(table(spark, rows)) == brute(rows)
+
+
+def test_tables_that_are_stored_on_the_way_are_few(spark, monkeypatch):
+    """Each costs shuffles of as many tasks as there are partitions, however small the tables are."""
+    from streakline.llm import common
+
+    stored, calls = common.stored, []
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "stored", lambda df: calls.append(1) or stored(df))
+    rows = copies(1)
+    assert found(table(spark, rows)) == brute(rows)
+    assert len(calls) <= 50
