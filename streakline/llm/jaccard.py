@@ -53,7 +53,7 @@ FEW = 4
 POSTINGS = 500_000
 TILE = 4_096
 #: Tasks that lists with one smallest node share; lists of more than ``SHORT`` members share so many times more.
-SPREAD, SHORT = 4, 64
+SPREAD, SHORT = 4, 256
 LEAF = 16
 #: Pairs of places that a task of step 4 names at once.
 WAITING = 200_000
@@ -417,10 +417,10 @@ def _tree_pairs(rows: _Rows, start: int, size: int) -> Iterator[tuple[np.ndarray
         yield one[i], two[j]
 
 
-def _named(rows: _Rows, a: np.ndarray, b: np.ndarray, few: int | None) -> pd.DataFrame:
+def _named(rows: _Rows, a: np.ndarray, b: np.ndarray, few: int | None, at: np.ndarray | int = 0) -> pd.DataFrame:
     """Pairs of places as pairs of nodes (a, b) and of their homes (low, high).
 
-    With ``few`` only so many, drawn by a hash, of each two homes; ``more`` tells whether there are others.
+    With ``few`` only so many, drawn by a hash, of each two homes in a list ``at``; ``more`` tells whether there are others.
     """
     node, home = rows.node, rows.home
     found = pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
@@ -428,10 +428,12 @@ def _named(rows: _Rows, a: np.ndarray, b: np.ndarray, few: int | None) -> pd.Dat
     found["more"] = False
     if few is None:
         return found.drop_duplicates(["a", "b"])
+    found["at"] = at
     draw = _mixed(found["a"].to_numpy().view(np.uint64) * _MIX[0] + found["b"].to_numpy().view(np.uint64))
-    found = found.iloc[np.argsort(draw)].drop_duplicates(["a", "b"])
-    found["more"] = found.groupby(["low", "high"])["a"].transform("size") > few
-    return found.groupby(["low", "high"]).head(few)
+    found = found.iloc[np.argsort(draw)].drop_duplicates(["a", "b", "at"])
+    both = found.groupby(["at", "low", "high"])
+    found["more"] = both["a"].transform("size") > few
+    return found[both.cumcount() < few].drop(columns="at").drop_duplicates(["a", "b", "more"])
 
 
 def _tile_pairs(few: int | None):
@@ -461,16 +463,22 @@ def _tile_pairs(few: int | None):
                 starts, sizes = starts[:-1], sizes[:-1]
             leaf = (sizes <= LEAF) & (ids[starts, 1] == ids[starts, 2])
             columns = _Rows(rows)
-            trees = (pairs for at, size in zip(starts[~leaf], sizes[~leaf]) for pairs in _tree_pairs(columns, at, size))
+            leaves = ((-1, pairs) for pairs in _single_leaves(columns, starts[leaf], sizes[leaf]))
+            trees = ((at, pairs) for at, size in zip(starts[~leaf], sizes[~leaf]) for pairs in _tree_pairs(columns, at, size))
             kept, waiting = [], 0
-            for pairs in chain(_single_leaves(columns, starts[leaf], sizes[leaf]), trees):
-                kept.append(pairs)
-                waiting += len(pairs[0])
+
+            def named() -> pd.DataFrame:
+                a, b, at = map(np.concatenate, zip(*kept))
+                return new(_named(columns, a, b, few, at))
+
+            for at, (a, b) in chain(leaves, trees):
+                kept.append((a, b, np.full(len(a), at)))
+                waiting += len(a)
                 if waiting > WAITING:
-                    yield new(_named(columns, *map(np.concatenate, zip(*kept)), few))
+                    yield named()
                     kept, waiting = [], 0
             if waiting:
-                yield new(_named(columns, *map(np.concatenate, zip(*kept)), few))
+                yield named()
 
         for batch in batches:
             if len(batch):
