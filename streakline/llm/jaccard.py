@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ TILE = 4_096
 #: Tasks that lists with one smallest node share; lists of more than ``SHORT`` members share so many times more.
 SPREAD, SHORT = 4, 256
 LEAF = 16
+#: Hashes that a task of step 3 deals out at once, texts whose sets or counts it gives at once.
+DEALT, GIVEN = 1 << 18, 1_000
 #: Pairs of places that a task of step 4 names at once.
 WAITING = 200_000
 #: Frequent shingles: about so many at most, seen so often in a sample of about so many documents. They order, no more.
@@ -166,21 +169,32 @@ def _fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(-1, groups).sum(axis=0)
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
+    """The texts of ``batches`` one at a time: a batch is never a column of Python strings."""
     for batch in batches:
-        rows = []
-        for doc, text_hash, text in zip(batch["id"], batch["text_hash"], batch["text"]):
-            h = shingles(text)
-            n = len(h)
-            if not n:
-                rows.append((doc, text_hash, None, 0, None, None, None))
-                continue
-            fine = np.bincount((h & np.uint64(_fine_groups(n) - 1)).astype(np.int64), minlength=_fine_groups(n))
-            coarse = _fold(fine, GROUPS)
-            node = _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
-            rows.append((doc, text_hash, node, n, _minima(h), _bytes(coarse), _bytes(fine)))
-        frame = pd.DataFrame(rows, columns=["id", "text_hash", "node", "n", "minima", "coarse", "fine"])
-        yield frame.astype({"id": batch["id"].dtype, "node": "Int64"})
+        for text in batch.column("text"):
+            yield text.as_py()
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of ``GIVEN`` texts at once, so that a task holds one batch of texts and little else."""
+    types = {"node": pa.int64(), "n": pa.int64(), "minima": pa.list_(pa.int32()), "coarse": pa.binary(), "fine": pa.binary()}
+    for batch in batches:
+        for at in range(0, len(batch), GIVEN):
+            part = batch.slice(at, GIVEN)
+            rows = []
+            for text in _texts([part]):
+                h = shingles(text)
+                n = len(h)
+                if not n:
+                    rows.append((None, 0, None, None, None))
+                    continue
+                fine = np.bincount((h & np.uint64(_fine_groups(n) - 1)).astype(np.int64), minlength=_fine_groups(n))
+                coarse = _fold(fine, GROUPS)
+                node = _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
+                rows.append((node, n, _minima(h), _bytes(coarse), _bytes(fine)))
+            found = {name: pa.array(column, kind) for (name, kind), column in zip(types.items(), zip(*rows))}
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "text_hash": part.column("text_hash"), **found})
 
 
 def _coarse(blobs: pd.Series) -> np.ndarray:
@@ -201,20 +215,20 @@ def _dealt(h: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
 def _gathered(ranges: int):
     """The shingles of all sets in blocks by range."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, waiting = [], 0
 
-        def blocks() -> pd.DataFrame:
+        def blocks() -> pa.RecordBatch:
             h = np.concatenate(kept)
-            return pd.DataFrame([(part, h[at].tobytes()) for part, at in _dealt(h, ranges)], columns=["part", "shingles"])
-
-        for batch in batches:
-            for text in batch["text"]:
-                kept.append(shingles(text))
-                waiting += len(kept[-1])
-                if waiting > 1_000_000:
-                    yield blocks()
-                    kept, waiting = [], 0
+            parts, shares = zip(*((part, h[at].tobytes()) for part, at in _dealt(h, ranges)))
+            return pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "shingles": pa.array(shares, pa.binary())})
+
+        for text in _texts(batches):
+            kept.append(shingles(text))
+            waiting += len(kept[-1])
+            if waiting > DEALT:
+                yield blocks()
+                kept, waiting = [], 0
         if waiting:
             yield blocks()
 
@@ -254,35 +268,38 @@ def _most_seen(often: DataFrame) -> np.ndarray:
 def _posted(frequent: np.ndarray, ranges: int):
     """Blocks of (shingle, node) by range, for the first shingles of each node's set; a node once per partition."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[np.ndarray] = []
+        nodes: list[int] = []
         waiting = 0
 
-        def blocks() -> pd.DataFrame:
-            h, node = (np.concatenate(x) for x in zip(*kept))
-            rows = [(part, h[at].tobytes(), node[at].tobytes()) for part, at in _dealt(h, ranges)]
-            return pd.DataFrame(rows, columns=["part", "shingles", "nodes"])
+        def blocks() -> pa.RecordBatch:
+            h, node = np.concatenate(kept), np.repeat(np.array(nodes, np.int64), [len(x) for x in kept])
+            parts, shares, theirs = zip(*((part, h[at].tobytes(), node[at].tobytes()) for part, at in _dealt(h, ranges)))
+            columns = {"part": pa.array(parts, pa.int32()), "shingles": pa.array(shares, pa.binary()), "nodes": pa.array(theirs, pa.binary())}
+            return pa.RecordBatch.from_pydict(columns)
 
-        for batch in batches:
-            for text in batch["text"]:
-                h = shingles(text)
-                if not len(h):
-                    continue
-                node = _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
-                if node in done:
-                    continue
-                done.add(node)
-                first = len(h) - _least(len(h)) + 1
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-                    common = frequent[at] == h
-                    h = np.concatenate([h[~common], h[common]])
-                kept.append((h[:first], np.full(first, node, np.int64)))
-                waiting += first
-                if waiting > 1_000_000:
-                    yield blocks()
-                    kept, waiting = [], 0
+        for text in _texts(batches):
+            h = shingles(text)
+            if not len(h):
+                continue
+            node = _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
+            if node in done:
+                continue
+            done.add(node)
+            first = len(h) - _least(len(h)) + 1
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                common = frequent[at] == h
+                h = np.concatenate([h[~common], h[common]])
+            # a copy: a slice would keep the whole set
+            kept.append(h[:first].copy())
+            nodes.append(node)
+            waiting += first
+            if waiting > DEALT:
+                yield blocks()
+                kept, nodes, waiting = [], [], 0
         if kept:
             yield blocks()
 
@@ -502,8 +519,13 @@ def _may_link(n_a: pd.Series, fine_a: pd.Series, n_b: pd.Series, fine_b: pd.Seri
     return pd.Series([may(*row) for row in zip(n_a, fine_a, n_b, fine_b)], dtype=bool)
 
 
-def _set_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, members): the sets of ``GIVEN`` texts at once."""
+    for batch in batches:
+        for at in range(0, len(batch), GIVEN):
+            part = batch.slice(at, GIVEN)
+            members = pa.array([shingles(text).view(np.int64) for text in _texts([part])], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"node": part.column("node"), "members": members})
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -514,7 +536,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame
         where = F.broadcast(where)
     same = texts["id"].eqNullSafe(where["id"]) & (texts["text_hash"] == where["text_hash"])
     found = texts.join(where, same).select("node", "text").dropDuplicates(["node"])
-    sets = stored(found.select("node", F.pandas_udf(_set_of, "array<long>")("text").alias("members")))
+    sets = stored(found.mapInArrow(_sets, "node long, members array<long>"))
     left, right = (sets.select(F.col("node").alias(c), F.col("members").alias(f"members_{c}")) for c in "ab")
     common = F.size(F.array_intersect("members_a", "members_b")).cast("long")
     linked = common * (100 + SHARE) >= SHARE * (F.size("members_a").cast("long") + F.size("members_b"))
@@ -526,7 +548,7 @@ def shingle_homes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     described = stored(
-        texts.mapInPandas(
+        texts.mapInArrow(
             _described,
             f"id {id_type}, text_hash long, node long, n long, minima array<int>, coarse binary, fine binary",
         )
@@ -545,14 +567,14 @@ def shingle_homes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     often = stored(
         texts.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(every)) == 0)
         .select("text")
-        .mapInPandas(_gathered(max(1, int(total["n"] or 0) // every // POSTINGS)), "part int, shingles binary")
+        .mapInArrow(_gathered(max(1, int(total["n"] or 0) // every // POSTINGS)), "part int, shingles binary")
         .groupBy("part")
         .applyInPandas(_frequent, "shingle long, seen long")
     )
     frequent = _most_seen(often)
     shared = stored(
         texts.select("text")
-        .mapInPandas(_posted(frequent, ranges), "part int, shingles binary, nodes binary")
+        .mapInArrow(_posted(frequent, ranges), "part int, shingles binary, nodes binary")
         .groupBy("part")
         .applyInPandas(_shared, "shingle long, node long")
     )

@@ -241,3 +241,42 @@ def test_tables_that_are_stored_on_the_way_are_few(spark, monkeypatch):
     rows = copies(1)
     assert found(table(spark, rows)) == brute(rows)
     assert len(calls) <= 50
+
+
+def test_steps_over_texts_hold_a_batch_and_little_else():
+    """What a task of a step allocates at most, in hashes of its batch; with whole sets kept there were several times as many."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 30, 400))) for _ in range(6_000)]
+    batch = pa.RecordBatch.from_pydict({"id": range(6_000), "text_hash": range(6_000), "node": range(6_000), "text": texts})
+    whole = 6_000 * 396 * 8
+    for step in (jaccard._gathered(4), jaccard._posted(np.empty(0, np.uint64), 4), jaccard._described, jaccard._sets):
+        for _ in step(iter([batch.slice(0, 10)])):
+            pass
+        tracemalloc.start()
+        rows = sum(len(out) for out in step(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and most < whole
+
+
+def test_postings_are_whole_and_come_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "DEALT", 50)
+    texts = [text for _, text in copies(8, 60)] + [None, "", " "]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[at : at + 7], pa.string())}) for at in range(0, len(texts), 7)]
+    got = []
+    for out in jaccard._posted(np.empty(0, np.uint64), 3)(iter(batches)):
+        for row in out.to_pylist():
+            h, node = np.frombuffer(row["shingles"], np.uint64), np.frombuffer(row["nodes"], np.int64)
+            assert len(h) == len(node) and set((jaccard._mixed(h) % np.uint64(3)).tolist()) == {row["part"]}
+            got += zip(h.tolist(), node.tolist())
+    sets = {s.tobytes(): s for s in map(jaccard.shingles, texts) if len(s)}
+    want = [(h, jaccard._signed(jaccard.xxhash.xxh3_64_intdigest(k))) for k, s in sets.items() for h in s[: len(s) - jaccard._least(len(s)) + 1].tolist()]
+    assert sorted(got) == sorted(want)
+    dealt = [h for out in jaccard._gathered(3)(iter(batches)) for x in out.column("shingles").to_pylist() for h in np.frombuffer(x, np.uint64).tolist()]
+    assert sorted(dealt) == sorted(h for t in texts for h in jaccard.shingles(t).tolist())
